@@ -7,9 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table
+from . import bpe, token_files
+from .common import LOWER, UPPER, shared_path, ship, table
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .quality import apply_rules
+from .tokens import default_vocabulary
+
+
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary())
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.drop("first_failed")
+
+
+OP4_SQL = """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (
+  SELECT doc_id, words, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM w, unnest(generate_series(1, len(words) - 2)) AS u(i)),
+tw AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) >= 2 AS twice FROM g),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM tw, unnest([0, 1, 2]) AS v(j) WHERE twice GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         strlen(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g')) AS letter_bytes
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+       AND NOT (n_lines >= 5 AND 2 * n_dup_lines > n_lines) AND 2 * letter_bytes >= word_chars AS kept
+FROM f
+"""
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +80,18 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = shared_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, default_vocabulary(), end_id=0)
+    return token_files.read(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op10_token_files": op10_token_files,
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
