@@ -11,6 +11,7 @@ from . import bpe, token_files
 from .common import LOWER, UPPER, shared_path, ship, table
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import similar_sets
 from .quality import apply_rules
 from .tokens import default_vocabulary
 
@@ -80,6 +81,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = shared_path(spark, "tokens")
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_files": op10_token_files,
 }
 ORACLE: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
