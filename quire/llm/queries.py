@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, langid, token_files
 from .common import LOWER, UPPER, shared_path, ship, table
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .ngram_join import similar_sets
 from .quality import apply_rules
 from .tokens import default_vocabulary
+from .topk import top_k
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,19 @@ FROM f
 """
 
 
+def fold(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, "doc_id", "text", "lang", fold(3) != 1)
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, min_chars=20, min_docs=3).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -77,6 +91,23 @@ FROM m GROUP BY doc_id
 """
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=5, every=50, scale=256)
+
+
+OP7_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -96,9 +127,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_token_files": op10_token_files,
 }
-ORACLE: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_exact_top_k": OP7_SQL}
