@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, token_files
+from . import bpe, langid, token_files, toxicity
 from .common import LOWER, UPPER, shared_path, ship, table
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -56,6 +56,14 @@ FROM f
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def fold(n: int, id_col: str = "doc_id"):
     """crc32 of the id as text, mod n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -126,6 +134,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
