@@ -13,10 +13,16 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .ngram_join import similar_sets
 from .quality import apply_rules
+from .suffix_dedup import repeated_passages
 from .tokens import default_vocabulary
 from .topk import top_k
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary())
@@ -133,6 +139,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
