@@ -14,6 +14,7 @@ ids are used from there to its last boundary that no later text can touch.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +74,7 @@ class ChunkEncoder:
         return k, at
 
     def chunk(self, text: str) -> tuple:
-        """(ids up to tail_at, {start: ids before it} of the head, tail_at)."""
+        """(packed ids up to tail_at, {start: bytes before it} of the head, tail_at)."""
         found = self.chunks.get(text)
         if found is not None:
             self.hits += 1
@@ -81,26 +82,23 @@ class ChunkEncoder:
         self.misses += 1
         words = self.pre.scan(text)
         k, tail_at = self._sure(words, len(text))
-        ids: list[int] = []
-        heads, at = {}, 0
-        for j in range(k):
-            if j < HEADS:
-                heads[at] = len(ids)
-            ids += self.pre.memo[words[j]]
-            at += len(words[j])
-        if k < HEADS:
-            heads[at] = len(ids)
-        found = (ids, heads, tail_at)
+        packed = list(map(self.pre.memo.__getitem__, words[:k]))
+        heads, at, size = {0: 0}, 0, 0
+        for word, ids in zip(words[: min(k, HEADS - 1)], packed):
+            at += len(word)
+            size += len(ids)
+            heads[at] = size
+        found = (b"".join(packed), heads, tail_at)
         if len(self.chunks) >= self.keep:
             self.chunks.pop(next(iter(self.chunks)))
         self.chunks[text] = found
         return found
 
-    def _join(self, out: list[int], tail: str, text: str) -> str:
+    def _join(self, out: list[bytes], tail: str, text: str) -> str:
         """Add ``text`` to ``out``; the new tail."""
         ids, heads, tail_at = self.chunk(text)
         if not tail:
-            out += ids
+            out.append(ids)
             return text[tail_at:]
         starts, memo = list(heads), self.pre.memo
         for upto in (FIRST, HEADS):
@@ -109,37 +107,35 @@ class ChunkEncoder:
             k, _ = self._sure(words, len(window))
             at, new = -len(tail), []
             for w in words[:k]:
-                new += memo[w]
+                new.append(memo[w])
                 at += len(w)
                 if at in heads:
                     out += new
-                    out += ids[heads[at] :]
+                    out.append(ids[heads[at] :])
                     return text[tail_at:]
         window = tail + text
         words = self.pre.scan(window)
         k, at = self._sure(words, len(window))
-        for w in words[:k]:
-            out += memo[w]
+        out += map(memo.__getitem__, words[:k])
         return window[at:]
 
-    def _plain(self, out: list[int], text: str) -> None:
+    def _plain(self, out: list[bytes], text: str) -> None:
         tail, last = "", 0
         for end in cuts(text):
             tail = self._join(out, tail, text[last:end])
             last = end
-        for w in self.pre.scan(tail):
-            out += self.pre.memo[w]
+        out += map(self.pre.memo.__getitem__, self.pre.scan(tail))
 
     def encode(self, text: str) -> list[int]:
         if not self.pre.splits or (not self.pre.plain and self.pre.has_special(text)):
             return self.pre.whole(text)
-        out: list[int] = []
+        out: list[bytes] = []
         for part in self.pre.special_at.split(text) if self.pre.special_at else [text]:
             if part in self.pre.special:
-                out.append(self.pre.special[part])
+                out.append(array(self.pre.kind, [self.pre.special[part]]).tobytes())
             elif part:
                 self._plain(out, part)
-        return out
+        return np.frombuffer(b"".join(out), dtype=self.pre.dtype).tolist()
 
 
 _CHUNKERS: dict[str, ChunkEncoder] = {}
@@ -186,28 +182,36 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return out.withColumnRenamed("_id", id_col)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id_col, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row of ``docs``: id_col, n_tokens, ids_sha256, decoded_sha256 and, if
+    asked for, ids.
 
-    Encoding and decoding in one pass over the texts, without a shuffle: ids and
-    restored text stay in the worker and their digests leave it. Nulls, repeats
+    Encoding and decoding in one pass over the texts, without a shuffle; the
+    restored text stays in the worker and its digest leaves it. Nulls, repeats
     and other columns as in ``encode``.
     """
     import pyarrow as pa
 
+    names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+
     def run(batches: Iterator) -> Iterator:
         enc = chunker(vocabulary)
         tok = enc.pre.tok
         name = [str(i) for i in range(enc.pre.vocab)]
         for b in batches:
-            n, a, d = [], [], []
-            for t in b.column(1):
-                ids = enc.encode(t.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(",".join([name[i] for i in ids]).encode()).hexdigest())
-                d.append(hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, b.num_rows, 1000):
+                piece = b.slice(at, 1000)
+                n, a, d, each = [], [], [], []
+                for t in piece.column(1):
+                    ids = enc.encode(t.as_py() or "")
+                    n.append(len(ids))
+                    a.append(hashlib.sha256(",".join(map(name.__getitem__, ids)).encode()).hexdigest())
+                    d.append(hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+                    if with_ids:
+                        each.append(np.array(ids, dtype=np.int32))
+                columns = [piece.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(each, pa.list_(pa.int32()))] * with_ids, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("_id", id_col)

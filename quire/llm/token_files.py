@@ -49,10 +49,6 @@ def _mapped(system, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-def id_dtype(vocab: int) -> str:
-    return "<u2" if vocab <= 1 << 16 else "<u4"
-
-
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode and write all documents in ascending id order; the manifest.
 
@@ -69,7 +65,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     def run(batches: Iterator) -> Iterator:
         system, root = _fs(path)
         enc = encoder(vocabulary)
-        dtype = id_dtype(enc.vocab)
+        end = np.array([end_id], dtype=enc.dtype).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
         own, name = f"{root}/.{shard:06d}-{uuid.uuid4().hex}", f"{root}/{shard:06d}"
@@ -77,10 +73,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         with system.open_output_stream(f"{own}.bin") as out:
             for b in batches:
                 for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    tokens = enc.encode(text.as_py() or "")
-                    tokens.append(end_id)
-                    out.write(np.array(tokens, dtype=dtype).tobytes())
-                    at += len(tokens)
+                    tokens = enc.packed(text.as_py() or "") + end
+                    out.write(tokens)
+                    at += len(tokens) // len(end)
                     ends.append(at)
                     ids.append(i or 0)
                     n_null += i is None
@@ -95,7 +90,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
     found = sorted((r for r in rows.mapInArrow(run, "shard long, n_docs long, n_null long, n_tokens long").collect() if r["n_docs"]), key=lambda r: r["shard"])
     manifest, base = [], 0
     for r in found:
-        manifest.append(r.asDict() | {"base": base, "dtype": id_dtype(encoder(vocabulary).vocab)})
+        manifest.append(r.asDict() | {"base": base, "dtype": encoder(vocabulary).dtype})
         base += r["n_tokens"]
     with system.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
