@@ -5,7 +5,604 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..operators import detections as D
+from ..operators import enrich as E
+from ..operators import normalize as N
+from ..operators import render as R
+from ..operators import structure as S
+from ..operators import tables as B
+from ..operators import validate as V
+from ..sources import derived, payload
+from ..sources.tables import table
+from .oracle import area, common, normal, overlap, select, signature
 
 FLAGSHIP = "q_render_document"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- inputs shared by the queries ---------------------------------------------
+
+
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    return N.adapt(derived.layout(spark, sf))
+
+
+def given_stats(elements: DataFrame) -> DataFrame:
+    """Page sizes as an extractor would say them, without line heights."""
+    none = F.lit(None).cast("double")
+    return elements.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(derived.WIDTH).alias("width"), F.lit(derived.HEIGHT).alias("height"), none.alias("median_line_height"), none.alias("body_font_size"))
+
+
+_BUNDLES: dict[tuple[str, str], S.Bundle] = {}
+
+
+def bundle(spark: SparkSession, sf: str) -> S.Bundle:
+    """The assembled documents; stored once per application and input, as the
+    stages of one run of the engine are, and read by every query over them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUNDLES:
+        e = raw(spark, sf)
+        _BUNDLES[key] = S.assemble(e, given_stats(e))
+    return _BUNDLES[key]
+
+
+def cleaned(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Raw elements and their page dimensions."""
+    e = raw(spark, sf)
+    return e, N.page_dimensions(e, given_stats(e))
+
+
+def assets(b: S.Bundle) -> DataFrame:
+    """Markdown and images that extractors would have made for some objects."""
+    none, d = F.lit(None).cast("string"), F.col("doc_id")
+    t = b.tables.select("doc_id", "ref_id", F.when(d % 2 == 0, F.concat(F.lit("| "), F.col("ref_id"), F.lit(" |\n|---|"))).alias("markdown"), F.when(d % 4 == 1, F.concat(F.lit("crops\\"), F.col("ref_id"), F.lit(".png"))).alias("path"))
+    f = b.figures.select("doc_id", "ref_id", none.alias("markdown"), F.when(d % 3 == 0, F.concat(F.lit("assets/"), F.col("ref_id"), F.lit(".png"))).alias("path"))
+    return t.unionByName(f)
+
+
+def detections(spark: SparkSession, sf: str) -> DataFrame:
+    """Two passes of a detector and, on some pages, a frame taken for a picture."""
+    rows = derived.layout(spark, sf)
+    cols = ("type", "x1", "y1", "x2", "y2", "confidence")
+    one = rows.select("doc_id", "page", F.col("slot").alias("pos"), *cols)
+    two = rows.filter((F.col("doc_id") + F.col("pos")) % 3 == 0).select("doc_id", "page", (F.col("slot") + 100).alias("pos"), F.when(F.col("pos") % 2 == 0, "Text").otherwise(F.col("type")).alias("type"), (F.col("x1") + 4).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + 4).alias("x2"), (F.col("y2") + 2).alias("y2"), "confidence")
+    frame = rows.filter(F.col("doc_id") % 4 == 0).select("doc_id", "page").distinct()
+    frame = frame.select("doc_id", "page", F.lit(200).alias("pos"), F.lit("Picture").alias("type"), *[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2", "confidence"), (0.0, 0.0, 1000.0, 220.0, 0.9))])
+    return one.unionByName(two).unionByName(frame)
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").filter("text is not null")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
+LINES = "WITH lines AS (SELECT doc_id, CAST(unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS INTEGER) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) "
+
+
+# --- elements and scalar rules --------------------------------------------------
+
+
+@query(select("SELECT doc_id, pos, id, page, kind, text, label, x1, y1, x2, y2, confidence FROM elements"))
+def q_layout_elements(spark, sf):
+    return raw(spark, sf).select("doc_id", "pos", "id", "page", "kind", "text", "label", "x1", "y1", "x2", "y2", "confidence")
+
+
+@query(select("SELECT label, kind, count(*) AS n FROM elements GROUP BY ALL"))
+def q_kind_alias_counts(spark, sf):
+    return raw(spark, sf).groupBy("label", "kind").agg(F.count("*").alias("n"))
+
+
+@query(LINES + f"SELECT doc_id, pos, {normal('line')} AS normal, coalesce({normal('line')}, '') AS cleaned, {signature('line')} AS signature FROM lines")
+def q_text_normalize(spark, sf):
+    c = F.col("line")
+    return lines(spark, sf).select("doc_id", "pos", T.normal(c).alias("normal"), T.cleaned(c).alias("cleaned"), T.signature(c).alias("signature"))
+
+
+@query(select("""SELECT doc_id, rpos, marker, item_text, ordered FROM items"""))
+def q_list_markers(spark, sf):
+    b = bundle(spark, sf)
+    return S.list_items(b.groups).select("doc_id", F.col("rpos").cast("long").alias("rpos"), "marker", "item_text", "ordered")
+
+
+@query(LINES + r"""SELECT doc_id, pos, trim(replace(replace(replace(replace(regexp_replace(line || '<bbox>1,2</bbox><char> \times \div</s>', '<bbox>.*?</bbox>', '', 'g'), '<char>', ''), '</s>', ''), '\times', '×'), '\div', '÷')) AS scrubbed, CASE WHEN substr(line, 1, 1) IN ('I', '.', '-', '_') THEN '' ELSE substr(line, 1, 1) END AS believed FROM lines""")
+def q_recognised_text(spark, sf):
+    c = F.col("line")
+    first = F.substring(c, 1, 1)
+    return lines(spark, sf).select("doc_id", "pos", T.scrubbed(F.concat(c, F.lit(r"<bbox>1,2</bbox><char> \times \div</s>"))).alias("scrubbed"), T.believed(first).alias("believed"))
+
+
+@query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, round(coalesce({common('a.', 'b.')} / nullif({area('a.')} + {area('b.')} - {common('a.', 'b.')}, 0), 0), 6) AS iou, round({overlap('a.', 'b.')}, 6) AS across FROM elements a JOIN elements b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos"))
+def q_box_pairs(spark, sf):
+    e = raw(spark, sf).select("doc_id", "page", "pos", "x1", "y1", "x2", "y2")
+    a, b = e.alias("a"), e.alias("b")
+    both = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.pos") < F.col("b.pos")))
+    return both.select("a.doc_id", "a.page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.round(G.iou(G.box("a"), G.box("b")), 6).alias("iou"), F.round(G.horizontal_overlap(G.box("a"), G.box("b")), 6).alias("across"))
+
+
+# --- detected boxes ---------------------------------------------------------------
+
+
+@query(select("""SELECT doc_id, page, pos, side, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY band, CASE side WHEN 'full' THEN 0 WHEN 'left' THEN 1 ELSE 2 END, y1, pos) AS INTEGER) AS rank FROM (
+  SELECT *, sum(CASE WHEN side = 'full' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y1, pos ROWS UNBOUNDED PRECEDING) AS band FROM (
+    SELECT *, CASE WHEN x1 < mid AND x2 > mid THEN 'full' WHEN x2 <= mid THEN 'left' ELSE 'right' END AS side FROM (
+      SELECT *, (min(x1) OVER (PARTITION BY doc_id, page) + max(x2) OVER (PARTITION BY doc_id, page)) / 2 AS mid FROM layout)))"""))
+def q_reading_order(spark, sf):
+    return D.reading_order(derived.layout(spark, sf)).select("doc_id", "page", "pos", "side", "rank")
+
+
+@query(select("SELECT doc_id, page, pos, text FROM layout t WHERE trim(text) <> '' AND NOT EXISTS (SELECT 1 FROM layout b WHERE b.doc_id = t.doc_id AND b.page = t.page AND b.type IN ('Text', 'Table') AND b.pos <> t.pos AND greatest(t.x1, b.x1) < least(t.x2, b.x2) AND greatest(t.y1, b.y1 - 15) < least(t.y2, b.y2 - 15)) AND t.type NOT IN ('Text', 'Table')"))
+def q_missed_text_sweep(spark, sf):
+    rows = derived.layout(spark, sf)
+    seen = rows.filter(F.col("type").isin("Text", "Table")).withColumns({"y1": F.col("y1") - 15, "y2": F.col("y2") - 15})
+    return D.missed_texts(rows.filter(~F.col("type").isin("Text", "Table")), seen).select("doc_id", "page", "pos", "text")
+
+
+@query(select(f"SELECT a.doc_id, a.page, a.pos, count(*) AS n_inside FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos <> b.pos WHERE a.type IN ('Picture', 'Figure') AND {common('a.', 'b.')} > 0.80 * {area('b.')} GROUP BY ALL HAVING count(*) >= 4"))
+def q_fake_picture_filter(spark, sf):
+    return D.fake_pictures(detections(spark, sf))
+
+
+_PRIORITY = "CASE {}.type WHEN 'Table' THEN 3 WHEN 'Picture' THEN 2 WHEN 'Formula' THEN 2 WHEN 'Text' THEN 2 WHEN 'Section-header' THEN 1 WHEN 'List-item' THEN 1 WHEN 'Caption' THEN 1 WHEN 'Page-header' THEN 1 ELSE 0 END"
+_A, _B = _PRIORITY.format("a"), _PRIORITY.format("b")
+
+
+@query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, CASE WHEN {_A} > {_B} OR ({_A} = {_B} AND a.confidence >= b.confidence) THEN b.pos ELSE a.pos END AS loser FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos WHERE {common('a.', 'b.')} > 0 AND {common('a.', 'b.')} > 0.70 * least({area('a.')}, {area('b.')})"))
+def q_nms_pairs(spark, sf):
+    return D.rival_pairs(detections(spark, sf))
+
+
+@query()
+def q_nms_survivors(spark, sf):
+    return D.survivors(D.without_fakes(detections(spark, sf))).select("doc_id", "page", "pos", "type")
+
+
+# --- normalisation ---------------------------------------------------------------
+
+
+@query(select("SELECT doc_id, page, width, height FROM dims"))
+def q_page_dims(spark, sf):
+    return cleaned(spark, sf)[1]
+
+
+@query(select("SELECT doc_id, id, zone, n_pages, role FROM margins"))
+def q_repeated_margins(spark, sf):
+    return N.repeated_margins(*cleaned(spark, sf))
+
+
+@query(select("SELECT doc_id, coalesce(reason, 'kept') AS reason, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM reasons GROUP BY ALL"))
+def q_filter_reasons(spark, sf):
+    rows = N.filter_reasons(*cleaned(spark, sf))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda r: r["id"])
+    return rows.groupBy("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
+
+
+@query(select("SELECT doc_id, pos, id, page, kind, text, confidence FROM kept"))
+def q_normalized(spark, sf):
+    return N.kept(*cleaned(spark, sf)).select("doc_id", "pos", "id", "page", "kind", "text", "confidence")
+
+
+@query(select("SELECT doc_id, page, width, height, median_line_height, body_font_size, n_active FROM stats"))
+def q_page_stats(spark, sf):
+    e, dims = cleaned(spark, sf)
+    return N.page_stats(N.kept(e, dims), dims, given_stats(e))
+
+
+@query(select("SELECT doc_id, arg_min(text, (CASE WHEN kind = 'heading' THEN 0 ELSE 1 END) * 1000000000 + pos) AS title, arg_min(id, (CASE WHEN kind = 'heading' THEN 0 ELSE 1 END) * 1000000000 + pos) AS title_id FROM kept WHERE coalesce(text, '') <> '' GROUP BY doc_id"))
+def q_title_candidate(spark, sf):
+    return N.title_candidates(N.kept(*cleaned(spark, sf)))
+
+
+@query(select("SELECT count(*) AS n_input, count(*) FILTER (WHERE reason IS NULL) AS n_output, count(*) FILTER (WHERE reason = 'header') AS n_header, count(*) FILTER (WHERE reason = 'page_number') AS n_page_number, count(*) FILTER (WHERE reason = 'footer') AS n_footer, count(*) FILTER (WHERE reason = 'empty_text') AS n_empty, count(*) FILTER (WHERE reason = 'low_confidence_noise') AS n_noise, doc_id FROM reasons GROUP BY doc_id"))
+def q_norm_summary(spark, sf):
+    r = F.col("reason")
+    named = {"n_header": "header", "n_page_number": "page_number", "n_footer": "footer", "n_empty": "empty_text", "n_noise": "low_confidence_noise"}
+    return N.filter_reasons(*cleaned(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_input"), F.count_if(r.isNull()).alias("n_output"), *[F.count_if(r == v).alias(k) for k, v in named.items()])
+
+
+@query(select("SELECT doc_id, id AS ref_id, kind, ref_order::INTEGER AS ref_order, page, anchored FROM synced"))
+def q_references(spark, sf):
+    b = bundle(spark, sf)
+    rows = [r.select("doc_id", "ref_id", F.lit(k).alias("kind"), "ref_order", "page", "anchored") for k, r in (("table", b.tables), ("figure", b.figures), ("note", b.notes))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+# --- structure --------------------------------------------------------------------
+
+
+@query(select("SELECT doc_id, src, dst FROM edges WHERE dst IS NOT NULL"))
+def q_next_edges(spark, sf):
+    return S.next_edges(bundle(spark, sf).elements)
+
+
+@query(select("SELECT doc_id, ref_id, caption_id, rank, distance FROM near_table UNION ALL SELECT doc_id, ref_id, caption_id, rank, distance FROM near_figure"))
+def q_caption_candidates(spark, sf):
+    b = bundle(spark, sf)
+    cols = ("doc_id", "ref_id", "caption_id", "rank", "distance")
+    found = [S.caption_candidates(r, b.elements, b.stats, k).select(*cols) for k, r in (("table", b.tables), ("figure", b.figures))]
+    return found[0].unionByName(found[1])
+
+
+@query(select("SELECT doc_id, ref_id, caption_id, object FROM captions"))
+def q_caption_links(spark, sf):
+    return bundle(spark, sf).captions
+
+
+@query(select("SELECT doc_id, ref_id, note_id, distance, nth FROM notes"))
+def q_note_links(spark, sf):
+    return bundle(spark, sf).attached_notes
+
+
+@query(select("SELECT doc_id, node_id, pos, text, pages, line_count, section_id, block_ids FROM paragraphs"))
+def q_paragraphs(spark, sf):
+    return S.paragraphs(bundle(spark, sf).groups).drop("kinds")
+
+
+@query(select("SELECT doc_id, list_id, count(*) AS n_items, bool_and(list_ordered) AS list_ordered, string_agg(item_text, ' / ' ORDER BY nth) AS texts FROM items GROUP BY ALL"))
+def q_lists(spark, sf):
+    rows = S.list_items(bundle(spark, sf).groups)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "item_text"))), lambda r: r["item_text"])
+    return rows.groupBy("doc_id", "list_id").agg(F.count("*").alias("n_items"), F.every("list_ordered").alias("list_ordered"), F.array_join(texts, " / ").alias("texts"))
+
+
+@query(select("SELECT doc_id, list_id, nth, number, indent_level, marker FROM numbered"))
+def q_list_numbering(spark, sf):
+    return S.numbered(S.list_items(bundle(spark, sf).groups)).select("doc_id", "list_id", "nth", "number", "indent_level", "marker")
+
+
+@query(select("SELECT doc_id, heading_id, level, level_source FROM tree"))
+def q_heading_levels(spark, sf):
+    rows = bundle(spark, sf).groups.filter("role = 'section'")
+    return rows.select("doc_id", F.col("id").alias("heading_id"), "level", "level_source")
+
+
+@query(select("SELECT t.doc_id, t.section_id, t.heading_id, t.pos, t.level, t.title, t.parent_id, d.depth FROM tree t JOIN depths d USING (doc_id, section_id)"))
+def q_section_tree(spark, sf):
+    return S.sections(bundle(spark, sf).groups).drop("level_source", "page")
+
+
+@query(select("SELECT doc_id, id, role, section_id FROM groups"))
+def q_section_assignment(spark, sf):
+    return bundle(spark, sf).groups.select("doc_id", "id", "role", "section_id")
+
+
+@query(select("SELECT t.doc_id, t.section_id, count(*) AS n_blocks, string_agg(g.id, ',' ORDER BY g.rpos) AS block_ids FROM tree t JOIN groups g ON g.doc_id = t.doc_id AND g.rpos >= t.pos AND g.role <> 'attached' AND g.rpos < coalesce((SELECT min(u.pos) FROM tree u WHERE u.doc_id = t.doc_id AND u.pos > t.pos AND u.level <= t.level), 1000000000) GROUP BY ALL"))
+def q_section_rollup(spark, sf):
+    return S.rollup(bundle(spark, sf))
+
+
+@query(select("SELECT doc_id, type, src, dst FROM relations"))
+def q_relations_all(spark, sf):
+    return S.relations(bundle(spark, sf))
+
+
+@query(select("SELECT g.doc_id, g.id, CASE WHEN role = 'section' THEN 'section_' || g.id WHEN a.ref_id IS NOT NULL THEN a.ref_id WHEN role NOT IN ('paragraph', 'list') THEN section_id END AS parent_id FROM groups g LEFT JOIN attached a ON a.doc_id = g.doc_id AND a.id = g.id"))
+def q_parent_assignments(spark, sf):
+    return S.parents(bundle(spark, sf)).select("doc_id", "id", "parent_id")
+
+
+@query(select("SELECT doc_id, kind, id AS ref_id FROM synced s WHERE NOT anchored AND NOT EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = s.doc_id AND n.note_id = s.id)"))
+def q_unanchored_refs(spark, sf):
+    return S.unanchored(bundle(spark, sf)).select("doc_id", "kind", "ref_id")
+
+
+@query(select("SELECT doc_id, count(*) FILTER (WHERE node_type = 'section') AS n_sections, count(*) FILTER (WHERE node_type = 'paragraph_group') AS n_paragraphs, count(*) FILTER (WHERE node_type = 'list_group') AS n_lists, count(*) FILTER (WHERE node_type = 'table_ref') AS n_tables, count(*) FILTER (WHERE node_type = 'figure_ref') AS n_figures, count(*) FILTER (WHERE node_type = 'note_ref') AS n_notes FROM blocks GROUP BY doc_id"))
+def q_structure_summary(spark, sf):
+    b = bundle(spark, sf)
+    named = {"n_sections": "section", "n_paragraphs": "paragraph_group", "n_lists": "list_group", "n_tables": "table_ref", "n_figures": "figure_ref", "n_notes": "note_ref"}
+    return R.blocks(b, assets(b)).groupBy("doc_id").agg(*[F.count_if(F.col("node_type") == v).alias(k) for k, v in named.items()])
+
+
+# --- integrity --------------------------------------------------------------------
+
+#: Edges as a faulty producer would give them: some lost, some twice.
+_FAULTY = "faulty AS (SELECT e.doc_id, e.src, e.dst FROM edges e JOIN ordered o ON o.doc_id = e.doc_id AND o.id = e.src WHERE e.dst IS NOT NULL AND o.rpos % 5 <> 0 UNION ALL SELECT e.doc_id, e.src, e.dst FROM edges e JOIN ordered o ON o.doc_id = e.doc_id AND o.id = e.src WHERE e.dst IS NOT NULL AND o.rpos % 3 = 0 UNION ALL SELECT doc_id, id, id FROM ordered WHERE rpos % 7 = 0)"
+
+
+def chained(extra: str, body: str) -> str:
+    return select(f", {extra} {body}")
+
+
+@query(chained(_FAULTY + ", p AS (SELECT doc_id, src, dst, sum(want) AS want, sum(have) AS have FROM (SELECT doc_id, src, dst, 1 AS want, 0 AS have FROM edges WHERE dst IS NOT NULL UNION ALL SELECT doc_id, src, dst, 0, 1 FROM faulty) GROUP BY ALL)", "SELECT doc_id, count(*) FILTER (WHERE have = 0) AS n_missing, CAST(coalesce(sum(have) FILTER (WHERE want = 0), 0) AS BIGINT) AS n_extra, count(*) FILTER (WHERE have > 1) AS n_duplicate FROM p GROUP BY doc_id HAVING count(*) FILTER (WHERE have = 0 OR want = 0 OR have > 1) > 0"))
+def q_validate_next(spark, sf):
+    e = bundle(spark, sf).elements
+    edges = S.next_edges(e).join(e.select("doc_id", F.col("id").alias("src"), "rpos"), ["doc_id", "src"])
+    loops = e.filter("rpos % 7 = 0").select("doc_id", F.col("id").alias("src"), F.col("id").alias("dst"))
+    faulty = edges.filter("rpos % 5 <> 0").drop("rpos").unionByName(edges.filter("rpos % 3 = 0").drop("rpos")).unionByName(loops)
+    return V.next_conflicts(e, faulty)
+
+
+_CHILD = "child AS (SELECT doc_id, src, dst FROM relations WHERE type = 'child_of' UNION ALL SELECT doc_id, id, 'section_x' FROM ordered WHERE rpos % 6 = 0)"
+
+
+@query(chained(_CHILD + ", many AS (SELECT doc_id, src FROM (SELECT DISTINCT * FROM child) GROUP BY ALL HAVING count(*) > 1), located AS (SELECT g.doc_id, g.id, g.page, g.rpos, CASE WHEN role = 'section' THEN 'section_' || g.id WHEN role NOT IN ('paragraph', 'list', 'attached') THEN section_id END AS parent_id FROM groups g WHERE kind NOT IN ('caption', 'note'))", "SELECT doc_id, 'relation_conflict' AS code, 'several_parents' AS about, page, string_agg(id, ',' ORDER BY rpos) AS ids FROM ordered o JOIN many m USING (doc_id) WHERE m.src = o.id GROUP BY ALL UNION ALL SELECT doc_id, 'relation_conflict', 'other_parent', page, string_agg(id, ',' ORDER BY rpos) FROM located p WHERE parent_id IS NOT NULL AND EXISTS (SELECT 1 FROM child c WHERE c.doc_id = p.doc_id AND c.src = p.id) AND NOT EXISTS (SELECT 1 FROM child c WHERE c.doc_id = p.doc_id AND c.src = p.id AND c.dst = p.parent_id) GROUP BY ALL"))
+def q_validate_child(spark, sf):
+    b = bundle(spark, sf)
+    child = S.relations(b).filter("type = 'child_of'").drop("type")
+    wrong = b.elements.filter("rpos % 6 = 0").select("doc_id", F.col("id").alias("src"), F.lit("section_x").alias("dst"))
+    return V.child_conflicts(b, child.unionByName(wrong))
+
+
+def _link_sql(kind: str) -> str:
+    extra = f"lk AS (SELECT doc_id, src, dst FROM relations WHERE type = '{kind}_of' UNION ALL SELECT doc_id, id, 'ghost' FROM ordered WHERE kind = '{kind}' AND rpos % 4 = 0), e AS (SELECT * FROM ordered WHERE kind = '{kind}'), tg AS (SELECT DISTINCT doc_id, src AS id, dst FROM lk)"
+    agg = "string_agg(id, ',' ORDER BY rpos) AS ids"
+    return chained(extra, f"SELECT doc_id, 'relation_conflict' AS code, '{kind}_of_several' AS about, page, {agg} FROM e WHERE (SELECT count(*) FROM tg WHERE tg.doc_id = e.doc_id AND tg.id = e.id) > 1 GROUP BY doc_id, page UNION ALL SELECT doc_id, 'orphan_{kind}', '{kind}_of_none', page, {agg} FROM e WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.doc_id = e.doc_id AND tg.id = e.id) GROUP BY doc_id, page UNION ALL SELECT doc_id, 'relation_conflict', '{kind}_of_unknown', page, {agg} FROM e WHERE EXISTS (SELECT 1 FROM tg WHERE tg.doc_id = e.doc_id AND tg.id = e.id AND tg.dst = 'ghost') GROUP BY doc_id, page")
+
+
+def _links(spark, sf, kind: str) -> DataFrame:
+    b = bundle(spark, sf)
+    links = S.relations(b).filter(F.col("type") == f"{kind}_of").drop("type")
+    ghosts = b.elements.filter((F.col("kind") == kind) & (F.col("rpos") % 4 == 0)).select("doc_id", F.col("id").alias("src"), F.lit("ghost").alias("dst"))
+    return V.link_conflicts(b, links.unionByName(ghosts), kind)
+
+
+@query(_link_sql("caption"))
+def q_validate_caption(spark, sf):
+    return _links(spark, sf, "caption")
+
+
+@query(_link_sql("note"))
+def q_validate_note(spark, sf):
+    return _links(spark, sf, "note")
+
+
+_BARE = "SELECT doc_id, 'orphan_' || kind AS code, 'no_caption' AS about, page, string_agg(id, ',' ORDER BY ref_order) AS ids FROM synced s WHERE kind <> 'note' AND NOT EXISTS (SELECT 1 FROM captions c WHERE c.doc_id = s.doc_id AND c.ref_id = s.id) GROUP BY doc_id, kind, page"
+_EMPTY = "SELECT doc_id, 'empty_section' AS code, 'no_body' AS about, page, string_agg(heading_id, ',' ORDER BY pos) AS ids FROM tree t WHERE NOT EXISTS (SELECT 1 FROM groups g WHERE g.doc_id = t.doc_id AND g.section_id = t.section_id AND role NOT IN ('section', 'attached')) GROUP BY doc_id, page"
+_LOW = "SELECT doc_id, 'low_confidence_chunk' AS code, 'unsure' AS about, page, string_agg(id, ',' ORDER BY rpos) AS ids FROM ordered WHERE confidence < 0.5 GROUP BY doc_id, page"
+_ORPHANS = " UNION ALL ".join(f"SELECT doc_id, 'orphan_{k}', '{k}_of_none', page, string_agg(id, ',' ORDER BY rpos) FROM ordered o WHERE kind = '{k}' AND NOT EXISTS (SELECT 1 FROM relations r WHERE r.doc_id = o.doc_id AND r.src = o.id AND r.type = '{k}_of') GROUP BY doc_id, page" for k in ("caption", "note"))
+_FOUND = f"{_BARE} UNION ALL {_EMPTY} UNION ALL {_LOW} UNION ALL {_ORPHANS}"
+
+
+@query(select(_BARE))
+def q_validate_object(spark, sf):
+    return V.bare_objects(bundle(spark, sf))
+
+
+@query(select(_EMPTY))
+def q_validate_section(spark, sf):
+    return V.empty_sections(bundle(spark, sf))
+
+
+@query(select("SELECT doc_id, 'missing_geometry' AS code, 'no_box' AS about, page, string_agg(id, ',' ORDER BY o, r) AS ids FROM (SELECT doc_id, page, id, 0 AS o, rpos AS r FROM ordered WHERE pos % 11 = 0 AND kind <> 'header' UNION ALL SELECT doc_id, page, id, CASE kind WHEN 'table' THEN 1 WHEN 'figure' THEN 2 ELSE 3 END, ref_order FROM synced WHERE CAST(split_part(id, '_', 3) AS INTEGER) = 4) GROUP BY doc_id, page"))
+def q_validate_geometry(spark, sf):
+    b = bundle(spark, sf)
+    gone = lambda df, on: df.withColumn("x1", F.when(~on, F.col("x1")))
+    fourth = F.element_at(F.split("ref_id", "_"), -1) == "4"
+    lost = S.Bundle(gone(b.elements, F.col("pos") % 11 == 0), b.stats, gone(b.tables, fourth), gone(b.figures, fourth), gone(b.notes, fourth), b.captions, b.attached_notes, b.groups)
+    return V.missing_boxes(lost)
+
+
+@query(select(_LOW))
+def q_validate_lowconf(spark, sf):
+    return V.unsure_blocks(bundle(spark, sf))
+
+
+@query(select(_FOUND))
+def q_warnings(spark, sf):
+    return V.warnings(bundle(spark, sf))
+
+
+@query(select(f"SELECT code, about, count(*) AS n FROM ({_FOUND}) GROUP BY GROUPING SETS ((code, about), (code), ())"))
+def q_warning_rollup(spark, sf):
+    return V.rolled_up(V.warnings(bundle(spark, sf)))
+
+
+@query(select(_LOW))
+def q_warning_dedupe(spark, sf):
+    low = V.unsure_blocks(bundle(spark, sf))
+    return V.deduped(low.unionByName(low))
+
+
+# --- rendering --------------------------------------------------------------------
+
+
+@query(select("SELECT doc_id, node_type, node_id, tail, pos, block, way FROM blocks"))
+def q_render_blocks(spark, sf):
+    b = bundle(spark, sf)
+    return R.blocks(b, assets(b))
+
+
+@query(select("SELECT doc_id, markdown FROM markdowns"))
+def q_render_document(spark, sf):
+    b = bundle(spark, sf)
+    return R.documents(R.blocks(b, assets(b))).select("doc_id", "markdown")
+
+
+@query(select("SELECT doc_id, n_blocks, n_placeholders, n_fallbacks FROM markdowns"))
+def q_render_stats(spark, sf):
+    b = bundle(spark, sf)
+    return R.documents(R.blocks(b, assets(b))).drop("markdown")
+
+
+@query(select(r"SELECT doc_id, regexp_extract(replace(path, '\', '/'), '([^/]*)$', 1) AS filename, min(path) AS path FROM assets WHERE path IS NOT NULL GROUP BY ALL"))
+def q_render_images(spark, sf):
+    return R.images(assets(bundle(spark, sf)))
+
+
+# --- enrichment -------------------------------------------------------------------
+
+_TITLE = r"(length(text) <= 90 AND NOT regexp_matches(text, '[.!?;:。！？]$') AND len(string_split(text, ' ')) <= 12 AND NOT regexp_matches(lower(text), '(https?://|www\.|[\w.-]+@[\w.-]+)') AND NOT contains(text, '`'))"
+_CAND = rf"""cand AS (SELECT *, CASE WHEN kind IN ('heading', 'caption', 'note') THEN 'existing_kind' WHEN contains(lower(label), 'caption') THEN 'label_caption'
+  WHEN contains(lower(label), 'title') OR contains(lower(label), 'header') OR contains(lower(label), 'heading') THEN 'label_heading'
+  WHEN regexp_matches(lower(text), '^\s*(table|tbl\.?|figure|fig\.?)\s*\d+') THEN 'caption_pattern' WHEN regexp_matches(lower(text), '^\s*(note\b|note:|source:)') THEN 'note_pattern'
+  WHEN regexp_matches(text, '^\s*\d+(\.\d+)*[.)]?\s+\S+') THEN 'numeric_heading_pattern' WHEN (y2 - y1) / body_font_size >= 1.15 AND {_TITLE} THEN 'height_title_like' WHEN {_TITLE} THEN 'short_title_like' END AS reason
+  FROM ordered JOIN stats USING (doc_id, page) WHERE kind IN ('text', 'heading', 'caption', 'note'))"""
+
+
+@query(chained(_CAND, f"SELECT doc_id, id, reason, CASE WHEN reason = 'existing_kind' THEN kind WHEN reason IN ('label_caption', 'caption_pattern') THEN 'caption' WHEN reason = 'note_pattern' THEN 'note' ELSE 'heading' END AS hint, length(text)::INTEGER AS text_length, length({signature('text')})::INTEGER AS n_signs, round((y2 - y1) / body_font_size, 3) AS ratio FROM cand WHERE reason IS NOT NULL"))
+def q_semantic_candidates(spark, sf):
+    b = bundle(spark, sf)
+    return E.semantic_candidates(b.elements, b.stats).select("doc_id", "id", "reason", "hint", "text_length", "n_signs", F.round("ratio", 3).alias("ratio"))
+
+
+@query(chained(_CAND, "SELECT doc_id, count(*) AS eligible, count(reason) AS included, count(*) - count(reason) AS skipped FROM cand GROUP BY doc_id"))
+def q_candidate_stats(spark, sf):
+    b = bundle(spark, sf)
+    return E.candidate_stats(b.elements, E.semantic_candidates(b.elements, b.stats))
+
+
+@query(chained(_CAND, "SELECT reason, count(*) AS n FROM cand WHERE reason IS NOT NULL GROUP BY reason"))
+def q_candidate_reasons(spark, sf):
+    b = bundle(spark, sf)
+    return E.semantic_candidates(b.elements, b.stats).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+_LANG = f"CASE WHEN length({signature('line')}) = 0 THEN 'unknown' WHEN 10 * length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 6 * length({signature('line')}) THEN 'english' ELSE 'mixed' END"
+
+
+@query(LINES + f"SELECT doc_id, pos, {_LANG} AS language FROM lines")
+def q_language_detect(spark, sf):
+    return lines(spark, sf).select("doc_id", "pos", T.language(F.col("line")).alias("language"))
+
+
+@query(LINES + r"SELECT doc_id, pos, replace(line, 'e th', 'eth') AS repaired FROM lines WHERE contains(line, 'e th') AND NOT regexp_matches(line, '[A-Za-z]-\s+[a-z]')")
+def q_hyphen_repair(spark, sf):
+    rows = lines(spark, sf).filter(F.col("line").contains("e th") & ~F.col("line").rlike(r"[A-Za-z]-\s+[a-z]"))
+    broken = F.replace(F.col("line"), F.lit("e th"), F.lit("e- th"))
+    return rows.select("doc_id", "pos", T.without_hyphenation(broken).alias("repaired"))
+
+
+#: A deterministic stand-in for a model's repairs: blanks doubled, or a letter lost.
+_NODES = rf"nodes AS (SELECT doc_id, pos, 'n' || pos AS node_id, line AS text, {_LANG} AS language FROM lines WHERE NOT regexp_matches(lower(line), '(https?://|www\.|[\w.-]+@[\w.-]+)') AND NOT contains(line, '`') AND NOT regexp_matches(line, '^\s*\|.*\|\s*$') AND trim(line) <> ''), cands AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) // 8 AS INTEGER) AS request FROM nodes WHERE language <> 'english' AND length({signature('text')}) >= 12)"
+
+
+def _repair_nodes(spark, sf) -> DataFrame:
+    return lines(spark, sf).select("doc_id", "pos", F.concat(F.lit("n"), F.col("pos").cast("string")).alias("node_id"), F.col("line").alias("text"))
+
+
+@query(LINES.rstrip() + f", {_NODES} SELECT doc_id, node_id, language, request FROM cands")
+def q_repair_candidates(spark, sf):
+    return E.repair_candidates(_repair_nodes(spark, sf)).select("doc_id", "node_id", "language", "request")
+
+
+@query(LINES.rstrip() + f", {_NODES} SELECT doc_id, node_id, CASE WHEN pos % 3 = 0 THEN 'applied' WHEN pos % 3 = 1 THEN 'discarded' ELSE 'kept' END AS outcome, CASE WHEN pos % 3 = 0 THEN ' ' || text ELSE text END AS new_text FROM cands")
+def q_repair_guard(spark, sf):
+    nodes = _repair_nodes(spark, sf)
+    asked = E.repair_candidates(nodes)
+    answer = F.when(F.col("pos") % 3 == 0, F.concat(F.lit(" "), F.col("text"))).otherwise(F.concat(F.lit("x"), F.col("text")))
+    sure = F.when(F.col("pos") % 3 == 2, 0.2).otherwise(0.9)
+    json = F.to_json(F.struct(F.collect_list(F.struct("node_id", answer.alias("text"), sure.alias("confidence"))).alias("repairs")))
+    repairs = E.parse_repairs(asked.groupBy("doc_id", "request").agg(json.alias("answer")))
+    return E.repaired(nodes, asked, repairs).join(asked.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").select("doc_id", "node_id", "outcome", "new_text")
+
+
+@query(select("SELECT doc_id, id, CASE WHEN kind IN ('text', 'note') AND rpos % 4 = 0 THEN 'heading' WHEN rpos % 4 = 1 AND kind = 'text' THEN 'caption' ELSE kind END AS kind, CASE WHEN kind IN ('text', 'note') AND rpos % 4 = 0 THEN 6 END AS llm_heading_level, CASE WHEN (kind IN ('text', 'note') AND rpos % 4 = 0) OR (rpos % 4 = 1 AND kind = 'text') THEN kind END AS original_kind FROM ordered"))
+def q_llm_decisions(spark, sf):
+    e = bundle(spark, sf).elements
+    asked = e.filter((F.col("kind").isin("text", "note") & (F.col("rpos") % 4 == 0)) | ((F.col("kind") == "text") & (F.col("rpos") % 4 == 1)) | (F.col("rpos") % 4 == 2))
+    kind = F.when(F.col("rpos") % 4 == 0, "heading").when(F.col("rpos") % 4 == 1, "caption").otherwise("poem")
+    one = F.struct("id", kind.alias("kind"), F.when(F.col("rpos") % 4 == 0, F.lit(9)).alias("heading_level"), F.lit("0.75").alias("confidence"))
+    answers = asked.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(one).alias("decisions"))).alias("answer"))
+    return E.apply_decisions(e, E.parse_decisions(answers)).select("doc_id", "id", "kind", "llm_heading_level", "original_kind")
+
+
+@query(select("SELECT doc_id, string_agg('x_' || id, ',' ORDER BY 'x_' || id) AS ids FROM ordered WHERE rpos % 5 = 0 GROUP BY doc_id"))
+def q_llm_unknown_ids(spark, sf):
+    e = bundle(spark, sf).elements
+    made = e.filter("rpos % 5 < 2").select("doc_id", F.when(F.col("rpos") % 5 == 0, F.concat(F.lit("x_"), F.col("id"))).otherwise(F.col("id")).alias("id"))
+    return E.unknown_ids(e, made)
+
+
+@query(select("SELECT doc_id, ref_id AS target_id, max(caption_id) AS caption_id FROM near_table GROUP BY ALL"))
+def q_caption_link_apply(spark, sf):
+    b = bundle(spark, sf)
+    found = S.caption_candidates(b.tables, b.elements, b.stats, "table")
+    row = F.struct(F.col("caption_id"), F.col("ref_id").alias("target_id"), F.lit(0.9).alias("confidence"))
+    answers = found.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("links"))).alias("answer"))
+    return E.parse_links(answers).select("doc_id", "target_id", "caption_id")
+
+
+# --- tables -----------------------------------------------------------------------
+
+
+def extracts(b: S.Bundle) -> DataFrame:
+    """Table extracts of layout tables: some by id, some by source block, image or
+    box, some with nothing but their place."""
+    way = F.pmod(F.col("doc_id") + F.col("ref_order"), F.lit(5))
+    t = b.tables.withColumn("way", way)
+    return t.select(
+        "doc_id", (F.col("ref_order") - 1).alias("nth"), F.when(F.col("way") == 0, F.col("ref_id")).otherwise(F.concat(F.lit("t"), F.col("ref_order").cast("string"))).alias("ref_id"), "page",
+        *[F.when(F.col("way") == 3, F.col(c)).alias(c) for c in ("x1", "y1", "x2", "y2")], F.when(F.col("way") == 2, F.concat(F.lit("c/"), F.col("ref_id"))).alias("crop"),
+        F.when(F.col("way") == 1, F.array("ref_id")).otherwise(F.array().cast("array<string>")).alias("sources"), (F.col("way") == 4).alias("no_page"),
+    )
+
+
+@query()
+def q_table_linking(spark, sf):
+    b = bundle(spark, sf)
+    refs = b.tables.select("doc_id", "ref_order", "ref_id", "page", "x1", "y1", "x2", "y2", F.concat(F.lit("c/"), F.col("ref_id")).alias("crop"), F.array("ref_id").alias("sources"))
+    return B.link_extracts(refs, extracts(b))
+
+
+def grids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recognised texts, rows and columns of a table of 4 x 3 cells a document:
+    lines of its text, some wide; each row and column is detected twice."""
+    docs = table(spark, sf, "documents").filter("text is not null")
+    words = F.split("text", " ")
+    near = F.explode(F.array(F.lit(0), F.lit(4))).alias("shift")
+    band = lambda n, size: docs.select(F.col("doc_id").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("table_id", "k", near).select("table_id", (F.col("k") * size + F.col("shift")).cast("double").alias("lo"), (F.col("k") * size + F.col("shift") + size - 6).cast("double").alias("hi"))
+    rows, cols = B.cuts(B.bands(band(4, 30))), B.cuts(B.bands(band(3, 100)))
+    at = docs.select(F.col("doc_id").alias("table_id"), words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    r, c = F.floor(F.col("k") / 3), F.col("k") % 3
+    wide = (F.col("k") == F.pmod("table_id", F.lit(12))) & (c < 2)
+    texts = at.select("table_id", F.col("k").alias("text_no"), (c * 100 + 10).cast("double").alias("x1"), (r * 30 + 8).cast("double").alias("y1"), (c * 100 + F.when(wide, 180).otherwise(80)).cast("double").alias("x2"), (r * 30 + 20).cast("double").alias("y2"), F.coalesce(F.get("w", F.col("k").cast("int")), F.lit("")).alias("text"), F.lit(0.99).alias("conf"))
+    return texts, rows, cols
+
+
+@query("SELECT doc_id AS table_id, CAST(k AS INTEGER) AS nth, CASE WHEN k = 0 THEN 0.0 ELSE ((k - 1) * 30 + 24 + k * 30) / 2.0 END AS start, CASE WHEN k = 3 THEN 114.0 ELSE (k * 30 + 24 + (k + 1) * 30) / 2.0 END AS stop FROM documents, unnest(generate_series(0, 3)) AS u(k) WHERE text IS NOT NULL")
+def q_table_grid_bands(spark, sf):
+    return grids(spark, sf)[1]
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, k // 3 AS r, k % 3 AS c, k, doc_id % 12 AS wide,
+  CASE WHEN k - 1 = doc_id % 12 AND k % 3 > 0 THEN ' ' ELSE (SELECT CASE WHEN x IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE x END FROM (SELECT trim(regexp_replace(coalesce(w[k + 1], ''), '\s+', ' ', 'g')) AS x)) END AS cell
+  FROM t, unnest(generate_series(0, 11)) AS u(k)),
+s AS (SELECT doc_id, k, r, c, CASE WHEN k = wide AND c < 2 THEN trim(regexp_replace(w1 || ' ' || w2, '\s+', ' ', 'g')) ELSE cell END AS cell FROM (
+  SELECT c.*, coalesce(t.w[k + 1], '') AS w1, coalesce(t.w[k + 2], '') AS w2 FROM c JOIN t USING (doc_id))),
+l AS (SELECT doc_id, r, '| ' || string_agg(cell, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '|---|---|---|' ELSE '' END AS line FROM s GROUP BY doc_id, r)
+SELECT doc_id AS table_id, string_agg(line, chr(10) ORDER BY r) AS markdown FROM l GROUP BY doc_id""")
+def q_grid_markdown(spark, sf):
+    return B.markdown(B.cells(*grids(spark, sf)))
+
+
+# --- payloads and stages ----------------------------------------------------------
+
+
+@query(select("SELECT doc_id, CAST(pos AS INTEGER) AS pos, id, page, kind, text, label, x1, y1, x2, y2, confidence FROM elements"))
+def q_payload_elements(spark, sf):
+    """Elements read back from JSON payloads of pages and elements."""
+    rows = derived.layout(spark, sf)
+    one = F.struct((F.col("slot") + 1).alias("id"), "type", F.array("x1", "y1", "x2", "y2").alias("bbox"), "confidence", "text", "slot")
+    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("slot", one.alias("e")))).alias("es"))
+    pages = pages.select("doc_id", F.struct(F.col("page").alias("page_num"), F.transform("es", lambda s: s["e"]).alias("elements")).alias("p"))
+    docs = pages.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("p.page_num").alias("n"), F.to_json("p").alias("j")))).alias("ps"))).alias("x"))
+    text = F.concat(F.lit('{"layout_output":{"pages":['), F.array_join(F.transform(F.from_json("x", "ps array<struct<n:int,j:string>>")["ps"], lambda s: s["j"]), ","), F.lit("]}}"))
+    src = payload.sources(docs.select("doc_id", text.alias("payload")))
+    return payload.elements(src).select("doc_id", F.col("pos").cast("int").alias("pos"), "id", "page", "kind", "text", "label", "x1", "y1", "x2", "y2", "confidence")
+
+
+@query(select("SELECT o.doc_id, o.id, CAST(o.rpos AS INTEGER) AS reading_order, CASE WHEN g.role = 'section' THEN 'section_' || g.id WHEN a.ref_id IS NOT NULL THEN a.ref_id WHEN g.role NOT IN ('paragraph', 'list') THEN g.section_id END AS parent_id FROM ordered o JOIN groups g USING (doc_id, id) LEFT JOIN attached a ON a.doc_id = g.doc_id AND a.id = g.id"))
+def q_stage_diff(spark, sf):
+    """What structure adds to normalised elements: order and parent."""
+    e, dims = cleaned(spark, sf)
+    before = N.kept(e, dims).select("doc_id", "id", F.col("reading_order").alias("b_order"), F.col("parent_id").alias("b_parent"))
+    after = S.parents(S.assemble(e, given_stats(e))).select("doc_id", "id", "reading_order", "parent_id")
+    both = before.join(after, ["doc_id", "id"], "full_outer")
+    return both.filter(~F.col("b_order").eqNullSafe(F.col("reading_order")) | ~F.col("b_parent").eqNullSafe(F.col("parent_id"))).select("doc_id", "id", "reading_order", "parent_id")
