@@ -23,104 +23,150 @@ and the time, and never the result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .shingles import mixed, shingle_set
+from .shingles import mixed, shingle_sets
 
 #: Lossy counting: the least count in a batch; most tokens in the table.
-LOCAL, TABLE = 3, 1 << 18
+LOCAL, TABLE = 2, 1 << 18
+#: Tokens of a batch.
+COUNTED = 8_000_000
 #: Classes, and tokens of near copies, are dealt to this many tasks at joins.
 SALTS = 32
 #: Bits of the filter that says which documents a verification needs.
 BLOOM_BITS = 1 << 25
-PARITY, ORDERS = 4, (2, 3)
+#: Words of 64 bits: of the parity bitmap that joins carry, and of the long one
+#: that pairs are sieved with before their texts move.
+PARITY, LONG, ORDERS = 4, 64, (2, 3)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _bits(tokens: np.ndarray, words: int, parity: bool) -> list[int]:
-    at = (tokens % np.uint64(64 * words)).astype(np.int64)
-    found = np.bincount(at, minlength=64 * words)
-    on = (found & 1 if parity else found > 0).astype(np.uint8)
-    return np.packbits(on).view("<i8").tolist()
-
-
-HEAD = "id long, n long, siga long, sigb long, " + ", ".join(f"bm{i} long" for i in range(PARITY)) + ", " + ", ".join(f"p{j}{i} long" for j in ORDERS for i in range(2)) + ", mh2 long, mh3 long, mh4 long, token long, df long"
+HEAD = "id long, n long, siga long, sigb long, " + ", ".join(f"bm{i} long" for i in range(PARITY)) + ", " + ", ".join(f"p{j}{i} long" for j in ORDERS for i in range(2)) + ", mh2 long, mh3 long, mh4 long, sketch array<long>, token long, df long"
+NAMES = [x.split()[0] for x in HEAD.split(", ")]
+NUMBERS = NAMES[2 : NAMES.index("sketch")]
+
+
+def _pieces(batches: Iterator, most: int = 1000) -> Iterator:
+    """Batches in pieces of few documents, so that flat arrays stay small."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            piece = b.slice(at, most)
+            yield piece.column(0).to_pylist(), piece.column(1).to_pylist()
+
+
+def _words_of_bits(doc: np.ndarray, bit: np.ndarray, docs: int, words: int, parity: bool) -> np.ndarray:
+    """Bitmaps of ``words`` 64-bit words a document, from (document, bit) pairs."""
+    found = np.bincount(doc * (64 * words) + bit, minlength=docs * 64 * words).reshape(docs, -1)
+    return np.packbits((found & 1 if parity else found > 0).astype(np.uint8), axis=1).view("<i8")
+
+
+def _summaries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns siga to mh4 of non-empty sets, a row for each, and sketches."""
+    size = np.array([len(s) for s in sets])
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    columns = [np.add.reduceat(mixed(flat, salt), first).view(np.int64)[:, None] for salt in (11, 12)]
+    columns.append(_words_of_bits(doc, (mixed(flat, 9) >> np.uint64(8)).astype(np.int64) % (64 * PARITY), len(sets), PARITY, True))
+    lows = []
+    for j in (*ORDERS, 4):
+        h = mixed(flat, j)
+        if j in ORDERS:
+            cut_at = np.empty(len(sets), dtype=np.uint64)
+            for i, (a, n) in enumerate(zip(first.tolist(), size.tolist())):
+                p = prefix_length(n, percent) - 1
+                cut_at[i] = np.partition(h[a : a + n], p)[p]
+            early = np.flatnonzero(h <= cut_at[doc])
+            columns.append(_words_of_bits(doc[early], (mixed(flat[early], 30 + j) >> np.uint64(8)).astype(np.int64) % 128, len(sets), 2, False))
+        low = np.minimum.reduceat(h, first)
+        h[h == low[doc]] = np.uint64(2**64 - 1)
+        lows.append((low ^ (np.minimum.reduceat(h, first) << np.uint64(1))).view(np.int64)[:, None])
+    sketch = _words_of_bits(doc, (mixed(flat, 8) >> np.uint64(8)).astype(np.int64) % (64 * LONG), len(sets), LONG, True)
+    return np.concatenate([*columns, *lows], axis=1), sketch
 
 
 def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row for each document (token null), and counted tokens (id and n null)."""
     import pyarrow as pa
 
-    names = [x.split()[0] for x in HEAD.split(", ")]
-
-    def row(i, text) -> tuple[list, np.ndarray]:
-        s = shingle_set(text, k)
-        n = len(s)
-        if not n:
-            return [i, 0, *[None] * (len(names) - 2)], s
-        with np.errstate(over="ignore"):
-            sig = [int(np.add.reduce(mixed(s, salt)).astype(np.int64)) for salt in (11, 12)]
-        p = prefix_length(n, percent)
-        bits, mh = _bits(mixed(s, 9), PARITY, True), []
-        for j in (*ORDERS, 4):
-            h = mixed(s, j)
-            if j in ORDERS:
-                bits += _bits(np.partition(h, p - 1)[:p] if p < n else h, 2, False)
-            low = np.sort(np.partition(h, min(1, n - 1))[:2])
-            mh.append(int((low[0] ^ (low[-1] << np.uint64(1))).astype(np.int64)))
-        return [i, n, *sig, *bits, *mh, None, None], s
-
     def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            rows, sets = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                r, s = row(i, t.as_py())
-                rows.append(r)
-                sets.append(s)
-            if sets:
-                token, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= LOCAL
-                rows += [[None] * (len(names) - 2) + [t, c] for t, c in zip(token[often].astype(np.int64).tolist(), count[often].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), names=names)
+        seen: list[np.ndarray] = []
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(seen), return_counts=True)
+            often = count >= LOCAL
+            n = int(often.sum())
+            nulls = [pa.nulls(n, pa.int64())] * (2 + len(NUMBERS)) + [pa.nulls(n, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=NAMES)
+
+        for ids, texts in _pieces(batches):
+            sets = shingle_sets(texts, k)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            n = len(sets)
+            values, sketch = np.zeros((n, len(NUMBERS)), dtype=np.int64), np.zeros((n, LONG), dtype=np.int64)
+            if some:
+                values[some], sketch[some] = _summaries([sets[i] for i in some], percent)
+                seen += sets
+                held += sum(map(len, sets))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in values.T), pa.ListArray.from_arrays(np.arange(0, (n + 1) * LONG, LONG, dtype=np.int32), sketch.reshape(-1)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
+            if held > COUNTED:
+                yield counted()
+                seen, held = [], 0
+        if seen:
+            yield counted()
 
     return docs.mapInArrow(run, HEAD)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, id): the prefix of each document under order 1, rare tokens first."""
+    """(token, id): the prefix of each document under order 1, rare tokens first.
+
+    Of equal sets in a piece of a batch the smallest id speaks for all.
+    """
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator) -> Iterator:
         tokens, level = shared.value
-        for b in batches:
-            ids, found = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                s = shingle_set(t.as_py(), k)
+        maybe = np.zeros(1 << 22, dtype=bool)
+        maybe[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        for ids, texts in _pieces(batches):
+            own: dict[bytes, tuple[int, np.ndarray]] = {}
+            for i, s in zip(ids, shingle_sets(texts, k)):
+                if i is not None and len(s):
+                    key = xxhash.xxh3_128_digest(s.tobytes())
+                    if key not in own or own[key][0] > i:
+                        own[key] = (i, s)
+            if not own:
+                continue
+            sets = [s for _, s in own.values()]
+            flat = np.concatenate(sets)
+            rank = np.zeros(len(flat), dtype=np.uint64)
+            hot = np.flatnonzero(maybe[(flat & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            if len(hot):
+                at = np.searchsorted(tokens, flat[hot])
+                at[at == len(tokens)] = 0
+                rank[hot] = np.where(tokens[at] == flat[hot], level[at], 0).astype(np.uint64)
+            key = (rank << np.uint64(54)) | (mixed(flat, 1) >> np.uint64(10))
+            found, at = [], 0
+            for s in sets:
                 n = len(s)
-                if not n or i is None:
-                    continue
                 p = prefix_length(n, percent)
-                if p < n:
-                    at = np.searchsorted(tokens, s)
-                    at[at == len(tokens)] = 0
-                    rank = np.where(tokens[at] == s, level[at], 0) if len(tokens) else np.zeros(n, dtype=np.int64)
-                    s = s[np.lexsort((mixed(s, 1), rank))[:p]]
-                found.append(s)
-                ids.append(np.full(len(s), i, dtype=np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["token", "id"])
+                found.append(s if p >= n else s[np.argpartition(key[at : at + n], p - 1)[:p]])
+                at += n
+            who = np.repeat(np.array([i for i, _ in own.values()], dtype=np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(who)], names=["token", "id"])
 
     return docs.mapInArrow(run, "token long, id long")
 
@@ -145,56 +191,77 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def needed_sets(docs: DataFrame, k: int, needed: DataFrame) -> DataFrame:
-    """(id, s) of the documents that the filter over ``needed`` lets pass."""
-    import pyarrow as pa
-
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(needed))
-
-    def run(batches: Iterator) -> Iterator:
-        bits = shared.value
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            ok = ~np.asarray(b.column(0).is_null())
-            whole = np.where(ok, ids, 0).astype(np.int64)
-            for at in _bloom_places(whole):
-                ok &= (bits[at >> 6] >> (at & 63)) & 1 == 1
-            at = np.flatnonzero(ok).tolist()
-            sets = [shingle_set(b.column(1)[i].as_py(), k).view(np.int64) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(whole[at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
-
-    return docs.mapInArrow(run, "id long, s array<long>")
+def passes(bits: np.ndarray, ids) -> np.ndarray:
+    """Which of an Arrow column of ids the filter lets pass; null ones never."""
+    ok = ~np.asarray(ids.is_null())
+    whole = np.where(ok, ids.to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    for at in _bloom_places(whole):
+        ok &= (bits[at >> 6] >> (at & 63)) & 1 == 1
+    return ok
 
 
 def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are at least ``percent`` similar.
 
-    Sets are made again from the texts of documents in pairs alone. The set of b
-    travels with the pair to the set of a.
+    Only documents in pairs leave the scan, as texts, which are a third of the
+    size of their sets: b's text goes to the pair, the pair to a's text.
     """
+    import pyarrow as pa
+
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = needed_sets(docs, k, ids)
-    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    out = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("c"))
-    return out.filter(F.lit(100) * F.col("c") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    def some(batches: Iterator) -> Iterator:
+        for t in batches:
+            yield t.filter(pa.array(passes(shared.value, t.column(0))))
+
+    def compared(batches: Iterator) -> Iterator:
+        for t in batches:
+            for at in range(0, t.num_rows, 500):
+                piece = t.slice(at, 500)
+                left, right = (shingle_sets(piece.column(c).to_pylist(), k) for c in ("ta", "tb"))
+                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)])
+                both = np.array([len(x) + len(y) for x, y in zip(left, right)]) - common
+                yield piece.select(["a", "b"]).filter(pa.array(100 * common >= percent * both))
+
+    texts = docs.mapInArrow(some, "id long, text string")
+    half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    whole = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    return whole.select("a", "b", "ta", "tb").mapInArrow(compared, "a long, b long")
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Necessary conditions of a link between rows aliased x and y of heads."""
+    """Necessary conditions of a link: sizes and parity bitmaps of rows x and y."""
     c = lambda side, name: F.col(f"{side}.{name}")
     low, high = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
     ok = F.lit(100) * low >= F.lit(percent) * high
     apart = sum((F.bit_count(c(x, f"bm{i}").bitwiseXOR(c(y, f"bm{i}"))) for i in range(PARITY)), F.lit(0))
     ok &= F.lit(100 + percent) * apart <= F.lit(100 - percent) * (low + high)
-    for j in ORDERS:
-        shared = [c(x, f"p{j}{i}").bitwiseAND(c(y, f"p{j}{i}")) != 0 for i in range(2)]
-        ok &= shared[0] | shared[1]
     return ok
 
 
-_ATTRS = ["n", *(f"bm{i}" for i in range(PARITY)), *(f"p{j}{i}" for j in ORDERS for i in range(2))]
+def in_all_orders(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes meet under the other orders too."""
+    p = [f"p{j}{i}" for j in ORDERS for i in range(2)]
+    side = lambda s: reps.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in p])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    for j in ORDERS:
+        shared = [F.col(f"a_p{j}{i}").bitwiseAND(F.col(f"b_p{j}{i}")) != 0 for i in range(2)]
+        both = both.filter(shared[0] | shared[1])
+    return both.select("a", "b")
+
+
+def sieved(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose long parity bitmaps differ in no more bits than
+    linked sets can; ``sketches`` has (id, n, sketch)."""
+    side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return both.filter(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
+_SIEVE = ["n", *(f"bm{i}" for i in range(PARITY))]
+_ATTRS = [*_SIEVE, *(f"p{j}{i}" for j in ORDERS for i in range(2))]
 
 
 def _stars(reps: DataFrame, percent: int) -> DataFrame:
@@ -208,7 +275,7 @@ def _stars(reps: DataFrame, percent: int) -> DataFrame:
         often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         score = score.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(often, [f"mh{j}", "salt"], "left").drop("salt")
     score = cut(score.filter("c2 > 1 or c3 > 1 or c4 > 1").withColumn("typical", sum(F.coalesce(f"c{j}", F.lit(1)) for j in (2, 3, 4))), "typical")
-    whole = F.struct("id", *_ATTRS)
+    whole = F.struct("id", *_SIEVE)
     stars = None
     for j in (2, 3, 4):
         mine = score.filter(f"c{j} > 1")
@@ -218,7 +285,7 @@ def _stars(reps: DataFrame, percent: int) -> DataFrame:
         both = mine.alias("x").join(pivot.alias("y"), [f"mh{j}", "salt"]).filter((F.col("x.id") != F.col("y.id")) & may_link("x", "y", percent))
         both = both.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
         stars = both if stars is None else stars.unionByName(both)
-    return stars.distinct()
+    return in_all_orders(stars.distinct(), reps)
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -234,29 +301,35 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = cut(heads(text, k, percent), "heads")
-    rows = both.filter(F.col("token").isNull()).drop("token", "df")
+    rows = both.filter(F.col("token").isNull()).drop("token", "df", "sketch")
+    sketches = both.filter(F.col("token").isNull() & (F.col("n") > 0)).select("id", "n", "sketch")
     table = both.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(TABLE).select("token", "df").toPandas()
     tokens = table["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    level = np.ceil(8 * np.log2(np.maximum(table["df"].to_numpy(dtype=np.float64), 1)))[order].astype(np.int64)
+    level = np.minimum(1023, np.ceil(16 * np.log2(np.maximum(table["df"].to_numpy(dtype=np.float64), 1))))[order].astype(np.int64)
     classes = rows.filter("n > 0").groupBy("siga", "sigb").agg(F.count("*").alias("copies"), F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*_ATTRS, "mh2", "mh3", "mh4")])
     classes = cut(classes, "classes")
     reps = classes.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
-    stars = cut(_stars(reps, percent), "stars")
+    stars = cut(sieved(_stars(reps, percent), sketches, percent), "stars")
     sure = cut(verified(text, k, percent, stars), "sure")
     up = sure.groupBy("b").agg(F.min("a").alias("up"))
-    once = reps.join(up, reps["id"] == up["b"], "left").select("id", *_ATTRS, F.least(F.coalesce("up", "id"), "id").alias("g1"), F.coalesce("up", "id").alias("up"))
     hop = up.select(F.col("b").alias("up"), F.col("up").alias("up2"))
-    nodes = once.join(hop, "up", "left").select("id", *_ATTRS, F.coalesce("up2", "up").alias("family"))
-    posts = prefixes(text, k, percent, (tokens[order], level))
-    many = posts.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("token")
-    met = posts.join(many, "token").join(nodes, "id")
-    met = cut(met.dropDuplicates(["token", "id"]), "met")
-    mixed_posts = met.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo < hi").select("token")
-    met = met.join(mixed_posts, "token")
+    nodes = reps.join(up, reps["id"] == up["b"], "left").drop("b").join(hop, "up", "left")
+    nodes = nodes.select("id", *_SIEVE, F.coalesce("up2", "up", "id").alias("family"))
+    by_token = Window.partitionBy("token")
+
+    def several(posts: DataFrame, what: str) -> DataFrame:
+        """Posts of tokens that at least two values of ``what`` hold."""
+        ends = posts.withColumn("lo", F.min(what).over(by_token)).withColumn("hi", F.max(what).over(by_token))
+        return ends.filter("lo < hi").drop("lo", "hi")
+
+    posts = several(prefixes(text, k, percent, (tokens[order], level)), "id")
+    posts = several(posts.join(nodes.select("id", "family"), "id"), "family")
+    met = cut(posts.join(nodes.drop("family"), "id"), "met")
     x, y = met.alias("x"), met.alias("y")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.family") != F.col("y.family")) & may_link("x", "y", percent))
-    pairs = cut(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "pairs")
+    pairs = in_all_orders(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), reps)
+    pairs = cut(sieved(cut(pairs, "candidates"), sketches, percent), "pairs")
     more = verified(text, k, percent, pairs)
     links = sure.unionByName(more)
     parts = components(links)

@@ -8,7 +8,7 @@ import xxhash
 from .common import lower_bytes
 
 #: Most words in the memo of word hashes.
-MEMO = 500_000
+MEMO = 300_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -24,12 +24,10 @@ _WORDS = _Words()
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of 64-bit hashes (a finaliser of shifts and products)."""
+    """Another hash of values that are hashes already."""
     with np.errstate(over="ignore"):
-        x = x ^ np.uint64(salt * 0x165667B19E3779F9 & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(33))
+        x = (x ^ np.uint64(salt * 0x165667B19E3779F9 & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(32))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -49,9 +47,25 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct k-word shingles; fewer words than k are one shingle."""
-    words = word_hashes(text)
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(grams(words, min(k, len(words)) if len(words) >= k else len(words)))
+def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
+    """For each text its sorted distinct k-word shingles; a text with fewer
+    words has its whole sequence as one, a text without words none."""
+    words = [word_hashes(t) for t in texts]
+    if not words:
+        return []
+    run = grams(np.concatenate(words), k)
+    out, at = [], 0
+    for w in words:
+        n = len(w)
+        if n >= k:
+            s = run[at : at + n - k + 1]
+            s = np.sort(s)
+            if n > k:
+                fresh = s[1:] != s[:-1]
+                if not fresh.all():
+                    s = s[np.concatenate([[True], fresh])]
+        else:
+            s = grams(w, n) if n else w
+        out.append(s)
+        at += n
+    return out
