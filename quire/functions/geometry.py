@@ -28,15 +28,18 @@ def overlaps(a, b) -> Column:
 
 def iou(a, b) -> Column:
     """Intersection over union; null if a box is missing, 0 if they only touch."""
+    known = F.lit(True)
+    for c in (*a, *b):
+        known = known & c.isNotNull()
     common = intersection(a, b)
-    return F.when(common.isNull(), None).when(common <= 0, 0.0).otherwise(common / (area(a) + area(b) - common))
+    return F.when(known, F.when(common <= 0, 0.0).otherwise(F.try_divide(common, area(a) + area(b) - common)))
 
 
 def horizontal_overlap(a, b) -> Column:
     """Common width over the smaller width; 0 for boxes without width."""
     wa, wb = F.greatest(F.lit(0.0), a[2] - a[0]), F.greatest(F.lit(0.0), b[2] - b[0])
     common = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
-    return F.when((wa <= 0) | (wb <= 0), 0.0).otherwise(common / F.least(wa, wb))
+    return F.when((wa <= 0) | (wb <= 0), 0.0).otherwise(F.try_divide(common, F.least(wa, wb)))
 
 
 def height(b) -> Column:

@@ -46,7 +46,7 @@ def fake_pictures(boxes: DataFrame) -> DataFrame:
     """(doc_id, page, pos, n_inside): pictures that hold four or more boxes."""
     a, b = boxes.filter(F.col("type").isin("Picture", "Figure")).alias("a"), boxes.alias("b")
     same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.pos") != F.col("b.pos"))
-    inside = (G.area(G.box("b")) > 0) & (G.intersection(G.box("a"), G.box("b")) > INSIDE * G.area(G.box("b")))
+    inside = F.try_divide(G.intersection(G.box("a"), G.box("b")), G.area(G.box("b"))) > INSIDE
     return a.join(b, same & inside).groupBy("a.doc_id", "a.page", "a.pos").agg(F.count("*").alias("n_inside")).filter(F.col("n_inside") >= CROWD)
 
 
@@ -67,7 +67,7 @@ def rival_pairs(boxes: DataFrame) -> DataFrame:
     common, least = G.intersection(G.box("a"), G.box("b")), F.least(G.area(G.box("a")), G.area(G.box("b")))
     pa, pb = _priority(F.col("a.type")), _priority(F.col("b.type"))
     wins = (pa > pb) | ((pa == pb) & (F.col("a.confidence") >= F.col("b.confidence")))
-    out = a.join(b, same & (common > 0) & (common > SAME * least))
+    out = a.join(b, same & (common > 0) & (F.try_divide(common, least) > SAME))
     return out.select("a.doc_id", "a.page", F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.when(wins, F.col("b.pos")).otherwise(F.col("a.pos")).alias("loser"))
 
 

@@ -154,7 +154,7 @@ def q_missed_text_sweep(spark, sf):
     return D.missed_texts(rows.filter(~F.col("type").isin("Text", "Table")), seen).select("doc_id", "page", "pos", "text")
 
 
-@query(select(f"SELECT a.doc_id, a.page, a.pos, count(*) AS n_inside FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos <> b.pos WHERE a.type IN ('Picture', 'Figure') AND {common('a.', 'b.')} > 0.80 * {area('b.')} GROUP BY ALL HAVING count(*) >= 4"))
+@query(select(f"SELECT a.doc_id, a.page, a.pos, count(*) AS n_inside FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos <> b.pos WHERE a.type IN ('Picture', 'Figure') AND {common('a.', 'b.')} / nullif({area('b.')}, 0) > CAST(0.80 AS DOUBLE) GROUP BY ALL HAVING count(*) >= 4"))
 def q_fake_picture_filter(spark, sf):
     return D.fake_pictures(detections(spark, sf))
 
@@ -163,7 +163,7 @@ _PRIORITY = "CASE {}.type WHEN 'Table' THEN 3 WHEN 'Picture' THEN 2 WHEN 'Formul
 _A, _B = _PRIORITY.format("a"), _PRIORITY.format("b")
 
 
-@query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, CASE WHEN {_A} > {_B} OR ({_A} = {_B} AND a.confidence >= b.confidence) THEN b.pos ELSE a.pos END AS loser FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos WHERE {common('a.', 'b.')} > 0 AND {common('a.', 'b.')} > 0.70 * least({area('a.')}, {area('b.')})"))
+@query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, CASE WHEN {_A} > {_B} OR ({_A} = {_B} AND a.confidence >= b.confidence) THEN b.pos ELSE a.pos END AS loser FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos WHERE {common('a.', 'b.')} > 0 AND {common('a.', 'b.')} / nullif(least({area('a.')}, {area('b.')}), 0) > CAST(0.70 AS DOUBLE)"))
 def q_nms_pairs(spark, sf):
     return D.rival_pairs(detections(spark, sf))
 
