@@ -16,6 +16,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..sources.shared import stored
 from . import normalize as N
+from .tables import link_extracts
 
 PARAGRAPH_KINDS = ("text", "quote", "code_block", "formula", "caption")
 ENDS = r"""[.!?;:)\]}"'”’]$"""
@@ -56,35 +57,66 @@ def caption_candidates(objects: DataFrame, ordered: DataFrame, stats: DataFrame,
     return both.select("doc_id", "page", "ref_id", "ref_order", "caption_id", "caption_pos", "rank", "distance")
 
 
-def caption_links(candidates: DataFrame) -> DataFrame:
+def caption_links(candidates: DataFrame, said: DataFrame | None = None) -> DataFrame:
     """(doc_id, ref_id, caption_id): objects in order take their nearest caption
-    that is still free, those below before those above. The fold is over the
-    candidates of a page, a few rows."""
-    row = F.struct("ref_order", "rank", "distance", "caption_pos", "ref_id", "caption_id")
-    page = candidates.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    that is still free, those below before those above. ``said`` has (doc_id,
+    page, ref_id, ref_order, caption_id) that an extractor gave: those hold, and
+    are taken from their place in the order on. The fold is over the candidates
+    of a page, a few rows."""
+    rows = candidates.withColumn("said", F.lit(False))
+    if said is not None:
+        rows = rows.join(said.select("doc_id", "ref_id"), ["doc_id", "ref_id"], "left_anti")
+        rows = rows.unionByName(said.select("doc_id", "page", "ref_id", F.col("ref_order").cast("int").alias("ref_order"), "caption_id", F.lit(-1).alias("caption_pos"), F.lit(-1).alias("rank"), F.lit(0.0).alias("distance"), F.lit(True).alias("said")))
+    row = F.struct("ref_order", "rank", "distance", "caption_pos", "ref_id", "caption_id", "said")
+    page = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     taken = F.aggregate(
         "rows",
         F.array().cast("array<struct<ref_id:string,caption_id:string>>"),
-        lambda out, r: F.when(F.exists(out, lambda o: (o["ref_id"] == r["ref_id"]) | (o["caption_id"] == r["caption_id"])), out).otherwise(
+        lambda out, r: F.when(F.exists(out, lambda o: (o["ref_id"] == r["ref_id"]) | (~r["said"] & (o["caption_id"] == r["caption_id"]))), out).otherwise(
             F.concat(out, F.array(F.struct(r["ref_id"].alias("ref_id"), r["caption_id"].alias("caption_id"))))
         ),
     )
     return page.select("doc_id", F.explode(taken).alias("l")).select("doc_id", "l.ref_id", "l.caption_id")
 
 
-def note_links(tables: DataFrame, links: DataFrame, ordered: DataFrame, stats: DataFrame) -> DataFrame:
+def note_links(tables: DataFrame, links: DataFrame, ordered: DataFrame, stats: DataFrame, said: DataFrame | None = None) -> DataFrame:
     """(doc_id, ref_id, note_id, distance, nth): notes below a table, or below its
-    caption if it has one; each note goes to the first table that it fits."""
+    caption if it has one; each note goes to the first table that it fits.
+    ``said`` has (doc_id, ref_id, ref_order, note_id, nth) that an extractor
+    gave: such tables look for no others, and later tables find those taken."""
     n = ordered.filter((F.col("kind") == "note") & F.col("x1").isNotNull() & T.looks_like_note(F.col("text")))
     n = n.select("doc_id", "page", F.col("id").alias("note_id"), F.col("rpos").alias("note_pos"), *[F.col(x).alias(f"n_{x}") for x in ("x1", "y1", "x2", "y2")])
     c = ordered.select("doc_id", F.col("id").alias("caption_id"), F.col("y2").alias("c_y2"))
     anchored = tables.join(links, ["doc_id", "ref_id"], "left").join(c, ["doc_id", "caption_id"], "left").withColumn("below", F.coalesce("c_y2", "y2"))
     both = anchored.join(n, ["doc_id", "page"]).join(stats.select("doc_id", "page", "median_line_height"), ["doc_id", "page"], "left").withColumn("distance", F.col("n_y1") - F.col("below"))
     both = both.filter((F.col("distance") >= 0) & (F.col("distance") <= G.note_reach(F.col("median_line_height"))) & (G.horizontal_overlap(G.box(prefix="n_"), G.box()) >= 0.30))
+    if said is not None:
+        both = both.join(said.select("doc_id", "ref_id").distinct(), ["doc_id", "ref_id"], "left_anti")
+        taken = said.groupBy("doc_id", "note_id").agg(F.min("ref_order").alias("_from"))
+        both = both.join(taken, ["doc_id", "note_id"], "left").filter(F.col("_from").isNull() | (F.col("_from") > F.col("ref_order")))
     first = F.row_number().over(Window.partitionBy("doc_id", "note_id").orderBy("ref_order"))
     both = both.withColumn("_first", first).filter("_first = 1")
     nth = F.row_number().over(Window.partitionBy("doc_id", "ref_id").orderBy("distance", "note_pos"))
-    return both.select("doc_id", "ref_id", "note_id", "distance", nth.alias("nth"))
+    found = both.select("doc_id", "ref_id", "note_id", "distance", nth.alias("nth"))
+    if said is None:
+        return found
+    return found.unionByName(said.select("doc_id", "ref_id", "note_id", F.lit(None).cast("double").alias("distance"), "nth"))
+
+
+def with_extracts(tables: DataFrame, crops: DataFrame, extracts: DataFrame) -> DataFrame:
+    """Table references with what extracts say: the columns of ``tables`` and
+    caption_id, note_ids, markdown, crop. An extract of no layout table is a
+    reference of its own, after the others. ``crops`` has (doc_id, ref_id, crop)."""
+    none = F.array().cast("array<string>")
+    refs = tables.join(crops, ["doc_id", "ref_id"], "left").withColumn("sources", F.array("ref_id"))
+    links = link_extracts(refs, extracts).filter("ref_id is not null").select("doc_id", F.col("extract_id").alias("e_id"), "ref_id")
+    e = extracts.select("doc_id", F.col("ref_id").alias("e_id"), "nth", *[F.col(c).alias(f"e_{c}") for c in ("page", "x1", "y1", "x2", "y2", "crop", "markdown", "caption_id", "note_ids")])
+    own = refs.join(links, ["doc_id", "ref_id"], "left").join(e, ["doc_id", "e_id"], "left")
+    boxes = [F.coalesce(c, f"e_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    own = own.select("doc_id", "ref_id", "ref_order", "page", *boxes, "text", "anchored", F.col("e_caption_id").alias("caption_id"), F.coalesce("e_note_ids", none).alias("note_ids"), F.col("e_markdown").alias("markdown"), F.coalesce("e_crop", "crop").alias("crop"))
+    alone = e.join(links, ["doc_id", "e_id"], "left_anti").join(tables.groupBy("doc_id").agg(F.max("ref_order").alias("m")), "doc_id", "left")
+    alone = alone.select("doc_id", F.col("e_id").alias("ref_id"), (F.coalesce("m", F.lit(0)) + F.col("nth") + 1).alias("ref_order"), F.col("e_page").alias("page"), *[F.col(f"e_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(None).cast("string").alias("text"), F.lit(False).alias("anchored"), F.col("e_caption_id").alias("caption_id"), F.col("e_note_ids").alias("note_ids"), F.col("e_markdown").alias("markdown"), F.col("e_crop").alias("crop"))
+    return own.unionByName(alone)
 
 
 def _flow(p, tolerance: Column) -> Column:
@@ -224,23 +256,34 @@ class Bundle:
     groups: DataFrame
 
 
-def assemble(raw: DataFrame, stats: DataFrame | None = None, store=stored) -> Bundle:
+def assemble(raw: DataFrame, stats: DataFrame | None = None, store=stored, extracts: DataFrame | None = None) -> Bundle:
     """Raw elements to ordered, attached and grouped ones.
 
     Each stage is stored once: later stages and the queries read it several
     times, and plans stay small. ``store`` may be another way to keep a frame.
+    ``extracts`` are table extracts as ``payload.table_extracts`` gives them;
+    captions and notes that they name hold.
     """
     raw = store(raw, "elements")
     dims = N.page_dimensions(raw, stats)
     ordered = store(in_order(N.kept(raw, dims)), "ordered")
     pages = store(N.page_stats(ordered, dims, stats), "pages")
     refs = {k: store(N.synced(N.references(raw, k), ordered), f"{k}s") for k in ("table", "figure", "note")}
-    links = caption_links(caption_candidates(refs["table"], ordered, pages, "table")).withColumn("object", F.lit("table"))
+    captions = notes = None
+    if extracts is not None:
+        crop = F.col("crop") if "crop" in raw.columns else F.lit(None).cast("string")
+        refs["table"] = store(with_extracts(refs["table"], raw.select("doc_id", F.col("id").alias("ref_id"), crop.alias("crop")), extracts), "tables-linked")
+        named = refs["table"].filter("caption_id is not null").select("doc_id", "page", "ref_id", "ref_order", "caption_id")
+        at = ordered.select("doc_id", F.col("id").alias("caption_id"), F.col("page").alias("c_page"))
+        captions = named.join(at, ["doc_id", "caption_id"], "left").withColumn("page", F.coalesce("c_page", "page")).drop("c_page")
+        notes = refs["table"].select("doc_id", "ref_id", "ref_order", F.posexplode("note_ids").alias("k", "note_id")).select("doc_id", "ref_id", "ref_order", "note_id", (F.col("k") + 1).alias("nth"))
+    plain = refs["table"].select("doc_id", "ref_id", "ref_order", "page", "x1", "y1", "x2", "y2", "text", "anchored")
+    links = caption_links(caption_candidates(plain, ordered, pages, "table"), captions).withColumn("object", F.lit("table"))
     links = store(links.unionByName(caption_links(caption_candidates(refs["figure"], ordered, pages, "figure")).withColumn("object", F.lit("figure"))), "captions")
-    notes = store(note_links(refs["table"], links.filter("object = 'table'").drop("object"), ordered, pages), "notes")
-    attached = links.select("doc_id", F.col("caption_id").alias("id")).unionByName(notes.select("doc_id", F.col("note_id").alias("id")))
+    found = store(note_links(plain, links.filter("object = 'table'").drop("object"), ordered, pages, notes), "notes")
+    attached = links.select("doc_id", F.col("caption_id").alias("id")).unionByName(found.select("doc_id", F.col("note_id").alias("id")))
     groups = store(grouped(ordered, attached, pages), "groups")
-    return Bundle(ordered, pages, refs["table"], refs["figure"], refs["note"], links, notes, groups)
+    return Bundle(ordered, pages, refs["table"], refs["figure"], refs["note"], links, found, groups)
 
 
 def relations(b: Bundle) -> DataFrame:

@@ -17,7 +17,8 @@ def _iou(a, b):
     h = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
     common = w * h
     area = lambda r: F.greatest(F.lit(0.0), r["x2"] - r["x1"]) * F.greatest(F.lit(0.0), r["y2"] - r["y1"])
-    return F.coalesce(F.when(common > 0, common / (area(a) + area(b) - common)), F.lit(0.0))
+    known = a["x1"].isNotNull() & b["x1"].isNotNull()
+    return F.coalesce(F.when(known & (common > 0), F.try_divide(common, area(a) + area(b) - common)), F.lit(0.0))
 
 
 def link_extracts(refs: DataFrame, extracts: DataFrame) -> DataFrame:

@@ -21,10 +21,13 @@ def render_payloads(payloads: DataFrame) -> DataFrame:
     """(doc_id, markdown) of JSON payloads (doc_id, payload)."""
     src = payload.sources(payloads)
     elements = payload.elements(src)
-    b = S.assemble(elements, payload.page_stats(src))
+    b = S.assemble(elements, payload.page_stats(src), extracts=payload.table_extracts(src))
     none = F.lit(None).cast("string")
-    paths = elements.filter("crop is not null").select("doc_id", F.col("id").alias("ref_id"), none.alias("markdown"), F.col("crop").alias("path"))
-    return R.documents(R.blocks(b, paths)).select("doc_id", "markdown")
+    tables = b.tables.select("doc_id", "ref_id", "markdown", F.col("crop").alias("path"))
+    figures = elements.filter("kind = 'figure'").select("doc_id", F.col("id").alias("ref_id"), none.alias("markdown"), F.col("crop").alias("path"))
+    rows = b.tables.drop("markdown", "crop", "caption_id", "note_ids")
+    plain = S.Bundle(b.elements, b.stats, rows, b.figures, b.notes, b.captions, b.attached_notes, b.groups)
+    return R.documents(R.blocks(plain, tables.unionByName(figures))).select("doc_id", "markdown")
 
 
 def follow(spark: SparkSession, landing: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -202,6 +202,14 @@ def test_table_payloads(spark):
     assert (rows[1]["ref_id"], rows[1]["page"], rows[1]["caption_id"], rows[1]["note_ids"]) == ("t", 4, "c", ["n"])
 
 
+def test_extracts_name_captions_and_notes(spark):
+    box = lambda y: [0, y, 90, y + 10]
+    page = {"page": 1, "width": 100, "height": 1000, "elements": [{"id": "intro", "type": "text", "text": "Intro.", "bbox": box(200)}, {"id": "t1", "type": "table", "bbox": box(300)}, {"id": "far", "type": "caption", "text": "plain words", "bbox": box(600)}, {"id": "n1", "type": "note", "text": "also plain", "bbox": box(700)}, {"id": "t2", "type": "table", "bbox": box(800)}]}
+    tables = {"tables": [{"table_id": "t1", "page": 1, "caption_id": "far", "note_ids": ["n1"], "markdown": "| a |\n|---|"}, {"table_id": "new", "page": 1, "markdown": "| b |\n|---|"}, {"table_id": "third", "markdown": "| c |\n|---|"}]}
+    got = landing.render_payloads(payloads(spark, {"layout_output": {"pages": [page]}, "table_output": tables})).first()["markdown"]
+    assert got == "Intro.\n\n| a |\n|---|\n\n*plain words*\n\nalso plain\n\n| b |\n|---|\n\n| c |\n|---|"
+
+
 def test_landing_stream(spark, tmp_path):
     page = {"pages": [{"page": 1, "width": 100, "height": 1000, "elements": [{"id": "h", "type": "Title", "text": "1 Top", "bbox": [0, 200, 90, 220]}, {"id": "a", "type": "Text", "text": "# body", "bbox": [0, 230, 90, 240]}]}]}
     payloads(spark, page).write.parquet(str(tmp_path / "in"))
