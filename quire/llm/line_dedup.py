@@ -49,22 +49,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty texts are one empty line (the text becomes ""). Rows that
     repeat an id count as documents of their own and share its fate; a null id
     is smaller than any other. The text of any length is one array of lines.
-    Own columns start with an underscore until the end, so other columns of
-    ``docs`` pass through whatever their names, except n_lines and n_dropped,
-    which are replaced.
+    Other columns of ``docs`` pass through whatever their names, except n_lines
+    and n_dropped, which are replaced. An empty table gives no rows.
     """
-    base = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    drops = drop_lists(base, id_col, text_col, min_chars, min_docs)
-    both = base.join(drops, base[id_col].eqNullSafe(drops["_id"]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    own = F.col("_row")
+    whole = F.coalesce(own[text_col], F.lit(""))
+    drops = drop_lists(rows.select(own[id_col].alias("_doc"), whole.alias("_text")), "_doc", "_text", min_chars, min_docs)
+    both = rows.join(drops, own[id_col].eqNullSafe(F.col("_id")), "left")
+    lines = F.split(whole, "\n", -1)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         h1, h2 = _hashes(key)
         return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("_drops"), F.struct(h1.alias("a"), h2.alias("b")))
 
-    kept = F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    n_lines = F.size(lines).cast("long")
-    out = both.withColumn("_n_lines", n_lines).withColumn("_kept_n", F.when(F.col("_drops").isNull(), F.col("_n_lines")).otherwise(F.size(F.filter(lines, stays)).cast("long"))).withColumn("_kept", kept)
+    kept = F.when(F.col("_drops").isNotNull(), F.filter(lines, stays))
+    both = both.select("_row", whole.alias("_text"), F.size(lines).cast("long").alias("_n"), kept.alias("_kept"))
+    text = F.when(F.col("_kept").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[(F.col("_kept").alias(c) if c == text_col else F.col(c)) for c in names], F.col("_n_lines").alias("n_lines"), (F.col("_n_lines") - F.col("_kept_n")).alias("n_dropped"))
+    lost = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("_n") - F.size("_kept")).cast("long")
+    return both.select(*[(text if c == text_col else own[c]).alias(c) for c in names], F.col("_n").alias("n_lines"), lost.alias("n_dropped"))
