@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import holds_memory
 from .tokens import PretokenEncoder, encoder
 
 #: Rolling hash: 2^BITS code points a chunk on average, MOST at most.
@@ -28,7 +29,7 @@ BITS, MOST = 9, 8192
 #: Odd multiplier of the rolling hash and of its finish.
 MULT, FINISH = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Chunks that a worker keeps, and the longest that it keeps.
-CHUNKS = 20_000
+CHUNKS = 4_000
 #: Boundaries of a chunk's head that a join may meet, and those tried first.
 HEADS, FIRST = 24, 6
 #: A split this close to the end of a text may change with what follows ('ll).
@@ -139,11 +140,13 @@ class ChunkEncoder:
 
 
 _CHUNKERS: dict[str, ChunkEncoder] = {}
+holds_memory("tokens", lambda: [c.chunks.clear() for c in _CHUNKERS.values()])
 
 
 def chunker(path: str) -> ChunkEncoder:
+    pre = encoder(path)
     if path not in _CHUNKERS:
-        _CHUNKERS[path] = ChunkEncoder(encoder(path))
+        _CHUNKERS[path] = ChunkEncoder(pre)
     return _CHUNKERS[path]
 
 

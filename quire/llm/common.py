@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,12 +66,75 @@ def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+_HELD: dict[str, list[Callable[[], None]]] = {}
+_USED = ""
+
+
+def holds_memory(group: str, clear: Callable[[], None]) -> None:
+    """Say how to empty what a group of operators keeps in a Python worker."""
+    _HELD.setdefault(group, []).append(clear)
+
+
+def use_memory(group: str) -> None:
+    """To be called where an operator's function starts in a worker: workers are
+    used again by other operators, and what those have kept is let go and given
+    back to the system."""
+    global _USED
+    if group == _USED:
+        return
+    _USED = group
+    for other, clears in _HELD.items():
+        if other != group:
+            for clear in clears:
+                clear()
+    give_back()
+
+
+def worker(group: str, keep: bool = False):
+    """For functions over batches in a Python worker: use ``group``'s memory and,
+    unless it is to be kept for the next task, give it back at the end."""
+
+    def around(run):
+        def inner(batches):
+            use_memory(group)
+            try:
+                yield from run(batches)
+            finally:
+                if not keep:
+                    for clear in _HELD.get(group, ()):
+                        clear()
+                    give_back()
+
+        return inner
+
+    return around
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library returns to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _SHIPPED: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch, in place of Spark's 10,000 and 64 MB: a
+#: batch is held by the JVM and by Python at once, twice for each core.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their
-    Python workers can import it wherever the driver was started."""
+    Python workers can import it wherever the driver was started; keep Arrow
+    batches small unless the session has chosen their size."""
+    for key, (usual, small) in BATCH.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, small)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

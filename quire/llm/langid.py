@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker
+
 #: Hash buckets of n-grams, their lengths, rows to learn from (about, shared
 #: equally among languages), rounds of gradient descent.
 BUCKETS, LENGTHS, SAMPLE, ROUNDS = 4096, (1, 2, 3), 4000, 150
@@ -137,6 +139,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, sampl
     picked = known.filter(F.pmod(F.xxhash64(F.lit(23), F.col("_id")), F.lit(grid)) < rate[F.col("_lang")])
     place = {lang: k for k, lang in enumerate(langs)}
 
+    @worker("none")
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             for t, lang in zip(b.column(0), b.column(1).to_pylist()):
@@ -160,6 +163,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @worker("none")
     def run(batches: Iterator) -> Iterator:
         m = shared.value
         for b in batches:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -98,6 +98,7 @@ def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """A row for each document (token null), and counted tokens (id and n null)."""
     import pyarrow as pa
 
+    @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         seen: list[np.ndarray] = []
         held = 0
@@ -137,6 +138,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, often: tuple[np.ndarray, np.
 
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
+    @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         tokens, level = shared.value
         maybe = np.zeros(1 << 22, dtype=bool)
@@ -211,10 +213,12 @@ def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFra
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
+    @worker("shingles")
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
 
+    @worker("shingles")
     def compared(batches: Iterator) -> Iterator:
         for t in batches:
             for at in range(0, t.num_rows, 500):

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker
+
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
 #: Documents of the sample that orders the rules: the smallest id hashes.
@@ -130,6 +132,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, rules: dict[str, Callab
     the rules run; the driver gets a row per rule."""
     import pyarrow as pa
 
+    @worker("none")
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -165,6 +168,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = BASE | RULES
     order = cascade_order(measure(docs, id_col, text_col, every, sample), every)
 
+    @worker("none")
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             columns: list[list] = [[] for _ in range(8)]

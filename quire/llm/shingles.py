@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import lower_bytes
+from .common import holds_memory, lower_bytes
 
 #: Most words in the memo of word hashes.
-MEMO = 300_000
+MEMO = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -21,6 +21,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+holds_memory("shingles", _WORDS.clear)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:

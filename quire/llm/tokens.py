@@ -15,8 +15,10 @@ from array import array
 
 import numpy as np
 
+from .common import holds_memory, use_memory
+
 #: Most pre-tokens in the memo.
-MEMO = 600_000
+MEMO = 150_000
 #: Pre-tokens of Latin-1 texts; other texts take the library's own splitter.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -96,10 +98,12 @@ class PretokenEncoder:
 
 
 _ENCODERS: dict[str, PretokenEncoder] = {}
+holds_memory("tokens", lambda: [e.memo.clear() for e in _ENCODERS.values()])
 
 
 def encoder(path: str) -> PretokenEncoder:
     """One encoder per worker and vocabulary file."""
+    use_memory("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = PretokenEncoder(path)
     return _ENCODERS[path]

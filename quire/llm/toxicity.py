@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import weakref
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, holds_memory, worker
 
 # The letters that a character may stand for.
 LEET = {
@@ -33,7 +34,7 @@ COST_LEET, COST_REPEAT, COST_BETWEEN, COST_JOIN = 1.0, 0.5, 1.0, 0.3
 #: Labelled rows that the model learns from, at most (the smallest id hashes).
 SAMPLE = 8000
 #: Features with weights; prefix lengths; most words in a worker's memo.
-FEATURES, PREFIXES, MEMO = 1024, (4, 5, 6), 300_000
+FEATURES, PREFIXES, MEMO = 1024, (4, 5, 6), 100_000
 ROUNDS = 200
 #: Least chi-square of a feature: a chance of one in a thousand.
 SURE = 10.83
@@ -63,6 +64,7 @@ def char_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(code, n): trigrams of the whole corpus, summed in tasks first."""
     import pyarrow as pa
 
+    @worker("toxicity")
     def run(batches: Iterator) -> Iterator:
         total = np.zeros(CLASSES**3, dtype=np.int64)
         for b in batches:
@@ -134,12 +136,17 @@ def word_features(word: str) -> set[int]:
     return found
 
 
+_READERS: weakref.WeakSet = weakref.WeakSet()
+holds_memory("toxicity", lambda: [r.memo.clear() for r in _READERS])
+
+
 class Reader:
     """Feature ids of texts; words are restored once per worker."""
 
     def __init__(self, model: np.ndarray, known: dict[int, int] | None = None):
         self.model, self.known = model, known
         self.memo: dict[str, tuple[int, ...]] = {}
+        _READERS.add(self)
 
     def _keep(self, restored: str) -> set[int]:
         found: set[int] = set()
@@ -218,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_k")).select("y", "_text"), "labelled")
     shared = spark.sparkContext.broadcast(chars)
 
+    @worker("toxicity")
     def counted(batches: Iterator) -> Iterator:
         reader = Reader(shared.value)
         for b in batches:
@@ -236,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     best = table.filter((F.col("a") >= 2) & (F.col("a") > F.col("n") * p) & (F.col("n") < n) & (gain >= SURE)).orderBy(gain.desc(), "f").limit(FEATURES).select("f").collect()
     known = {r["f"]: k for k, r in enumerate(sorted(best, key=lambda r: r["f"]))}
 
+    @worker("toxicity")
     def chosen(batches: Iterator) -> Iterator:
         reader = Reader(shared.value, known)
         for b in batches:
@@ -260,16 +269,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def scored(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """All columns of ``docs`` and _score."""
+    """All columns of ``docs`` and _score, which replaces one of that name.
+
+    Only the text goes to Python and only the score comes back; the other
+    columns wait in the JVM.
+    """
     import pyarrow as pa
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.functions import ArrowUDFType, arrow_udf
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator) -> Iterator:
+    @worker("toxicity")
+    def run(columns: Iterator) -> Iterator:
         m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())], names=[*b.schema.names, "_score"])
+        for texts in columns:
+            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.withColumn("_score", arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)(F.col(text_col)))
