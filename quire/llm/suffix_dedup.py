@@ -8,6 +8,9 @@ it. Suffixes are sorted by (hash of their first ``prefix`` words, id, position),
 which puts equal ones side by side, and each is compared with its neighbour.
 Neighbours that follow one another in both documents at one distance are one
 match; its ends are then extended word by word to the left and to the right.
+Where neighbours turn out to share fewer words than asked for, the suffixes of
+their group are sorted again by whole windows of ``min_words`` words, so that no
+document between two others in the sort hides what those share.
 
 The sort is by ranges of the whole key, so a passage that a third of all
 documents hold is spread over tasks; m occurrences give m - 1 matches.
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, worker
 from .ngram_join import bloom, passes
 from .shingles import grams, mixed, word_hashes
 
@@ -57,6 +60,7 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
     prefix = min_words - WINDOW + 1
 
+    @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -80,23 +84,24 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def neighbours(kept: DataFrame) -> DataFrame:
-    """(a, pa, b, pb): suffixes of different documents side by side in the sort
-    that begin alike. Each task also gives its first and last suffix, and those
-    few are compared across the bounds of tasks."""
+    """(g, a, pa, b, pb): suffixes of different documents side by side in the
+    sort that begin alike. Each task also gives its first and last suffix, and
+    those few are compared across the bounds of tasks."""
     import pyarrow as pa
 
     names = ["g", "a", "pa", "b", "pb", "part", "edge"]
 
+    @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         part, last, first = TaskContext.get().partitionId(), None, None
         for t in batches:
             if not t.num_rows:
                 continue
             g, i, p = (t.column(k).to_numpy() for k in range(3))
-            if last is not None:
-                g, i, p = np.concatenate([[last[0]], g]), np.concatenate([[last[1]], i]), np.concatenate([[last[2]], p])
-            else:
+            if last is None:
                 first = (g[0], i[0], p[0])
+            else:
+                g, i, p = (np.concatenate([[x], y]) for x, y in zip(last, (g, i, p)))
             on = np.flatnonzero((g[1:] == g[:-1]) & (i[1:] != i[:-1]))
             yield rows(g[on], i[on], p[on], i[on + 1], p[on + 1], part, 0)
             last = (g[-1], i[-1], p[-1])
@@ -115,13 +120,21 @@ def neighbours(kept: DataFrame) -> DataFrame:
     edges = found.filter("edge > 0").select("g", "a", "pa", "part", "edge")
     nxt = [F.lead(c).over(order).alias(f"n{c}") for c in ("g", "a", "pa", "edge")]
     over = edges.select("g", "a", "pa", "edge", *nxt).filter("edge = 2 and nedge = 1 and g = ng and a <> na")
-    return found.filter("edge = 0").select("a", "pa", "b", "pb").unionByName(over.select("a", "pa", F.col("na").alias("b"), F.col("npa").alias("pb")))
+    return found.filter("edge = 0").select("g", "a", "pa", "b", "pb").unionByName(over.select("g", "a", "pa", F.col("na").alias("b"), F.col("npa").alias("pb")))
+
+
+def one_way(pairs: DataFrame) -> DataFrame:
+    """(g, a, b, pos, shift): the smaller id first, its place, and how much
+    farther on the place in the other is."""
+    turned = F.col("a") > F.col("b")
+    pos, other = F.when(turned, F.col("pb")).otherwise(F.col("pa")), F.when(turned, F.col("pa")).otherwise(F.col("pb"))
+    return pairs.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pos.alias("pos"), (other - pos).alias("shift"))
 
 
 def chained(pairs: DataFrame, prefix: int) -> DataFrame:
     """(match, a, b, shift, first, last): pairs at one distance whose words
     overlap or touch, as one match over words [first, last) of a."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("pa")).otherwise(F.col("pb")).alias("pos"), F.when(F.col("a") < F.col("b"), F.col("pb") - F.col("pa")).otherwise(F.col("pa") - F.col("pb")).alias("shift")).distinct()
+    pairs = one_way(pairs).drop("g").distinct()
     order = Window.partitionBy("a", "b", "shift").orderBy("pos")
     fresh = F.coalesce((F.col("pos") - F.lag("pos").over(order) > prefix).cast("int"), F.lit(0))
     island = F.sum("fresh").over(order)
@@ -130,6 +143,51 @@ def chained(pairs: DataFrame, prefix: int) -> DataFrame:
     return out.select(F.xxhash64("a", "b", "shift", "first").alias("match"), "a", "b", "shift", "first", "last")
 
 
+def windows(docs: DataFrame, kept: DataFrame, pairs: DataFrame, short: DataFrame, min_words: int) -> DataFrame:
+    """(g, id, pos): all windows of ``min_words`` words around suffixes of the
+    groups in which some neighbours turned out to share fewer words.
+
+    In such a group two documents that do share enough may not be neighbours;
+    sorted by whole windows they are. Other groups need none of this.
+    """
+    import pyarrow as pa
+
+    prefix = min_words - WINDOW + 1
+    p, s = one_way(pairs).alias("p"), short.select("a", "b", "shift", "first", "last").alias("s")
+    same = (F.col("p.a") == F.col("s.a")) & (F.col("p.b") == F.col("s.b")) & (F.col("p.shift") == F.col("s.shift"))
+    mixed_groups = cut(p.join(s, same & (F.col("p.pos") >= F.col("s.first")) & (F.col("p.pos") + prefix <= F.col("s.last"))).select("p.g").distinct(), "mixed-groups")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(mixed_groups.select(F.col("g").alias("id"))))
+
+    @worker("shingles")
+    def some(batches: Iterator) -> Iterator:
+        for t in batches:
+            yield t.filter(pa.array(passes(shared.value, t.column(0))))
+
+    members = kept.mapInArrow(some, "g long, id long, pos int").join(mixed_groups, "g", "left_semi")
+    members = cut(members.groupBy("id").agg(F.collect_set("pos").alias("at")), "members")
+    holders = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id")))
+
+    @worker("shingles")
+    def wanted(batches: Iterator) -> Iterator:
+        for t in batches:
+            yield t.filter(pa.array(passes(holders.value, t.column(0))))
+
+    @worker("shingles")
+    def run(batches: Iterator) -> Iterator:
+        for t in batches:
+            for i, text, at in zip(t.column(0).to_pylist(), t.column(1), t.column(2)):
+                h = word_hashes(text.as_py())
+                if len(h) < min_words:
+                    continue
+                start = np.array(at.as_py(), dtype=np.int64)[:, None] - np.arange(WINDOW)[None]
+                start = np.unique(start[(start >= 0) & (start + min_words <= len(h))])
+                if len(start):
+                    yield pa.RecordBatch.from_arrays([pa.array(grams(h, min_words)[start].view(np.int64)), pa.array(np.full(len(start), i, dtype=np.int64)), pa.array(start.astype(np.int32))], names=["g", "id", "pos"])
+
+    texts = docs.mapInArrow(wanted, "id long, text string")
+    return texts.join(members, "id").select("id", "text", "at").mapInArrow(run, "g long, id long, pos int")
+
+
 def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
     """``matches`` with left and right, the words that each end grows by, up to
     ``reach``.
@@ -143,6 +201,7 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
     asked = ends[0].unionByName(ends[1])
     shared = docs.sparkSession.sparkContext.broadcast(bloom(asked.select("id").distinct()))
 
+    @worker("shingles")
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
@@ -150,6 +209,7 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
     wanted = docs.mapInArrow(some, "id long, text string")
     asks = asked.groupBy("id").agg(F.collect_list(F.struct("match", "side", "x", "y")).alias("asks"))
 
+    @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         for t in batches:
             for text, asks in zip(t.column(0), t.column(1)):
@@ -196,15 +256,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Each match gives a row for either document; words [start_word, end_word) are
     counted from 0 over the whole text. An occurrence is matched with its
     neighbours in the sort, so documents that share a passage are connected by
-    rows, without a row for every two. Null ids and texts, and shorter texts,
+    rows, without a row for every two; of a passage that a document holds several
+    times at least one place has a row. Null ids and texts, and shorter texts,
     give no row; rows that repeat an id are one document, which is not matched
     with itself. An empty table gives no rows. Other columns are ignored.
     """
     prefix = min_words - WINDOW + 1
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    pairs = neighbours(cut(suffixes(text, min_words), "suffixes"))
-    matches = cut(chained(pairs, prefix), "matches")
-    found = extended(text, matches).select("a", "b", "shift", (F.col("first") - F.col("left")).alias("x"), (F.col("last") + F.col("right")).alias("y")).filter(F.col("y") - F.col("x") >= min_words).distinct()
+    kept = cut(suffixes(text, min_words), "suffixes")
+    pairs = neighbours(kept)
+    grown = extended(text, cut(chained(pairs, prefix), "matches"))
+    enough = F.col("last") + F.col("right") - F.col("first") + F.col("left") >= min_words
+    found, short = grown.filter(enough), grown.filter(~enough)
+    if short.limit(1).count():
+        whole = neighbours(cut(windows(text, kept, pairs, short, min_words), "windows"))
+        found = found.unionByName(extended(text, cut(chained(whole, min_words), "matches")))
+    found = found.select("a", "b", "shift", (F.col("first") - F.col("left")).alias("x"), (F.col("last") + F.col("right")).alias("y")).distinct()
     a = found.select(F.col("a").alias(id_col), F.col("x").alias("start_word"), F.col("y").alias("end_word"), F.col("b").alias("other_id"), (F.col("x") + F.col("shift")).alias("other_start"))
     b = found.select(F.col("b").alias(id_col), (F.col("x") + F.col("shift")).alias("start_word"), (F.col("y") + F.col("shift")).alias("end_word"), F.col("a").alias("other_id"), F.col("x").alias("other_start"))
     return a.unionByName(b)
@@ -212,9 +279,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without passages that a smaller id holds too; words are joined by
-    blanks where something was cut, other texts stay as they are."""
+    blanks where something was cut, other texts stay as they are. Columns of
+    any name pass through."""
     cuts = passages.filter(F.col("other_id") < F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_cuts"))
-    words = F.split(F.regexp_replace(F.col(text_col), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "[\\x20\\x09-\\x0D]+")
+    own = F.col("_row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.join(cuts, own[id_col] == F.col("_id"), "left")
+    words = F.split(F.regexp_replace(own[text_col], "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", ""), "[\\x20\\x09-\\x0D]+")
     kept = F.filter(words, lambda w, i: ~F.exists("_cuts", lambda c: (i >= c["start_word"]) & (i < c["end_word"])))
-    out = docs.join(cuts, docs[id_col] == F.col("_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))).select(*docs.columns)
+    text = F.when(F.col("_cuts").isNull(), own[text_col]).otherwise(F.array_join(kept, " "))
+    return rows.select(*[(text if c == text_col else own[c]).alias(c) for c in docs.columns])
