@@ -128,12 +128,12 @@ _SHIPPED: set[str] = set()
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, small_batches: bool = True) -> None:
     """Send this package to the executors, once per application, so that their
     Python workers can import it wherever the driver was started; keep Arrow
     batches small unless the session has chosen their size."""
     for key, (usual, small) in BATCH.items():
-        if spark.conf.get(key) == usual:
+        if small_batches and spark.conf.get(key) == usual:
             spark.conf.set(key, small)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:

@@ -19,7 +19,7 @@ from .topk import top_k
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(spark, small_batches=False)  # its largest table has rows of 20 bytes
     return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
 
 
