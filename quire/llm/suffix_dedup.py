@@ -8,9 +8,11 @@ it. Suffixes are sorted by (hash of their first ``prefix`` words, id, position),
 which puts equal ones side by side, and each is compared with its neighbour.
 Neighbours that follow one another in both documents at one distance are one
 match; its ends are then extended word by word to the left and to the right.
-Where neighbours turn out to share fewer words than asked for, the suffixes of
-their group are sorted again by whole windows of ``min_words`` words, so that no
-document between two others in the sort hides what those share.
+Neighbours may be of one document, so a passage that it holds several times is
+found at all its places. Where some neighbours in a group of three or more do not
+share all words that a window of ``min_words`` around the suffix can reach, the
+suffixes of the group are sorted again by whole windows, so that no suffix
+between two others in the sort hides what those share.
 
 The sort is by ranges of the whole key, so a passage that a third of all
 documents hold is spread over tasks; m occurrences give m - 1 matches.
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,12 +87,13 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def neighbours(kept: DataFrame) -> DataFrame:
-    """(g, a, pa, b, pb): suffixes of different documents side by side in the
-    sort that begin alike. Each task also gives its first and last suffix, and
-    those few are compared across the bounds of tasks."""
+    """(g, a, pa, b, pb, alone): suffixes side by side in the sort that begin
+    alike, of two documents or at two places of one; alone is 1 where the two
+    surely are their whole group. Each task also gives its first and last suffix,
+    and those few are compared across the bounds of tasks."""
     import pyarrow as pa
 
-    names = ["g", "a", "pa", "b", "pb", "part", "edge"]
+    names = ["g", "a", "pa", "b", "pb", "alone", "part", "edge"]
 
     @worker("shingles")
     def run(batches: Iterator) -> Iterator:
@@ -102,16 +106,18 @@ def neighbours(kept: DataFrame) -> DataFrame:
                 first = (g[0], i[0], p[0])
             else:
                 g, i, p = (np.concatenate([[x], y]) for x, y in zip(last, (g, i, p)))
-            on = np.flatnonzero((g[1:] == g[:-1]) & (i[1:] != i[:-1]))
-            yield rows(g[on], i[on], p[on], i[on + 1], p[on + 1], part, 0)
+            same = g[1:] == g[:-1]
+            on = np.flatnonzero(same & ((i[1:] != i[:-1]) | (p[1:] != p[:-1])))
+            beside = np.concatenate([[True], same, [True]])
+            yield rows(g[on], i[on], p[on], i[on + 1], p[on + 1], ~(beside[on] | beside[on + 2]), part, 0)
             last = (g[-1], i[-1], p[-1])
         if first is not None:
             for edge, x in ((1, first), (2, last)):
-                yield rows(*(np.array([v]) for v in (*x, 0, 0)), part, edge)
+                yield rows(*(np.array([v]) for v in (*x, 0, 0, 0)), part, edge)
 
-    def rows(g, a, pa_, b, pb, part, edge):
+    def rows(g, a, pa_, b, pb, alone, part, edge):
         n = len(g)
-        cols = [pa.array(x.astype(np.int64)) for x in (g, a, pa_, b, pb)] + [pa.array(np.full(n, part, np.int64)), pa.array(np.full(n, edge, np.int64))]
+        cols = [pa.array(x.astype(np.int64)) for x in (g, a, pa_, b, pb, alone)] + [pa.array(np.full(n, part, np.int64)), pa.array(np.full(n, edge, np.int64))]
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     ordered = kept.repartitionByRange("g", "id", "pos").sortWithinPartitions("g", "id", "pos")
@@ -119,13 +125,13 @@ def neighbours(kept: DataFrame) -> DataFrame:
     order = Window.orderBy("part", "edge")
     edges = found.filter("edge > 0").select("g", "a", "pa", "part", "edge")
     nxt = [F.lead(c).over(order).alias(f"n{c}") for c in ("g", "a", "pa", "edge")]
-    over = edges.select("g", "a", "pa", "edge", *nxt).filter("edge = 2 and nedge = 1 and g = ng and a <> na")
-    return found.filter("edge = 0").select("g", "a", "pa", "b", "pb").unionByName(over.select("g", "a", "pa", F.col("na").alias("b"), F.col("npa").alias("pb")))
+    over = edges.select("g", "a", "pa", "edge", *nxt).filter("edge = 2 and nedge = 1 and g = ng and (a <> na or pa <> npa)")
+    return found.filter("edge = 0").drop("part", "edge").unionByName(over.select("g", "a", "pa", F.col("na").alias("b"), F.col("npa").alias("pb"), F.lit(0).cast("long").alias("alone")))
 
 
 def one_way(pairs: DataFrame) -> DataFrame:
     """(g, a, b, pos, shift): the smaller id first, its place, and how much
-    farther on the place in the other is."""
+    farther on the place in the other is; of one document the earlier place."""
     turned = F.col("a") > F.col("b")
     pos, other = F.when(turned, F.col("pb")).otherwise(F.col("pa")), F.when(turned, F.col("pa")).otherwise(F.col("pb"))
     return pairs.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pos.alias("pos"), (other - pos).alias("shift"))
@@ -143,27 +149,37 @@ def chained(pairs: DataFrame, prefix: int) -> DataFrame:
     return out.select(F.xxhash64("a", "b", "shift", "first").alias("match"), "a", "b", "shift", "first", "last")
 
 
-def windows(docs: DataFrame, kept: DataFrame, pairs: DataFrame, short: DataFrame, min_words: int) -> DataFrame:
-    """(g, id, pos): all windows of ``min_words`` words around suffixes of the
-    groups in which some neighbours turned out to share fewer words.
+def mixed_groups(pairs: DataFrame, grown: DataFrame, min_words: int) -> DataFrame:
+    """(g): groups of three or more suffixes in which some neighbours do not share
+    all words that windows of ``min_words`` words around the suffix hold."""
+    prefix = min_words - WINDOW + 1
+    low = F.when(F.col("starts"), -WINDOW).otherwise(F.col("first") - F.col("left"))
+    high = F.when(F.col("ends"), F.lit(2**31 - 1)).otherwise(F.col("last") + F.col("right"))
+    p = one_way(pairs.filter("alone = 0")).alias("p")
+    s = grown.select("a", "b", "shift", "first", "last", low.alias("low"), high.alias("high")).alias("s")
+    same = (F.col("p.a") == F.col("s.a")) & (F.col("p.b") == F.col("s.b")) & (F.col("p.shift") == F.col("s.shift"))
+    same &= (F.col("p.pos") >= F.col("s.first")) & (F.col("p.pos") + prefix <= F.col("s.last"))
+    whole = (F.col("p.pos") - (WINDOW - 1) >= F.col("s.low")) & (F.col("p.pos") + min_words <= F.col("s.high"))
+    return p.join(s, same & whole, "left_anti").select("g").distinct()
+
 
-    In such a group two documents that do share enough may not be neighbours;
+def windows(docs: DataFrame, kept: DataFrame, groups: DataFrame, min_words: int) -> DataFrame:
+    """(g, id, pos): all windows of ``min_words`` words around suffixes of
+    ``groups``, in which not all neighbours share all words around.
+
+    In such a group two places that do share enough may not be neighbours;
     sorted by whole windows they are. Other groups need none of this.
     """
     import pyarrow as pa
 
-    prefix = min_words - WINDOW + 1
-    p, s = one_way(pairs).alias("p"), short.select("a", "b", "shift", "first", "last").alias("s")
-    same = (F.col("p.a") == F.col("s.a")) & (F.col("p.b") == F.col("s.b")) & (F.col("p.shift") == F.col("s.shift"))
-    mixed_groups = cut(p.join(s, same & (F.col("p.pos") >= F.col("s.first")) & (F.col("p.pos") + prefix <= F.col("s.last"))).select("p.g").distinct(), "mixed-groups")
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(mixed_groups.select(F.col("g").alias("id"))))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(groups.select(F.col("g").alias("id"))))
 
     @worker("shingles")
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
 
-    members = kept.mapInArrow(some, "g long, id long, pos int").join(mixed_groups, "g", "left_semi")
+    members = kept.mapInArrow(some, "g long, id long, pos int").join(groups, "g", "left_semi")
     members = cut(members.groupBy("id").agg(F.collect_set("pos").alias("at")), "members")
     holders = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id")))
 
@@ -190,14 +206,15 @@ def windows(docs: DataFrame, kept: DataFrame, pairs: DataFrame, short: DataFrame
 
 def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
     """``matches`` with left and right, the words that each end grows by, up to
-    ``reach``.
+    ``reach``, and starts and ends, whether both documents start or end there.
+    Two places of one document have to be alike in one row of it.
 
     Only documents in matches are read again; of those, only the words beside
     the ends of their matches travel, as hashes.
     """
     import pyarrow as pa
 
-    ends = [matches.select(F.col(side).alias("id"), "match", F.lit(side).alias("side"), (F.col("first") + (F.col("shift") if side == "b" else 0)).alias("x"), (F.col("last") + (F.col("shift") if side == "b" else 0)).alias("y")) for side in ("a", "b")]
+    ends = [matches.select(F.col(side).alias("id"), "match", F.lit(side).alias("side"), (F.col("a") == F.col("b")).alias("own"), (F.col("first") + (F.col("shift") if side == "b" else 0)).alias("x"), (F.col("last") + (F.col("shift") if side == "b" else 0)).alias("y")) for side in ("a", "b")]
     asked = ends[0].unionByName(ends[1])
     shared = docs.sparkSession.sparkContext.broadcast(bloom(asked.select("id").distinct()))
 
@@ -207,33 +224,37 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
 
     wanted = docs.mapInArrow(some, "id long, text string")
-    asks = asked.groupBy("id").agg(F.collect_list(F.struct("match", "side", "x", "y")).alias("asks"))
+    asks = asked.groupBy("id").agg(F.collect_list(F.struct("match", "side", "own", "x", "y")).alias("asks"))
 
     @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         for t in batches:
             for text, asks in zip(t.column(0), t.column(1)):
                 h = word_hashes(text.as_py()).view(np.int64)
-                cols: tuple[list, ...] = ([], [], [], [])
+                cols: tuple[list, ...] = ([], [], [], [], [])
+                seed = xxhash.xxh3_64_intdigest(h.tobytes())
                 for q in asks.as_py():
                     x, y = q["x"], q["y"]
-                    values = (q["match"], q["side"], h[max(0, x - reach) : x][::-1], h[y : y + reach])
+                    row = xxhash.xxh3_64_intdigest(h[x:y].tobytes(), seed) >> 1 if q["own"] else 0
+                    values = (q["match"], q["side"], row, h[max(0, x - reach) : x][::-1], h[y : y + reach])
                     for c, v in zip(cols, values):
                         c.append(v)
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["match", "side", "l", "r"])
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["match", "side", "row", "l", "r"])
 
-    beside = wanted.join(asks, "id").select("text", "asks").mapInArrow(run, "match long, side string, l array<long>, r array<long>")
-    one = beside.filter("side = 'a'").select("match", F.col("l").alias("la"), F.col("r").alias("ra"))
-    two = beside.filter("side = 'b'").select(F.col("match").alias("m2"), F.col("l").alias("lb"), F.col("r").alias("rb"))
-    both = one.join(two, F.col("match") == F.col("m2"))
+    beside = wanted.join(asks, "id").select("text", "asks").mapInArrow(run, "match long, side string, row long, l array<long>, r array<long>")
+    one = beside.filter("side = 'a'").select("match", "row", F.col("l").alias("la"), F.col("r").alias("ra"))
+    two = beside.filter("side = 'b'").select(F.col("match").alias("m2"), F.col("row").alias("row2"), F.col("l").alias("lb"), F.col("r").alias("rb"))
+    both = one.join(two, (F.col("match") == F.col("m2")) & (F.col("row") == F.col("row2")))
 
     def alike(x: str, y: str):
         same = F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
         until = F.array_position(same, False)
         return F.when(until == 0, F.size(same)).otherwise(until - 1).cast("int")
 
-    grown = both.select("match", alike("la", "lb").alias("left"), alike("ra", "rb").alias("right")).groupBy("match").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    over = lambda n, x, y: (F.col(n) == F.size(x)) & (F.col(n) == F.size(y))
+    grown = both.withColumns({"left": alike("la", "lb"), "right": alike("ra", "rb")}).withColumns({"starts": over("left", "la", "lb"), "ends": over("right", "ra", "rb")})
+    grown = grown.groupBy("match").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("starts").alias("starts"), F.min("ends").alias("ends"))
     return matches.join(grown, "match")
 
 
@@ -246,20 +267,22 @@ def extended(docs: DataFrame, matches: DataFrame) -> DataFrame:
         done = grown.filter(~on) if done is None else done.unionByName(grown.filter(~on))
         if not grown.filter(on).limit(1).count():
             return done
-        matches, reach = grown.filter(on).drop("left", "right"), reach * FURTHER
+        matches, reach = grown.filter(on).drop("left", "right", "starts", "ends"), reach * FURTHER
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(doc_id, start_word, end_word, other_id, other_start): passages of at
-    least ``min_words`` words, A-Z lower-cased, that two documents share.
+    least ``min_words`` words, A-Z lower-cased, that stand at two places, of two
+    documents or of one (other_id = doc_id; the places may overlap).
 
-    Each match gives a row for either document; words [start_word, end_word) are
+    Each match gives a row for either place; words [start_word, end_word) are
     counted from 0 over the whole text. An occurrence is matched with its
-    neighbours in the sort, so documents that share a passage are connected by
-    rows, without a row for every two; of a passage that a document holds several
-    times at least one place has a row. Null ids and texts, and shorter texts,
-    give no row; rows that repeat an id are one document, which is not matched
-    with itself. An empty table gives no rows. Other columns are ignored.
+    neighbours in the sort, so the places of a passage are connected by rows,
+    without a row for every two, and every occurrence of every such window of
+    ``min_words`` words lies in a row. Null ids and texts, and shorter texts, give
+    no row. Rows that repeat an id are one document: its rows are not matched
+    with one another, and where their texts differ not all places within one row
+    are. An empty table gives no rows. Other columns are ignored.
     """
     prefix = min_words - WINDOW + 1
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -267,9 +290,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = neighbours(kept)
     grown = extended(text, cut(chained(pairs, prefix), "matches"))
     enough = F.col("last") + F.col("right") - F.col("first") + F.col("left") >= min_words
-    found, short = grown.filter(enough), grown.filter(~enough)
-    if short.limit(1).count():
-        whole = neighbours(cut(windows(text, kept, pairs, short, min_words), "windows"))
+    found = grown.filter(enough)
+    groups = cut(mixed_groups(pairs, grown, min_words), "mixed-groups")
+    if groups.limit(1).count():
+        whole = neighbours(cut(windows(text, kept, groups, min_words), "windows"))
         found = found.unionByName(extended(text, cut(chained(whole, min_words), "matches")))
     found = found.select("a", "b", "shift", (F.col("first") - F.col("left")).alias("x"), (F.col("last") + F.col("right")).alias("y")).distinct()
     a = found.select(F.col("a").alias(id_col), F.col("x").alias("start_word"), F.col("y").alias("end_word"), F.col("b").alias("other_id"), (F.col("x") + F.col("shift")).alias("other_start"))
@@ -278,10 +302,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without passages that a smaller id holds too; words are joined by
-    blanks where something was cut, other texts stay as they are. Columns of
-    any name pass through."""
-    cuts = passages.filter(F.col("other_id") < F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_cuts"))
+    """``docs`` without passages that a smaller id, or the document itself farther
+    up, holds too; words are joined by blanks where something was cut, other texts
+    stay as they are. Columns of any name pass through."""
+    again = (F.col("other_id") == F.col(id_col)) & (F.col("other_start") < F.col("start_word"))
+    cuts = passages.filter((F.col("other_id") < F.col(id_col)) | again).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("_cuts"))
     own = F.col("_row")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = rows.join(cuts, own[id_col] == F.col("_id"), "left")

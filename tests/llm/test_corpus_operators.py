@@ -143,6 +143,41 @@ def test_passages(spark):
     assert all(len({reach[i] for i in v}) == 1 for v in several)
 
 
+def test_every_place_of_a_passage_has_a_row(spark):
+    rng = random.Random(5)
+    fresh = iter(range(10**6))
+    base = [f"b{j}" for j in range(90)]
+    docs = []
+    for i in range(80):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            p = list(base[rng.randint(0, 25) : rng.randint(65, 90)])
+            if rng.random() < 0.5:
+                p[rng.choice([3, 20, len(p) - 12, len(p) - 3])] = rng.choice("xy")
+            w += p + [f"u{next(fresh)}" for _ in range(rng.randint(0, 30))]
+        docs.append((i, " ".join(w)))
+    alone = [f"s{j}" for j in range(70)]
+    docs += [(200, " ".join([*alone, "z", *alone, *alone])), (201, "again " * 120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.repeated_passages(df)
+    texts, places = {i: words_of(t) for i, t in docs}, collections.defaultdict(set)
+    for i, w in texts.items():
+        for k in range(len(w) - 49):
+            places[tuple(w[k : k + 50])].add((i, k))
+    spans = collections.defaultdict(list)
+    for r in got.collect():
+        n = r["end_word"] - r["start_word"]
+        assert (r["doc_id"], r["start_word"]) != (r["other_id"], r["other_start"])
+        assert n >= 50 and texts[r["doc_id"]][r["start_word"] : r["end_word"]] == texts[r["other_id"]][r["other_start"] : r["other_start"] + n]
+        spans[r["doc_id"]].append((r["start_word"], r["end_word"]))
+    lost = [(i, k) for v in places.values() if len(v) > 1 for i, k in v if not any(a <= k and k + 50 <= b for a, b in spans[i])]
+    assert not lost
+    left = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeats(df, got).collect()}
+    assert left[200] == " ".join([*alone, "z"]) and left[201] == "again"
+    kept = [tuple(w[k : k + 50]) for t in left.values() for w in [words_of(t)] for k in range(len(w) - 49)]
+    assert len(kept) == len(set(kept))
+
+
 def test_passages_of_odd_rows(odd, none):
     got = suffix_dedup.repeated_passages(odd)
     assert {r["doc_id"] for r in got.collect()} == {9, 10}
