@@ -550,17 +550,20 @@ def q_table_linking(spark, sf):
     return B.link_extracts(refs, extracts(b))
 
 
-def grids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def grids(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Recognised texts, rows and columns of a table of 4 x 3 cells a document:
-    lines of its text, some wide; each row and column is detected twice."""
-    docs = table(spark, sf, "documents").filter("text is not null")
-    words = F.split("text", " ")
+    the first pieces of its text, one wide; each row and column is detected
+    twice. ``whole`` gives a document a table for every 12 pieces."""
+    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.col("doc_id").alias("table_id"), F.split("text", " ").alias("w"))
+    if whole:
+        docs = docs.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 12).cast("int"))))
+        docs = docs.select("doc_id", F.concat_ws("-", "doc_id", "part").alias("table_id"), F.slice("w", F.col("part") * 12 + 1, F.lit(12)).alias("w"))
     near = F.explode(F.array(F.lit(0), F.lit(4))).alias("shift")
-    band = lambda n, size: docs.select(F.col("doc_id").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("table_id", "k", near).select("table_id", (F.col("k") * size + F.col("shift")).cast("double").alias("lo"), (F.col("k") * size + F.col("shift") + size - 6).cast("double").alias("hi"))
+    band = lambda n, size: docs.select("table_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("table_id", "k", near).select("table_id", (F.col("k") * size + F.col("shift")).cast("double").alias("lo"), (F.col("k") * size + F.col("shift") + size - 6).cast("double").alias("hi"))
     rows, cols = B.cuts(B.bands(band(4, 30))), B.cuts(B.bands(band(3, 100)))
-    at = docs.select(F.col("doc_id").alias("table_id"), words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    at = docs.select("doc_id", "table_id", "w", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
     r, c = F.floor(F.col("k") / 3), F.col("k") % 3
-    wide = (F.col("k") == F.pmod("table_id", F.lit(12))) & (c < 2)
+    wide = (F.col("k") == F.pmod("doc_id", F.lit(12))) & (c < 2)
     texts = at.select("table_id", F.col("k").alias("text_no"), (c * 100 + 10).cast("double").alias("x1"), (r * 30 + 8).cast("double").alias("y1"), (c * 100 + F.when(wide, 180).otherwise(80)).cast("double").alias("x2"), (r * 30 + 20).cast("double").alias("y2"), F.coalesce(F.get("w", F.col("k").cast("int")), F.lit("")).alias("text"), F.lit(0.99).alias("conf"))
     return texts, rows, cols
 
@@ -582,6 +585,19 @@ def q_grid_markdown(spark, sf):
     return B.markdown(B.cells(*grids(spark, sf)))
 
 
+@query(r"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, p, list_slice(ws, p * 12 + 1, p * 12 + 12) AS w FROM (SELECT doc_id, ws, unnest(generate_series(0, (len(ws) - 1) // 12)) AS p FROM d)),
+c AS (SELECT doc_id, p, w, k // 3 AS r, k % 3 AS c, k, doc_id % 12 AS wide, trim(regexp_replace(coalesce(w[k + 1], ''), '\s+', ' ', 'g')) AS x
+  FROM (SELECT *, unnest(generate_series(0, 11)) AS k FROM t)),
+s AS (SELECT doc_id, p, r, c, CASE WHEN k - 1 = wide AND c > 0 THEN ' ' WHEN y IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE y END AS cell FROM (
+  SELECT *, CASE WHEN k = wide AND c < 2 THEN trim(regexp_replace(coalesce(w[k + 1], '') || ' ' || coalesce(w[k + 2], ''), '\s+', ' ', 'g')) ELSE x END AS y FROM c)),
+l AS (SELECT doc_id, p, r, '| ' || string_agg(cell, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '|---|---|---|' ELSE '' END AS line FROM s GROUP BY doc_id, p, r)
+SELECT doc_id || '-' || p AS table_id, string_agg(line, chr(10) ORDER BY r) AS markdown FROM l GROUP BY doc_id, p""")
+def q_grid_markdown_whole(spark, sf):
+    """q_grid_markdown over all pieces of a text, a table for every 12."""
+    return B.markdown(B.cells(*grids(spark, sf, whole=True)))
+
+
 # --- payloads and stages ----------------------------------------------------------
 
 

@@ -36,6 +36,18 @@ def test_like_other_engine(spark, sf, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
 
 
+def test_grids_hold_whole_texts(spark, sf):
+    texts = catalogue.grids(spark, sf, whole=True)[0].select("table_id", "text_no", "text").collect()
+    found = {}
+    for r in texts:
+        doc, part = r["table_id"].split("-")
+        found.setdefault(int(doc), {})[int(part), r["text_no"]] = r["text"]
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect():
+        got, want = [t for _, t in sorted(found[r["doc_id"]].items())], r["text"].split(" ")
+        assert got[: len(want)] == want and set(got[len(want) :]) <= {""}
+    test_like_other_engine(spark, sf, "q_grid_markdown_whole")
+
+
 def test_nothing_else_needs_the_optional_folder():
     if importlib.util.find_spec("quire.llm") is None:
         pytest.skip("it is gone already")
