@@ -478,6 +478,14 @@ def q_hyphen_repair(spark, sf):
     return rows.select("doc_id", "pos", T.without_hyphenation(broken).alias("repaired"))
 
 
+@query()
+def q_hyphen_repair_whole(spark, sf):
+    """All lines, those with broken words of their own too; DuckDB's patterns
+    cannot look around, so there is no SQL."""
+    broken = F.replace(F.col("line"), F.lit("e th"), F.lit("e- th"))
+    return lines(spark, sf).select("doc_id", "pos", T.without_hyphenation(broken).alias("repaired"))
+
+
 #: A deterministic stand-in for a model's repairs: blanks doubled, or a letter lost.
 _NODES = rf"nodes AS (SELECT doc_id, pos, 'n' || pos AS node_id, line AS text, {_LANG} AS language FROM lines WHERE NOT regexp_matches(lower(line), '(https?://|www\.|[\w.-]+@[\w.-]+)') AND NOT contains(line, '`') AND NOT regexp_matches(line, '^\s*\|.*\|\s*$') AND trim(line) <> ''), cands AS (SELECT *, CAST((row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) // 8 AS INTEGER) AS request FROM nodes WHERE language <> 'english' AND length({signature('text')}) >= 12)"
 

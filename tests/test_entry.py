@@ -1,6 +1,7 @@
 """The driver's contract."""
 
 import importlib.util
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -48,6 +49,15 @@ def test_grids_hold_whole_texts(spark, sf):
     test_like_other_engine(spark, sf, "q_grid_markdown_whole")
 
 
+def test_hyphens_of_all_lines(spark, tmp_path):
+    texts = [(1, "the infor-  mation here\nsee them a- b- c"), (2, "see th\nnothing\n\nX- y -z- Z"), (3, None), (4, "e the e th-\u2003en")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["pos"], r["repaired"]) for r in catalogue.QUERIES["q_hyphen_repair_whole"](spark, str(tmp_path)).collect())
+    mend = lambda t: re.sub(r"(?<=[A-Za-z])-\s+(?=[a-z])", "", t.replace("e th", "e- th"))
+    assert got == [(i, k, mend(line)) for i, t in texts if t is not None for k, line in enumerate(t.split("\n"))]
+    assert (1, 0, "the information here") in got
+
+
 def test_nothing_else_needs_the_optional_folder():
     if importlib.util.find_spec("quire.llm") is None:
         pytest.skip("it is gone already")
