@@ -128,6 +128,18 @@ def q_recognised_text(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", T.scrubbed(F.concat(c, F.lit(r"<bbox>1,2</bbox><char> \times \div</s>"))).alias("scrubbed"), T.believed(first).alias("believed"))
 
 
+_ANSWER = "CASE WHEN pos % 3 = 0 THEN list_extract(['VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_'], 1 + pos // 3 % 7) ELSE line END"
+
+
+@query(LINES + f"SELECT doc_id, pos, CASE WHEN a IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE a END AS believed FROM (SELECT *, {_ANSWER} AS a FROM lines)")
+def q_recognised_text_whole(spark, sf):
+    """Whole lines as answers, every third one replaced by one that recognisers
+    give for nothing."""
+    said = F.get(F.array(*[F.lit(x) for x in T.NOT_SAID]), F.floor(F.col("pos") / 3).cast("int") % len(T.NOT_SAID))
+    answer = F.when(F.col("pos") % 3 == 0, said).otherwise(F.col("line"))
+    return lines(spark, sf).select("doc_id", "pos", T.believed(answer).alias("believed"))
+
+
 @query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, round(coalesce({common('a.', 'b.')} / nullif({area('a.')} + {area('b.')} - {common('a.', 'b.')}, 0), 0), 6) AS iou, round({overlap('a.', 'b.')}, 6) AS across FROM elements a JOIN elements b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos"))
 def q_box_pairs(spark, sf):
     e = raw(spark, sf).select("doc_id", "page", "pos", "x1", "y1", "x2", "y2")

@@ -58,6 +58,14 @@ def test_hyphens_of_all_lines(spark, tmp_path):
     assert (1, 0, "the information here") in got
 
 
+def test_answers_are_whole_lines(spark, sf, tmp_path):
+    texts = [(1, "a\nI think so\nxxx\nb\nVARCO VISION\n. and -"), (2, "c\nVARCOVISION\n_")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["q_recognised_text_whole"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
+    assert [r["believed"] for r in got] == ["", "I think so", "", "", "", ". and -", "", "", ""]
+    test_like_other_engine(spark, sf, "q_recognised_text_whole")
+
+
 def test_nothing_else_needs_the_optional_folder():
     if importlib.util.find_spec("quire.llm") is None:
         pytest.skip("it is gone already")
