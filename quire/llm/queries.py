@@ -89,19 +89,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+l AS (
+  SELECT doc_id, r, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM d),
 k AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS line_key FROM l),
 c AS (
   SELECT line_key, max(doc_id) AS keep FROM k WHERE length(line_key) >= 20
-  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT k.doc_id, k.pos, k.line, c.keep IS NOT NULL AND c.keep <> k.doc_id AS lost FROM k LEFT JOIN c USING (line_key))
+  GROUP BY line_key HAVING count(DISTINCT doc_id) + max(CAST(doc_id IS NULL AS INTEGER)) >= 3),
+m AS (
+  SELECT k.doc_id, k.r, k.pos, k.line, c.line_key IS NOT NULL AND c.keep IS DISTINCT FROM k.doc_id AS lost
+  FROM k LEFT JOIN c USING (line_key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """
 
 
