@@ -218,6 +218,19 @@ def test_top_k_of_few(spark):
     assert pairs(topk.top_k(spark.createDataFrame([(50, [1.0]), (3, [-2.0])], schema)), "query_id", "rank", "vec_id", "score") == [(50, 1, 3, -131072)]
 
 
+def test_top_k_of_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(50, [0.0, 1.0]), (3, [2.0**45, 1.0]), (4, [0.5, 0.5]), (100, [-1e300, 2.0]), (5, [1e300, -3.0]), (6, [1e308, 0.25]), (150, [1e-300, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    whole = {i: [int(x) * 256 if abs(x) >= 2.0**53 else int(np.floor(x * 256)) for x in v] for i, v in rows}
+    want = []
+    for q in (50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, min(max(-s, topk.LEAST), topk.MOST)) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert (50, 3, 3, 65536) in want
+
+
 # --- language and toxicity -------------------------------------------------------
 
 SYLLABLES = {"en": "the and ing tion er".split(), "de": "der ung sch ein ü".split(), "fr": "le que é eau oi".split(), "es": "el os ció ñ ar".split()}
