@@ -27,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a local folder is set.
+    Where the session names none, and runs on one machine, a local folder is set;
+    on a cluster that is an error, since no other machine would see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(found)
         return found
@@ -56,6 +59,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_and_release(df: DataFrame, name: str, *broadcasts) -> DataFrame:
+    """``cut``, after which what was broadcast for ``df`` is given back everywhere."""
+    out = cut(df, name)
+    for b in broadcasts:
+        b.destroy()
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; the fast path holds for pure ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

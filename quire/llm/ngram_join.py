@@ -9,11 +9,16 @@ more necessary conditions follow: the sizes, and a parity bitmap of the set,
 whose Hamming distance is at most the symmetric difference. What is left is
 verified on the whole sets.
 
-Equal sets are one class from the start. Before candidates are made, sets that
-share their two first tokens under a hash order are compared with one pivot of
-that group, the most typical one. Verified links contract the large families of
-near copies, and only candidates in different contractions are made later, so a
-family of m copies costs about m comparisons and not m^2.
+Equal sets are one class from the start, known by a number and by the 128-bit
+signature of the set; ids of documents matter only at the end, so they may be
+null or repeat. Before candidates are made, sets that share their two first
+tokens under a hash order are compared with one pivot of that group, the most
+typical one. Verified links contract the large families of near copies. Of the
+sets that hold a token only those outside its largest family meet the others, so
+a family of m copies costs about m comparisons and not m^2.
+
+Joins on keys that many rows may share (copies, pivots, tokens, labels) are plain
+joins of stored tables, whose large partitions Spark splits between tasks.
 
 Token frequencies come from lossy counting: each batch of documents reports the
 tokens that it holds ``LOCAL`` times or more, which misses at most LOCAL - 1 for
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, worker
+from .common import cut, cut_and_release, worker
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -38,9 +43,8 @@ from .shingles import mixed, shingle_sets
 LOCAL, TABLE = 2, 1 << 18
 #: Tokens of a batch.
 COUNTED = 8_000_000
-#: Classes, and tokens of near copies, are dealt to this many tasks at joins.
-SALTS = 32
-#: Bits of the filter that says which documents a verification needs.
+#: Bits of the filter that says which texts a verification needs. It is of fixed
+#: size: beyond some 10^8 texts it lets most pass, and the join behind it decides.
 BLOOM_BITS = 1 << 25
 #: Words of 64 bits: of the parity bitmap that joins carry, and of the long one
 #: that pairs are sieved with before their texts move.
@@ -51,17 +55,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-HEAD = "id long, n long, siga long, sigb long, " + ", ".join(f"bm{i} long" for i in range(PARITY)) + ", " + ", ".join(f"p{j}{i} long" for j in ORDERS for i in range(2)) + ", mh2 long, mh3 long, mh4 long, sketch array<long>, token long, df long"
+HEAD = "id long, rk long, n long, siga long, sigb long, " + ", ".join(f"bm{i} long" for i in range(PARITY)) + ", " + ", ".join(f"p{j}{i} long" for j in ORDERS for i in range(2)) + ", mh2 long, mh3 long, mh4 long, sketch array<long>, token long, df long"
 NAMES = [x.split()[0] for x in HEAD.split(", ")]
-NUMBERS = NAMES[2 : NAMES.index("sketch")]
+NUMBERS = NAMES[NAMES.index("siga") : NAMES.index("sketch")]
 
 
 def _pieces(batches: Iterator, most: int = 1000) -> Iterator:
-    """Batches in pieces of few documents, so that flat arrays stay small."""
+    """Columns of batches in pieces of few documents, so that flat arrays stay small."""
     for b in batches:
         for at in range(0, b.num_rows, most):
-            piece = b.slice(at, most)
-            yield piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            yield [c.to_pylist() for c in b.slice(at, most).columns]
 
 
 def _words_of_bits(doc: np.ndarray, bit: np.ndarray, docs: int, words: int, parity: bool) -> np.ndarray:
@@ -94,8 +97,20 @@ def _summaries(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([*columns, *lows], axis=1), sketch
 
 
+def _speakers(rks: list[int], sets: list) -> set[int]:
+    """Positions of the rows that speak for their set: the least rk of equal sets."""
+    best: dict[object, int] = {}
+    for i, key in enumerate(sets):
+        if key is not None and (key not in best or rks[best[key]] > rks[i]):
+            best[key] = i
+    return set(best.values())
+
+
 def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A row for each document (token null), and counted tokens (id and n null)."""
+    """A row for each document (token null), and counted tokens (id and n null).
+
+    Of equal sets in a piece of a batch the least rk speaks: its row alone has a
+    sketch, and the least rk of a class is always among those that speak."""
     import pyarrow as pa
 
     @worker("shingles")
@@ -107,10 +122,10 @@ def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
             token, count = np.unique(np.concatenate(seen), return_counts=True)
             often = count >= LOCAL
             n = int(often.sum())
-            nulls = [pa.nulls(n, pa.int64())] * (2 + len(NUMBERS)) + [pa.nulls(n, pa.list_(pa.int64()))]
+            nulls = [pa.nulls(n, pa.int64())] * (3 + len(NUMBERS)) + [pa.nulls(n, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([*nulls, pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names=NAMES)
 
-        for ids, texts in _pieces(batches):
+        for ids, rks, texts in _pieces(batches):
             sets = shingle_sets(texts, k)
             some = [i for i, s in enumerate(sets) if len(s)]
             n = len(sets)
@@ -119,7 +134,9 @@ def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 values[some], sketch[some] = _summaries([sets[i] for i in some], percent)
                 seen += sets
                 held += sum(map(len, sets))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in values.T), pa.ListArray.from_arrays(np.arange(0, (n + 1) * LONG, LONG, dtype=np.int32), sketch.reshape(-1)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
+            speak = _speakers(rks, [(a, b) if len(s) else None for s, a, b in zip(sets, values[:, 0].tolist(), values[:, 1].tolist())])
+            sketches = [sketch[i] if i in speak else None for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rks, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in values.T), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=NAMES)
             if held > COUNTED:
                 yield counted()
                 seen, held = [], 0
@@ -129,30 +146,39 @@ def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, HEAD)
 
 
-def prefixes(docs: DataFrame, k: int, percent: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, id): the prefix of each document under order 1, rare tokens first.
+def frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that are counted most, at most TABLE, and their levels; the
+    driver gets a histogram of levels, then those tokens."""
+    level = F.least(F.lit(1023), F.ceil(16 * F.log2(F.greatest(F.sum("df"), F.lit(1))))).cast("int")
+    levels = cut(counted.groupBy("token").agg(level.alias("level")), "tokens")
+    least, n = 1024, 0
+    for row in sorted(levels.groupBy("level").count().collect(), reverse=True):
+        n += row["count"]
+        if n > TABLE:
+            break
+        least = row["level"]
+    table = levels.filter(F.col("level") >= least).toPandas()
+    tokens = table["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], table["level"].to_numpy(dtype=np.int64)[order]
+
 
-    Of equal sets in a piece of a batch the smallest id speaks for all.
-    """
+def prefixes(docs: DataFrame, k: int, percent: int, shared) -> DataFrame:
+    """(token, rk): the prefix under order 1, rare tokens first, of rows that
+    speak for their set; ``shared`` has the broadcast frequent tokens."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(often)
-
     @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         tokens, level = shared.value
         maybe = np.zeros(1 << 22, dtype=bool)
         maybe[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for ids, texts in _pieces(batches):
-            own: dict[bytes, tuple[int, np.ndarray]] = {}
-            for i, s in zip(ids, shingle_sets(texts, k)):
-                if i is not None and len(s):
-                    key = xxhash.xxh3_128_digest(s.tobytes())
-                    if key not in own or own[key][0] > i:
-                        own[key] = (i, s)
-            if not own:
+        for rks, texts in _pieces(batches):
+            every = shingle_sets(texts, k)
+            speak = sorted(_speakers(rks, [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in every]))
+            if not speak:
                 continue
-            sets = [s for _, s in own.values()]
+            sets = [every[i] for i in speak]
             flat = np.concatenate(sets)
             rank = np.zeros(len(flat), dtype=np.uint64)
             hot = np.flatnonzero(maybe[(flat & np.uint64((1 << 22) - 1)).astype(np.int64)])
@@ -167,10 +193,10 @@ def prefixes(docs: DataFrame, k: int, percent: int, often: tuple[np.ndarray, np.
                 p = prefix_length(n, percent)
                 found.append(s if p >= n else s[np.argpartition(key[at : at + n], p - 1)[:p]])
                 at += n
-            who = np.repeat(np.array([i for i, _ in own.values()], dtype=np.int64), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(who)], names=["token", "id"])
+            who = np.repeat(np.array([rks[i] for i in speak], dtype=np.int64), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(who)], names=["token", "rk"])
 
-    return docs.mapInArrow(run, "token long, id long")
+    return docs.mapInArrow(run, "token long, rk long")
 
 
 def _bloom_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,16 +228,26 @@ def passes(bits: np.ndarray, ids) -> np.ndarray:
     return ok
 
 
+_SIDE = ["rk", "siga", "sigb"]
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """The distinct (rk, siga, sigb) of both sides of pairs."""
+    a, b = (pairs.select(*[F.col(f"{x}_{c}").alias(c) for c in _SIDE]) for x in "ab")
+    return a.unionByName(b).distinct()
+
+
 def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least ``percent`` similar.
+    """(a, b) of the pairs whose sets are at least ``percent`` similar.
 
     Only documents in pairs leave the scan, as texts, which are a third of the
-    size of their sets: b's text goes to the pair, the pair to a's text.
+    size of their sets: b's text goes to the pair, the pair to a's text. Texts
+    are found by rk, and count where their set has the signature of the class.
     """
     import pyarrow as pa
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+    needed = cut(_sides(pairs).select("rk").distinct(), "needed")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("rk").alias("id"))))
 
     @worker("shingles")
     def some(batches: Iterator) -> Iterator:
@@ -226,17 +262,22 @@ def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFra
                 left, right = (shingle_sets(piece.column(c).to_pylist(), k) for c in ("ta", "tb"))
                 common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)])
                 both = np.array([len(x) + len(y) for x, y in zip(left, right)]) - common
-                yield piece.select(["a", "b"]).filter(pa.array(100 * common >= percent * both))
+                own = np.ones(piece.num_rows, dtype=bool)
+                for side, sets in (("a", left), ("b", right)):
+                    for salt, c in ((11, "siga"), (12, "sigb")):
+                        own &= np.array([mixed(s, salt).sum(dtype=np.uint64).view(np.int64) for s in sets]) == piece.column(f"{side}_{c}").to_numpy()
+                yield piece.select(["a", "b"]).filter(pa.array((100 * common >= percent * both) & own))
 
-    texts = docs.mapInArrow(some, "id long, text string")
-    half = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    whole = half.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return whole.select("a", "b", "ta", "tb").mapInArrow(compared, "a long, b long")
+    texts = docs.select("rk", "text").mapInArrow(some, "rk long, text string").join(needed, "rk", "left_semi").dropDuplicates(["rk", "text"])
+    texts = cut_and_release(texts, "texts", shared)
+    half = pairs.join(texts.select(F.col("rk").alias("b_rk"), F.col("text").alias("tb")), "b_rk")
+    whole = half.join(texts.select(F.col("rk").alias("a_rk"), F.col("text").alias("ta")), "a_rk")
+    return whole.select("a", "b", "a_siga", "a_sigb", "b_siga", "b_sigb", "ta", "tb").mapInArrow(compared, "a long, b long")
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Necessary conditions of a link: sizes and parity bitmaps of rows x and y."""
-    c = lambda side, name: F.col(f"{side}.{name}")
+    """Necessary conditions of a link: sizes and parity bitmaps of columns that begin with x and y."""
+    c = lambda side, name: F.col(f"{side}{name}")
     low, high = F.least(c(x, "n"), c(y, "n")), F.greatest(c(x, "n"), c(y, "n"))
     ok = F.lit(100) * low >= F.lit(percent) * high
     apart = sum((F.bit_count(c(x, f"bm{i}").bitwiseXOR(c(y, f"bm{i}"))) for i in range(PARITY)), F.lit(0))
@@ -244,52 +285,60 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return ok
 
 
-def in_all_orders(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes meet under the other orders too."""
-    p = [f"p{j}{i}" for j in ORDERS for i in range(2)]
-    side = lambda s: reps.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in p])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+_SIEVE = ["n", *(f"bm{i}" for i in range(PARITY))]
+_ORDERS = [f"p{j}{i}" for j in ORDERS for i in range(2)]
+
+
+def in_all_orders(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys that may link and whose prefixes meet under the
+    other orders too, with rk and signature of both sides."""
+    columns = [*_SIDE, *_SIEVE, *_ORDERS]
+    side = lambda s: reps.select(F.col("key").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("a_", "b_", percent))
     for j in ORDERS:
         shared = [F.col(f"a_p{j}{i}").bitwiseAND(F.col(f"b_p{j}{i}")) != 0 for i in range(2)]
         both = both.filter(shared[0] | shared[1])
-    return both.select("a", "b")
+    return both.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in _SIDE])
 
 
 def sieved(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose long parity bitmaps differ in no more bits than
-    linked sets can; ``sketches`` has (id, n, sketch)."""
-    side = lambda s: sketches.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    """The pairs whose long parity bitmaps differ in no more bits than linked
+    sets can; ``sketches`` has (rk, siga, sigb, n, sketch), equal rows for equal keys."""
+    own = cut(sketches.join(cut(_sides(pairs), "sides"), _SIDE, "left_semi").dropDuplicates(_SIDE), "sketches")
+    side = lambda s: own.select(*[F.col(c).alias(f"{s}_{c}") for c in _SIDE], F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    both = pairs
+    for s in "ab":
+        both = both.join(side(s), [f"{s}_{c}" for c in _SIDE])
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return both.filter(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-
+    return both.filter(F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("na") + F.col("nb"))).select(*pairs.columns)
 
-_SIEVE = ["n", *(f"bm{i}" for i in range(PARITY))]
-_ATTRS = [*_SIEVE, *(f"p{j}{i}" for j in ORDERS for i in range(2))]
 
-
-def _stars(reps: DataFrame, percent: int) -> DataFrame:
+def _stars(reps: DataFrame) -> DataFrame:
     """(a, b): each set with the pivot of its group under each hash order.
 
     The pivot is the set whose own keys are shared most, the most typical one.
     """
-    score = reps
-    for j in (2, 3, 4):
-        often = reps.groupBy(f"mh{j}").agg(F.count("*").alias(f"c{j}")).filter(f"c{j} > 1")
-        often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        score = score.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(often, [f"mh{j}", "salt"], "left").drop("salt")
-    score = cut(score.filter("c2 > 1 or c3 > 1 or c4 > 1").withColumn("typical", sum(F.coalesce(f"c{j}", F.lit(1)) for j in (2, 3, 4))), "typical")
-    whole = F.struct("id", *_SIEVE)
-    stars = None
-    for j in (2, 3, 4):
-        mine = score.filter(f"c{j} > 1")
-        pivot = mine.groupBy(f"mh{j}").agg(F.max_by(whole, F.struct("typical", (-F.col("id")).alias("m"))).alias("v"))
-        pivot = pivot.select(f"mh{j}", "v.*").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        mine = mine.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        both = mine.alias("x").join(pivot.alias("y"), [f"mh{j}", "salt"]).filter((F.col("x.id") != F.col("y.id")) & may_link("x", "y", percent))
-        both = both.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
-        stars = both if stars is None else stars.unionByName(both)
-    return in_all_orders(stars.distinct(), reps)
+    groups = reps.select("key", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"mh{j}").alias("mh")) for j in (2, 3, 4)])).alias("g")).select("key", "g.*")
+    often = cut(groups.groupBy("j", "mh").agg(F.count("*").alias("c")).filter("c > 1"), "groups")
+    mine = cut(groups.join(often, ["j", "mh"]), "members")
+    typical = cut(mine.groupBy("key").agg((F.sum("c") - F.count("*")).alias("typical")), "typical")
+    mine = cut(mine.drop("c").join(typical, "key"), "members")
+    pivot = cut(mine.groupBy("j", "mh").agg(F.max(F.struct("typical", (-F.col("key")).alias("m"))).alias("v")).select("j", "mh", (-F.col("v.m")).alias("a")), "pivots")
+    return mine.join(pivot, ["j", "mh"]).filter("a <> key").select("a", F.col("key").alias("b")).distinct()
+
+
+def _candidates(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different families that share a prefix token of ``posts``
+    (token, key, family) and may link."""
+    held = posts.groupBy("token", "family").agg(F.count("*").alias("c"))
+    main = held.groupBy("token").agg(F.max_by("family", "c").alias("main"), F.count("*").alias("families")).filter("families > 1")
+    met = posts.join(cut(main.select("token", "main"), "shared-tokens"), "token").distinct()
+    met = cut(met.join(nodes.select("key", *_SIEVE), "key"), "met")
+    x, y = (met.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "family", "main", *_SIEVE)]) for s in "xy")
+    x = x.filter("x_family <> x_main")
+    other = (F.col("x_family") != F.col("y_family")) & ((F.col("y_family") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
+    pairs = x.join(y, "token").filter(other & may_link("x_", "y_", percent))
+    return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -300,46 +349,40 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty set, linked with nothing. Sets of at least ``percent`` per cent
     Jaccard similarity link; component_id is the smallest id reachable. Rows
     that repeat stay; rows of one id with different texts each have their own
-    set. A null id gets the component of its links, or null. An empty table
-    gives no rows. Other columns are ignored.
+    set and links. A row without an id links like any other: it gets the smallest
+    id that it reaches, null if none, and carries links between others. An empty
+    table gives no rows. Other columns are ignored.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return labelled(docs, id_col, text_col, k, percent).select(id_col, "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """``similar_sets`` with more: rk, a hash of id and text, and key, which names
+    the component also where it has no id (null: no links, no copies)."""
+    sc = docs.sparkSession.sparkContext
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("rk"), F.col(text_col).alias("text"))
     both = cut(heads(text, k, percent), "heads")
-    rows = both.filter(F.col("token").isNull()).drop("token", "df", "sketch")
-    sketches = both.filter(F.col("token").isNull() & (F.col("n") > 0)).select("id", "n", "sketch")
-    table = both.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(TABLE).select("token", "df").toPandas()
-    tokens = table["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    level = np.minimum(1023, np.ceil(16 * np.log2(np.maximum(table["df"].to_numpy(dtype=np.float64), 1))))[order].astype(np.int64)
-    classes = rows.filter("n > 0").groupBy("siga", "sigb").agg(F.count("*").alias("copies"), F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*_ATTRS, "mh2", "mh3", "mh4")])
-    classes = cut(classes, "classes")
-    reps = classes.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
-    stars = cut(sieved(_stars(reps, percent), sketches, percent), "stars")
-    sure = cut(verified(text, k, percent, stars), "sure")
-    up = sure.groupBy("b").agg(F.min("a").alias("up"))
-    hop = up.select(F.col("b").alias("up"), F.col("up").alias("up2"))
-    nodes = reps.join(up, reps["id"] == up["b"], "left").drop("b").join(hop, "up", "left")
-    nodes = nodes.select("id", *_SIEVE, F.coalesce("up2", "up", "id").alias("family"))
-    by_token = Window.partitionBy("token")
-
-    def several(posts: DataFrame, what: str) -> DataFrame:
-        """Posts of tokens that at least two values of ``what`` hold."""
-        ends = posts.withColumn("lo", F.min(what).over(by_token)).withColumn("hi", F.max(what).over(by_token))
-        return ends.filter("lo < hi").drop("lo", "hi")
-
-    posts = several(prefixes(text, k, percent, (tokens[order], level)), "id")
-    posts = several(posts.join(nodes.select("id", "family"), "id"), "family")
-    met = cut(posts.join(nodes.drop("family"), "id"), "met")
-    x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.family") != F.col("y.family")) & may_link("x", "y", percent))
-    pairs = in_all_orders(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), reps)
-    pairs = cut(sieved(cut(pairs, "candidates"), sketches, percent), "pairs")
-    more = verified(text, k, percent, pairs)
-    links = sure.unionByName(more)
-    parts = components(links)
-    copies = classes.filter("copies > 1").select("siga", "sigb", F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    placed = rows.select("id", "n", "siga", "sigb").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(copies, ["siga", "sigb", "salt"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("node", "rep")
-    out = out.join(parts, ["rep", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    rows = both.filter(F.col("token").isNull())
+    sketches = rows.filter(F.col("sketch").isNotNull() & (F.col("n") > 0)).select(*_SIDE, "n", "sketch")
+    often = frequent(both.filter(F.col("token").isNotNull()).select("token", "df"))
+    first = [F.first(c, ignorenulls=True).alias(c) for c in (*_SIEVE, *_ORDERS, "mh2", "mh3", "mh4")]
+    classes = rows.filter("n > 0").groupBy("siga", "sigb").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("rk").alias("rk"), *first)
+    classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    stars = cut(in_all_orders(cut(_stars(classes), "stars"), classes, percent), "stars")
+    sure = cut(verified(text, k, percent, cut(sieved(stars, sketches, percent), "stars")), "sure")
+    up = cut(sure.groupBy("b").agg(F.min("a").alias("up")), "up")
+    nodes = classes.join(up, classes["key"] == up["b"], "left").drop("b").join(up.select(F.col("b").alias("up"), F.col("up").alias("up2")), "up", "left")
+    nodes = cut(nodes.select("key", "rk", *_SIEVE, F.coalesce("up2", "up", "key").alias("family")), "nodes")
+    shared = sc.broadcast(often)
+    posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk").select("token", "key", "family")
+    posts = cut_and_release(posts, "posts", shared)
+    pairs = cut(in_all_orders(cut(_candidates(posts, nodes, percent), "met-pairs"), classes, percent), "candidates")
+    more = verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs"))
+    parts = components(sure.unionByName(cut(more, "more")))
+    linked = cut(parts.join(classes.select("key", "siga", "sigb", "id"), parts["node"] == classes["key"]).select("node", "component", "siga", "sigb", "id"), "linked")
+    least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
+    linked = linked.join(least, "component").select("siga", "sigb", F.col("component").alias("key"), "least")
+    alone = classes.filter("copies > 1").join(parts, classes["key"] == parts["node"], "left_anti").select("siga", "sigb", "key", F.col("id").alias("least"))
+    named = cut(linked.unionByName(alone), "named")
+    rows = rows.select("id", "rk", "n", "siga", "sigb").join(named.withColumnRenamed("siga", "a").withColumnRenamed("sigb", "b"), (F.col("siga") == F.col("a")) & (F.col("sigb") == F.col("b")) & (F.col("n") > 0), "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "rk", "key")
