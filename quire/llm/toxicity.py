@@ -1,11 +1,13 @@
 """Toxicity of texts after noisy-channel deobfuscation.
 
-A character trigram model is counted over the whole corpus. Words that look
-disguised (leetspeak, spaced-out letters, stretched letters, separators between
-letters) become lattices: each character may stand for itself, for a letter that
-it resembles, for a repetition of the one before, or for nothing. Viterbi finds
-the likeliest letters under the model and the channel's costs. Restored words and
-their beginnings are the features of a logistic model.
+A character trigram model is counted over the whole corpus. What may be disguised
+becomes a lattice: words that hold letters and a sign that the channel knows,
+words with a letter three times in a row, or twice where the character model
+finds them odd, letters that stand alone in a row whatever white space parts
+them, and short neighbouring pieces that it finds odd. Each character may stand for itself, for a letter that it resembles, for a
+repetition of the one before, or for nothing. Viterbi finds the likeliest letters
+under the model and the channel's costs, in time linear in the text. Restored
+words and their beginnings are the features of a logistic model.
 """
 
 from __future__ import annotations
@@ -47,11 +49,18 @@ _CLASS[[ord(c) for c in LETTERS]] = np.arange(2, CLASSES)
 _CLASS[[ord(c) for c in " \t\n\r\x0b\x0c"]] = 0
 CLASS_OF = {c: k for k, c in enumerate(LETTERS, 2)} | {" ": 0}
 
-RUN = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-STRETCH = re.compile(r"([^\W\d_])\1\1")
-TAIL = re.compile(r"(?:([^\w\s])\1{2,}|[.,;:!?\"')\]}»…])+$")
-HEAD = re.compile(r"^[\"'(\[{«¿¡]+(?=\w)")
-MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+(€._*~-]|[0-9@$!|+(€].*[^\W\d_]", re.S)
+#: Short pieces side by side; each pattern is linear in any text.
+RUN = re.compile(r"(?<!\S)\S{1,3}(?:\s+\S{1,3})+(?!\S)")
+LETTER = re.compile(r"[^\W\d_]")
+SIGN = re.compile("[" + re.escape("".join(LEET) + BETWEEN) + "]")
+TWICE = re.compile(r"([^\W\d_])\1")
+THRICE = re.compile(r"([^\W\d_])\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
+#: Punctuation around words.
+OPENERS, CLOSERS = "\"'([{«¿¡", ".,;:!?\"')]}»…"
+#: A word or piece is odd whose characters are less likely than the corpus's mean by so
+#: many nats each.
+ODD = 0.5
 
 
 def codes(text: str) -> np.ndarray:
@@ -93,41 +102,81 @@ def char_model(counts) -> np.ndarray:
     return np.log(triple / triple.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def restore(seen: str, model: np.ndarray) -> str:
-    """The likeliest text behind a disguised one, by Viterbi over its lattice."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def ways(seen: str) -> Iterator[list[tuple[str, float]]]:
+    """For each character what it may stand for, and at which cost."""
     before = ""
     for ch in seen:
-        ways = [(ch, 0.0)]
+        found = [(ch, 0.0)]
         if ch in LEET:
-            ways += [(x, COST_LEET) for x in LEET[ch]]
+            found += [(x, COST_LEET) for x in LEET[ch]]
         if ch in BETWEEN:
-            ways.append(("", COST_BETWEEN))
+            found.append(("", COST_BETWEEN))
         if ch == " ":
-            ways.append(("", COST_JOIN))
+            found.append(("", COST_JOIN))
         elif ch == before:
-            ways.append(("", COST_REPEAT))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
-            for out, cost in ways:
+            found.append(("", COST_REPEAT))
+        yield found
+        before = ch
+
+
+def restore(seen: str, model) -> str:
+    """The likeliest text behind a disguised one, by Viterbi over its lattice.
+
+    ``model`` is log P(c | a, b) by a, b and c. A state is the last two classes;
+    it points back to the state that it came from, and where one state is left
+    what lies behind it is settled.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    settled: list[str] = []
+
+    def settle(back: tuple | None) -> None:
+        tail = []
+        while back is not None:
+            back, out = back
+            tail.append(out)
+        settled.extend(reversed(tail))
+
+    for choices in ways(seen):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, back) in best.items():
+            row = model[a][b]
+            for out, cost in choices:
                 if out:
                     c = CLASS_OF.get(out, 1)
-                    state, value = (b, c), (score - cost + float(model[a, b, c]), text + out)
+                    state, value = (b, c), score - cost + row[c]
+                    if state not in after or value > after[state][0]:
+                        after[state] = (value, (back, out))
                 else:
-                    state, value = (a, b), (score - cost, text)
-                if state not in after or value > after[state]:
-                    after[state] = value
-        best, before = after, ch
-    return max((score + float(model[a, b, 0]), text) for (a, b), (score, text) in best.items())[1]
+                    value = score - cost
+                    if (a, b) not in after or value > after[a, b][0]:
+                        after[a, b] = (value, back)
+        if len(after) == 1:
+            ((state, (_, back)),) = after.items()
+            settle(back)
+            after = {state: (0.0, None)}
+        best = after
+    settle(max((score + model[a][b][0], k, back) for k, ((a, b), (score, back)) in enumerate(best.items()))[2])
+    return "".join(settled)
 
 
 def bare(word: str) -> str:
     """Without punctuation around it and runs of a symbol behind it."""
-    return HEAD.sub("", TAIL.sub("", word))
-
-
-def disguised(word: str) -> bool:
-    return bool(MIXED.search(word) or STRETCH.search(word))
+    end = len(word)
+    while end:
+        c = word[end - 1]
+        if c in CLOSERS:
+            end -= 1
+            continue
+        at = end
+        if not (c.isalnum() or c == "_"):
+            while at and word[at - 1] == c:
+                at -= 1
+        if end - at < 3:
+            break
+        end = at
+    word = word[:end]
+    inner = word.lstrip(OPENERS)
+    return inner if inner[:1].isalnum() or inner[:1] == "_" else word
 
 
 def word_features(word: str) -> set[int]:
@@ -137,33 +186,91 @@ def word_features(word: str) -> set[int]:
 
 
 _READERS: weakref.WeakSet = weakref.WeakSet()
-holds_memory("toxicity", lambda: [r.memo.clear() for r in _READERS])
+holds_memory("toxicity", lambda: [r.clear() for r in _READERS])
 
 
 class Reader:
     """Feature ids of texts; words are restored once per worker."""
 
     def __init__(self, model: np.ndarray, known: dict[int, int] | None = None):
-        self.model, self.known = model, known
+        self.model, self.known = model.tolist(), known
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.oddness: dict[str, bool] = {}
+        p = np.exp(model.astype(np.float64))
+        flow = np.full((CLASSES, CLASSES), 1 / CLASSES**2)
+        for _ in range(30):  # how often two classes meet, by the model itself
+            flow = np.einsum("ab,abc->bc", flow, p)
+        self.usual = float(np.einsum("ab,abc,abc->", flow, p, model))
         _READERS.add(self)
 
+    def clear(self) -> None:
+        self.memo.clear()
+        self.oddness.clear()
+
     def _keep(self, restored: str) -> set[int]:
         found: set[int] = set()
         for w in restored.split():
             found |= word_features(w)
         return found if self.known is None else {self.known[f] for f in found if f in self.known}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.memo.get(word)
+    def _remember(self, seen: str, restored) -> tuple[int, ...]:
+        got = self.memo.get(seen)
         if got is None:
-            w = bare(word)
-            got = tuple(self._keep(restore(w, self.model) if disguised(w) else w))
+            got = tuple(self._keep(restored(seen)))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[word] = got
+            if len(seen) <= 200:
+                self.memo[seen] = got
         return got
 
+    def restored(self, seen: str) -> str:
+        """Runs of one character count as three, which changes no decision but
+        how often it is repeated."""
+        return restore(LONG_RUN.sub(r"\1\1\1", seen), self.model)
+
+    def word(self, word: str) -> tuple[int, ...]:
+        return self._remember(word, lambda seen: self.restored(w) if self.disguised(w := bare(seen)) else w)
+
+    def disguised(self, word: str) -> bool:
+        if (SIGN.search(word) and LETTER.search(word)) or THRICE.search(word):
+            return True
+        return bool(TWICE.search(word)) and self.odd(word)
+
+    def odd(self, piece: str) -> bool:
+        """One character, or less likely than usual, character by character."""
+        got = self.oddness.get(piece)
+        if got is None:
+            a = b = 0
+            total = 0.0
+            for c in [CLASS_OF.get(ch, 1) for ch in piece] + [0]:
+                total += self.model[a][b][c]
+                a, b = b, c
+            got = len(piece) == 1 or total / (len(piece) + 1) < self.usual - ODD
+            if len(self.oddness) >= MEMO:
+                self.oddness.clear()
+            if len(piece) <= 200:
+                self.oddness[piece] = got
+        return got
+
+    def pieces(self, parts: list[str]) -> Iterator[str]:
+        """Neighbouring short pieces that may be one word: odd ones in a row, or
+        an odd one with either neighbour."""
+        odd = [self.odd(p) for p in parts]
+        at = 0
+        while at < len(parts):
+            end = at
+            while end < len(parts) and odd[end]:
+                end += 1
+            if end - at >= 2:
+                if end - at >= 3 or any(len(p) > 1 for p in parts[at:end]):
+                    yield " ".join(parts[at:end])
+            elif end > at and len(parts[at]) > 1:
+                if at:
+                    yield " ".join(parts[at - 1 : end])
+                if end < len(parts):
+                    yield " ".join(parts[at : end + 1])
+            at = max(end, at + 1)
+
     def features(self, text: str | None) -> list[int]:
         """Distinct features of the whole text."""
         low = (text or "").lower()
@@ -171,7 +278,8 @@ class Reader:
         for w in set(low.split()):
             found.update(self.word(w))
         for m in RUN.finditer(low):
-            found |= self._keep(restore(m.group(), self.model))
+            for seen in self.pieces(m.group().split()):
+                found.update(self._remember(seen, self.restored))
         return sorted(found)
 
 
