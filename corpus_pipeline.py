@@ -16,7 +16,7 @@ from quire.llm import bpe, toxicity
 from quire.llm.common import cut, ship, table
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
-from quire.llm.ngram_join import similar_sets
+from quire.llm.ngram_join import labelled
 from quire.llm.tokens import default_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,16 +39,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of documents linked by Jaccard similarity of 0.9 on
-    3-word shingles, the smallest id (of rows that repeat an id, the first by
-    text). Rows with a null id stay unless a copy has an id."""
+    """One row of each group of rows linked by Jaccard similarity of 0.8 or more
+    on 5-word shingles: the one with the smallest id (null last, then by a hash of
+    the text, then by the other columns). Rows of one id with different texts, and
+    rows without an id, are in groups like any other. Rows without words stay."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    groups = similar_sets(docs.select("doc_id", "text"), k=3, percent=90)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", "source", "lang"))
-    return kept.withColumn("_nth", nth).filter((F.col("_nth") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
+    groups = labelled(docs.select("doc_id", "text"), k=5, percent=80).filter(F.col("key").isNotNull())
+    groups = cut(groups.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "key"), "groups")
+    first = groups.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rk")).alias("f"), F.count("*").alias("n"))
+    first = cut(first.select("key", F.col("f._id").alias("_fid"), F.col("f._rk").alias("_frk")), "firsts")
+    told = groups.join(first, "key").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_rk") == F.col("_frk")))
+    told = cut(told.groupBy("_id", "_rk", "_stays").agg(F.count("*").alias("_n")), "told")
+    own = F.xxhash64("doc_id", "text")
+    rows = docs.withColumn("_own", own).join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rk")), "left")
+    rows = rows.filter(F.col("_stays").isNull() | F.col("_stays"))
+    once = rows.filter(F.coalesce("_n", F.lit(1)) == 1).select(*COLUMNS)
+    again = rows.filter("_n > 1").groupBy("doc_id", "_rk").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    return once.unionByName(again.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators over corpora against brute force: 1, 3, 5, 7, 9 and the pipeline."""
 
 import collections
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,6 +44,17 @@ def linked(nodes, links):
 # --- n-gram Jaccard join -------------------------------------------------------
 
 
+def naive_rows(docs, k=3, percent=90):
+    """(id, size, component_id) of rows whose ids may be null or repeat."""
+    place = {n: (n, t) for n, (_, t) in enumerate(docs)}
+    found = naive_components(place.values(), k, percent)
+    least = {}
+    for n, (i, _) in enumerate(docs):
+        if i is not None:
+            least[found[n][1]] = min(i, least.get(found[n][1], i))
+    return sorted(((i, found[n][0], least.get(found[n][1])) for n, (i, _) in enumerate(docs)), key=repr)
+
+
 def naive_components(docs, k=3, percent=90):
     sets = {}
     for i, t in docs:
@@ -86,14 +99,32 @@ def test_similar_sets_of_odd_rows(odd, none):
     assert ngram_join.similar_sets(none).count() == 0
 
 
+def test_similar_sets_of_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    docs = [(rng.choice([None, None, i, i % 7, i % 30]), t) for i, t in families(6, 160)]
+    docs += [(900, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = ngram_join.similar_sets(df)
+    assert pairs(got, "doc_id", "n_shingles", "component_id") == naive_rows(docs)
+    words = [f"w{k}" for k in range(60)]
+    z, t = [f"z{k}" for k in range(60)], [f"t{k}" for k in range(60)]
+    change = lambda w: " ".join([*w[:-1], "x"])
+    docs = [(1, " ".join(words)), (None, change(words)), (7, " ".join(z)), (7, " ".join(t)), (3, change(z)), (2, change(t))]
+    got = pairs(ngram_join.similar_sets(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == naive_rows(docs) == sorted([(1, 58, 1), (None, 58, 1), (7, 58, 3), (7, 58, 2), (3, 58, 3), (2, 58, 2)], key=repr)
+
+
 def test_filters_lose_no_link(spark):
     docs = families(3, 60)
-    frame = spark.createDataFrame(docs, "id long, text string")
-    h = ngram_join.heads(frame, 3, 90).filter("token is null").filter("n > 0")
+    frame = spark.createDataFrame([(i, i, t) for i, t in docs], "id long, rk long, text string")
+    h = ngram_join.heads(frame, 3, 90).filter("token is null").filter("n > 0").withColumn("rk", F.col("id")).withColumn("key", F.col("id")).persist()
     sets = dict(zip([i for i, _ in docs], shingle_sets([t for _, t in docs], 3)))
-    x, y = h.alias("x"), h.alias("y")
-    met = x.join(y, (F.col("x.id") < F.col("y.id")) & ngram_join.may_link("x", "y", 90)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    passed = {(r["a"], r["b"]) for r in ngram_join.sieved(ngram_join.in_all_orders(met, h), h.select("id", "n", "sketch"), 90).collect()}
+    every = h.select(F.col("key").alias("a")).join(h.select(F.col("key").alias("b")), F.col("a") < F.col("b"))
+    passed = {(r["a"], r["b"]) for r in ngram_join.in_all_orders(every, h, 90).collect()}
+    spoken = {r["id"] for r in h.filter("sketch is not null").collect()}
+    pairs_left = ngram_join.in_all_orders(every, h, 90).filter(F.col("a").isin(*spoken) & F.col("b").isin(*spoken))
+    kept = {(r["a"], r["b"]) for r in ngram_join.sieved(pairs_left, h.filter("sketch is not null").select("rk", "siga", "sigb", "n", "sketch"), 90).collect()}
+    passed = {p for p in passed if p in kept or not {*p} <= spoken}
     ids = sorted(i for i in sets if len(sets[i]))
     for a in ids:
         for b in (b for b in ids if b > a):
@@ -288,13 +319,45 @@ def talk(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 2 == 0)
 
 
-@pytest.mark.parametrize("seen,want", [("1d10t", "idiot"), ("m0r0n", "moron"), ("mooooron", "moron"), ("i d i o t", "idiot"), ("p.a.t.h.e.t.i.c", "pathetic"), ("path3t!c", "pathetic"), ("p@thetic", "pathetic")])
+@pytest.mark.parametrize("seen,want", [("1d10t", "idiot"), ("m0r0n", "moron"), ("mooooron", "moron"), ("i d i o t", "idiot"), ("p.a.t.h.e.t.i.c", "pathetic"), ("path3t!c", "pathetic"), ("p@thetic", "pathetic"), ("i  d  i  o  t", "idiot"), ("i\nd\tio\nt", "idiot"), ("id iot", "idiot"), ("iiddiioott", "idiot"), ("mo'ro'n", "moron"), ("(1d10t!!!", "idiot"), ("m" + "o" * 500 + "ron", "moron")])
 def test_restores(talk, seen, want):
-    assert toxicity.restore(seen, talk[2].chars) == want
+    assert toxicity.Reader(talk[2].chars).restored(" ".join(toxicity.bare(seen).split())) == want
     plain = "theing ander tioner " * 3
     assert talk[2].score(plain + f"{seen} {seen} {seen}") >= 0.5 > talk[2].score(plain)
 
 
+def test_viterbi_like_every_path(talk):
+    model = talk[2].chars.astype(np.float64)
+    rng = random.Random(3)
+
+    def total(path):
+        a = b = 0
+        cost = 0.0
+        for out, c in path:
+            cost -= c
+            if out:
+                k = toxicity.CLASS_OF.get(out, 1)
+                cost += model[a, b, k]
+                a, b = b, k
+        return cost + model[a, b, 0]
+
+    for _ in range(150):
+        seen = "".join(rng.choices("aidot1003@.' eé!", k=rng.randint(1, 7)))
+        paths = [(total(p), "".join(out for out, _ in p)) for p in itertools.product(*toxicity.ways(seen))]
+        best = max(paths)[0]
+        assert toxicity.restore(seen, model.tolist()) in {t for v, t in paths if v > best - 1e-9}, seen
+
+
+def test_any_text_is_scored_in_linear_time(talk):
+    million = 1_000_000
+    texts = ["ab" * (million // 2), "a" * million, "漢字仮名交文" * (million // 6), "." * million + "a", "a b " * (million // 40), "!" * million, ("x" + " " * 999) * 1000, "a." * (million // 20)]
+    talk[2].score("warm up")
+    for t in texts:
+        began = time.perf_counter()
+        assert talk[2].score(t) < 0.5
+        assert time.perf_counter() - began < 1.0, t[:10]
+
+
 def test_toxicity(talk, odd, none, spark):
     docs, labels, model = talk
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
@@ -332,7 +395,7 @@ def test_pipeline(spark, sf):
     toxic = {r["doc_id"] for r in table(spark, sf, "labels").filter("toxic = 1").collect()}
     assert all(source[r["doc_id"]] == r for r in kept["toxicity"])
     assert len(kept["line_dedup"]) == len(kept["toxicity"]) and all(r["n_chars"] == len(r["text"]) for r in kept["line_dedup"])
-    comps = naive_components([(r["doc_id"], r["text"]) for r in kept["line_dedup"]])
+    comps = naive_components([(r["doc_id"], r["text"]) for r in kept["line_dedup"]], 5, 80)
     assert sorted(r["doc_id"] for r in kept["ngram_jaccard_join"]) == sorted(i for i, (_, c) in comps.items() if i == c)
     times = collections.Counter(r["doc_id"] for r in kept["mix_sources"])
     assert max(times.values()) <= 3 and set(times) <= {r["doc_id"] for r in kept["ngram_jaccard_join"]}
@@ -355,6 +418,29 @@ def test_pipeline_stages_take_odd_rows(odd, spark, sf):
         assert (docs.count() > 0) == (rows.count() > 0)
 
 
+def test_one_of_each_group_stays(spark, sf):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    docs = [(rng.choice([None, i, i, i % 9]), t, "en", None, len(t)) for i, t in families(11, 140)]
+    docs += [docs[0], docs[0], docs[3], (None, docs[5][1], "de", "s", 1), (None, docs[5][1], "de", "r", 1), (70, None, None, None, None), (70, None, None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [tuple(r) for r in cp.near_copies(spark, df, sf).collect()]
+    found = naive_components(list(enumerate(d[1] for d in docs)), 5, 80)
+    groups = collections.defaultdict(list)
+    for n, (size, c) in found.items():
+        if size:
+            groups[c].append(docs[n])
+    assert len(kept) == len(groups) + 2 and not set(kept) - set(docs)
+    place = {d: c for n, (size, c) in found.items() for d in [docs[n]] if size}
+    seen = [place[d] for d in kept if d[1]]
+    assert sorted(seen) == sorted(groups)
+    for d in kept:
+        if d[1]:
+            ids = [x[0] for x in groups[place[d]] if x[0] is not None]
+            assert d[0] == (min(ids) if ids else None)
+
+
 def test_folds_and_names(spark):
     import __spark_entry__ as entry
     from quire.llm.queries import fold
