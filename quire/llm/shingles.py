@@ -48,6 +48,24 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def runs(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k words, in order, for long runs: a polynomial in an
+    odd multiplier whose runs of twice the length come from two of the length."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        out, done, part, length, mult = np.zeros(n, dtype=np.uint64), 0, mixed(hashes, 50), 1, int(_M1)
+        while True:
+            if k & length:
+                out = out * np.uint64(mult) + part[done : done + n]
+                done += length
+            if done == k:
+                return mixed(out ^ (out >> np.uint64(31)), 51)
+            part = part[:-length] * np.uint64(mult) + part[length:]
+            length, mult = 2 * length, mult * mult % 2**64
+
+
 def shingle_sets(texts: list, k: int) -> list[np.ndarray]:
     """For each text its sorted distinct k-word shingles; a text with fewer
     words has its whole sequence as one, a text without words none."""

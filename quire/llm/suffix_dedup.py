@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, worker
 from .ngram_join import bloom, passes
-from .shingles import grams, mixed, word_hashes
+from .shingles import grams, mixed, runs, word_hashes
 
 #: Words of the hash that picks positions, and positions of which one is picked.
 GRAM, WINDOW = 8, 18
@@ -40,21 +40,29 @@ GRAM, WINDOW = 8, 18
 REACH, FURTHER = 60, 16
 
 
-def picked(hashes: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Positions with the least gram hash of some ``window`` positions in a row."""
-    h = mixed(grams(hashes, gram), 40)
-    n = len(h) - window + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    low, span = h, 1
+def sliding(values: np.ndarray, window: int, best) -> np.ndarray:
+    """The ``best`` (np.minimum or np.maximum) of each ``window`` values in a row."""
+    n, out, span = len(values) - window + 1, values, 1
     while span * 2 <= window:
-        low = np.minimum(low[:-span], low[span:])
+        out = best(out[:-span], out[span:])
         span *= 2
-    low = np.minimum(low[:n], low[window - span : window - span + n])
-    least = np.zeros(len(h), dtype=bool)
-    for j in range(window):
-        least[j : j + n] |= h[j : j + n] == low
-    return np.flatnonzero(least)
+    return best(out[:n], out[window - span : window - span + n])
+
+
+def picked(hashes: np.ndarray, left: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Positions with the least gram hash of some ``window`` positions in a row.
+
+    ``hashes`` are the words of documents one after another, and ``left`` the
+    number of words from each position to the end of its document.
+    """
+    if len(hashes) < window + gram - 1:
+        return np.zeros(0, dtype=np.int64)
+    h = mixed(grams(hashes, gram), 40) | np.uint64(1)
+    low = sliding(h, window, np.minimum)
+    low[left[: len(low)] < window + gram - 1] = 0
+    edge = np.zeros(window - 1, dtype=np.uint64)
+    # A window's least hash is one's own where the greatest of them is: they hold it and are no more than it.
+    return np.flatnonzero(sliding(np.concatenate([edge, low, edge]), window, np.maximum) == h)
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
@@ -66,22 +74,21 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     @worker("shingles")
     def run(batches: Iterator) -> Iterator:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                g, ids, pos = [], [], []
-                piece = b.slice(at, 1000)
-                for i, t in zip(piece.column(0).to_pylist(), piece.column(1)):
-                    if i is None or not t.is_valid:
-                        continue
-                    h = word_hashes(t.as_py())
-                    if len(h) < min_words:
-                        continue
-                    p = picked(h, GRAM, WINDOW)
-                    p = p[p <= len(h) - prefix]
-                    g.append(grams(h, prefix)[p].view(np.int64))
-                    ids.append(np.full(len(p), i, dtype=np.int64))
-                    pos.append(p.astype(np.int32))
-                if g:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (g, ids, pos)], names=["g", "id", "pos"])
+            for at in range(0, b.num_rows, 500):
+                piece = b.slice(at, 500)
+                words = [(i, word_hashes(t.as_py())) for i, t in zip(piece.column(0).to_pylist(), piece.column(1)) if i is not None and t.is_valid]
+                words = [(i, h) for i, h in words if len(h) >= min_words]
+                if not words:
+                    continue
+                size = np.array([len(h) for _, h in words])
+                flat, end = np.concatenate([h for _, h in words]), np.cumsum(size)
+                left = np.repeat(end, size) - np.arange(len(flat))
+                p = picked(flat, left, GRAM, WINDOW)
+                p = p[left[p] >= prefix]
+                doc = np.searchsorted(end, p, side="right")
+                ids = np.array([i for i, _ in words], dtype=np.int64)[doc]
+                pos = (p - (end - size)[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (runs(flat, prefix)[p].view(np.int64), ids, pos)], names=["g", "id", "pos"])
 
     return docs.mapInArrow(run, "g long, id long, pos int")
 
@@ -198,7 +205,7 @@ def windows(docs: DataFrame, kept: DataFrame, groups: DataFrame, min_words: int)
                 start = np.array(at.as_py(), dtype=np.int64)[:, None] - np.arange(WINDOW)[None]
                 start = np.unique(start[(start >= 0) & (start + min_words <= len(h))])
                 if len(start):
-                    yield pa.RecordBatch.from_arrays([pa.array(grams(h, min_words)[start].view(np.int64)), pa.array(np.full(len(start), i, dtype=np.int64)), pa.array(start.astype(np.int32))], names=["g", "id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(runs(h, min_words)[start].view(np.int64)), pa.array(np.full(len(start), i, dtype=np.int64)), pa.array(start.astype(np.int32))], names=["g", "id", "pos"])
 
     texts = docs.mapInArrow(wanted, "id long, text string")
     return texts.join(members, "id").select("id", "text", "at").mapInArrow(run, "g long, id long, pos int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import langid, ngram_join, suffix_dedup, topk, toxicity
 from quire.llm.components import components
-from quire.llm.shingles import shingle_sets
+from quire.llm.shingles import grams, mixed, runs, shingle_sets
 
 
 def pairs(df, *columns):
@@ -174,6 +174,26 @@ def test_passages(spark):
     assert all(len({reach[i] for i in v}) == 1 for v in several)
 
 
+def test_minimisers_and_runs_like_loops():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 3, 25, 26, 60, 200)]
+    size = [len(d) for d in docs]
+    flat = np.concatenate(docs)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+    want = []
+    for first, d in zip(np.cumsum([0, *size]), docs):
+        h = mixed(grams(d, 8), 40) | np.uint64(1)
+        found = {k for j in range(len(h) - 17) for k in range(j, j + 18) if h[k] == h[j : j + 18].min()}
+        want += sorted(first + k for k in found)
+    assert suffix_dedup.picked(flat, left, 8, 18).tolist() == want
+    for k in (1, 2, 33, 50):
+        h = runs(flat, k)
+        same = {}
+        for i, x in enumerate(h.tolist()):
+            same.setdefault(x, set()).add(tuple(flat[i : i + k].tolist()))
+        assert all(len(v) == 1 for v in same.values()) and len(same) == len({v for s in same.values() for v in s})
+
+
 def test_every_place_of_a_passage_has_a_row(spark):
     rng = random.Random(5)
     fresh = iter(range(10**6))
