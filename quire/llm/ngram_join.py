@@ -13,7 +13,7 @@ Equal sets are one class from the start, known by a number and by the 128-bit
 signature of the set; ids of documents matter only at the end, so they may be
 null or repeat. Before candidates are made, sets that share their two first
 tokens under a hash order are compared with one pivot of that group, the most
-typical one. Verified links contract the large families of near copies. Of the
+typical one. What verified links connect is one family from then on. Of the
 sets that hold a token only those outside its largest family meet the others, so
 a family of m copies costs about m comparisons and not m^2.
 
@@ -370,15 +370,15 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
     stars = cut(in_all_orders(cut(_stars(classes), "stars"), classes, percent), "stars")
     sure = cut(verified(text, k, percent, cut(sieved(stars, sketches, percent), "stars")), "sure")
-    up = cut(sure.groupBy("b").agg(F.min("a").alias("up")), "up")
-    nodes = classes.join(up, classes["key"] == up["b"], "left").drop("b").join(up.select(F.col("b").alias("up"), F.col("up").alias("up2")), "up", "left")
-    nodes = cut(nodes.select("key", "rk", *_SIEVE, F.coalesce("up2", "up", "key").alias("family")), "nodes")
+    families = components(sure).select("node", F.col("component").alias("family"))
+    nodes = classes.join(families, classes["key"] == families["node"], "left")
+    nodes = cut(nodes.select("key", "rk", *_SIEVE, F.coalesce("family", "key").alias("family")), "nodes")
     shared = sc.broadcast(often)
     posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk").select("token", "key", "family")
     posts = cut_and_release(posts, "posts", shared)
     pairs = cut(in_all_orders(cut(_candidates(posts, nodes, percent), "met-pairs"), classes, percent), "candidates")
     more = verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs"))
-    parts = components(sure.unionByName(cut(more, "more")))
+    parts = components(families.select(F.col("node").alias("a"), F.col("family").alias("b")).unionByName(cut(more, "more")))
     linked = cut(parts.join(classes.select("key", "siga", "sigb", "id"), parts["node"] == classes["key"]).select("node", "component", "siga", "sigb", "id"), "linked")
     least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
     linked = linked.join(least, "component").select("siga", "sigb", F.col("component").alias("key"), "least")

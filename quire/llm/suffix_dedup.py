@@ -147,7 +147,7 @@ def one_way(pairs: DataFrame) -> DataFrame:
 def chained(pairs: DataFrame, prefix: int) -> DataFrame:
     """(match, a, b, shift, first, last): pairs at one distance whose words
     overlap or touch, as one match over words [first, last) of a."""
-    pairs = one_way(pairs).drop("g").distinct()
+    pairs = one_way(pairs).drop("g")
     order = Window.partitionBy("a", "b", "shift").orderBy("pos")
     fresh = F.coalesce((F.col("pos") - F.lag("pos").over(order) > prefix).cast("int"), F.lit(0))
     island = F.sum("fresh").over(order)
@@ -243,28 +243,55 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
                 for q in asks.as_py():
                     x, y = q["x"], q["y"]
                     row = xxhash.xxh3_64_intdigest(h[x:y].tobytes(), seed) >> 1 if q["own"] else 0
-                    values = (q["match"], q["side"], row, h[max(0, x - reach) : x][::-1], h[y : y + reach])
+                    values = (q["match"], q["side"], row, h[max(0, x - reach) : x][::-1].tobytes(), h[y : y + reach].tobytes())
                     for c, v in zip(cols, values):
                         c.append(v)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["match", "side", "row", "l", "r"])
 
-    beside = wanted.join(asks, "id").select("text", "asks").mapInArrow(run, "match long, side string, row long, l array<long>, r array<long>")
-    one = beside.filter("side = 'a'").select("match", "row", F.col("l").alias("la"), F.col("r").alias("ra"))
-    two = beside.filter("side = 'b'").select(F.col("match").alias("m2"), F.col("row").alias("row2"), F.col("l").alias("lb"), F.col("r").alias("rb"))
-    both = one.join(two, (F.col("match") == F.col("m2")) & (F.col("row") == F.col("row2")))
+    @worker("none")
+    def met(batches: Iterator) -> Iterator:
+        """Rows come in the order of (match, row, side); of each (match, row) all
+        of side a meet all of side b, which are one and one unless ids repeat."""
+        key, sides = None, {"a": set(), "b": set()}
 
-    def alike(x: str, y: str):
-        same = F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
-        until = F.array_position(same, False)
-        return F.when(until == 0, F.size(same)).otherwise(until - 1).cast("int")
+        def rows(out: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["match", "left", "right", "starts", "ends"])
 
-    over = lambda n, x, y: (F.col(n) == F.size(x)) & (F.col(n) == F.size(y))
-    grown = both.withColumns({"left": alike("la", "lb"), "right": alike("ra", "rb")}).withColumns({"starts": over("left", "la", "lb"), "ends": over("right", "ra", "rb")})
-    grown = grown.groupBy("match").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("starts").alias("starts"), F.min("ends").alias("ends"))
+        def of_key() -> Iterator:
+            for la, ra in sides["a"]:
+                for lb, rb in sides["b"]:
+                    left, right = alike(la, lb), alike(ra, rb)
+                    yield key[0], left, right, 8 * left == len(la) == len(lb), 8 * right == len(ra) == len(rb)
+
+        for t in batches:
+            out = []
+            for match, side, row, left, right in zip(*(c.to_pylist() for c in t.columns)):
+                if (match, row) != key:
+                    out += of_key()
+                    key, sides = (match, row), {"a": set(), "b": set()}
+                sides[side].add((left, right))
+            if out:
+                yield rows(out)
+        if last := list(of_key()):
+            yield rows(last)
+
+    beside = wanted.join(asks, "id").select("text", "asks").mapInArrow(run, "match long, side string, row long, l binary, r binary")
+    both = beside.repartition("match", "row").sortWithinPartitions("match", "row", "side").mapInArrow(met, "match long, left int, right int, starts boolean, ends boolean")
+    grown = both.groupBy("match").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("starts").alias("starts"), F.min("ends").alias("ends"))
     return matches.join(grown, "match")
 
 
+def alike(x: bytes, y: bytes) -> int:
+    """How many 64-bit hashes at the start of x and y are the same."""
+    if x == y:
+        return len(x) // 8
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(np.frombuffer(x[:n], dtype=np.int64) != np.frombuffer(y[:n], dtype=np.int64))
+    return int(differ[0]) if len(differ) else n // 8
+
+
 def extended(docs: DataFrame, matches: DataFrame) -> DataFrame:
     """``matches`` with left and right, up to the first words that differ."""
     reach, done = REACH, None
