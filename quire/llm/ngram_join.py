@@ -249,7 +249,6 @@ def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFra
     needed = cut(_sides(pairs).select("rk").distinct(), "needed")
     shared = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("rk").alias("id"))))
 
-    @worker("shingles")
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
