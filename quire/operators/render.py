@@ -97,6 +97,67 @@ def documents(made: DataFrame) -> DataFrame:
     )
 
 
+#: White space at the end of a line.
+_BLANK = r"[ \t\x0B\f]+$"
+
+
+def cleanup(markdown: Column) -> Column:
+    """What ``tidy`` does to a text, counted: lines that lose blanks at their end,
+    blank lines after blank ones, blank lines at the edges, lines before and after."""
+    lines = F.split(F.regexp_replace(markdown, "\r\n|\r", "\n"), "\n", -1)
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, _BLANK, ""))
+    again = F.filter(F.transform(bare, lambda x, i: (x == "") & (i > 0) & (F.get(bare, i - 1) == "")), lambda x: x)
+    left = F.size(lines) - F.size(again)
+    first, last = F.get(bare, F.lit(0)) == "", F.element_at(bare, -1) == ""
+    edges = F.when(left == 1, first.cast("int")).otherwise(first.cast("int") + last.cast("int"))
+    counts = {"trimmed_lines": F.size(F.filter(F.zip_with(lines, bare, lambda x, y: x != y), lambda x: x)), "collapsed_lines": F.size(again), "edge_lines": edges, "lines_before": F.size(lines), "lines_after": left - edges}
+    empty = F.coalesce(markdown, F.lit("")) == ""
+    return F.struct(*[F.when(empty, 0).otherwise(c).cast("int").alias(n) for n, c in counts.items()])
+
+
+#: Node types that are rendered.
+NODE_TYPES = ("section", "paragraph_group", "list_group", "table_ref", "figure_ref", "note_ref")
+
+
+def render_warnings(made: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """(doc_id, code, node_id): titles and paragraphs that are blank, nodes that
+    only have a placeholder, tables that are pictures, and nodes of ``extra``
+    (doc_id, node_type, node_id) of types that are not rendered. ``made`` is what
+    ``blocks`` gives."""
+    blank = F.coalesce(F.trim("block"), F.lit("")) == ""
+    title = F.trim(F.regexp_replace(F.coalesce("block", F.lit("")), "^#+", "")) == ""
+    code = (
+        F.when((F.col("node_type") == "section") & title, "empty_heading")
+        .when((F.col("node_type") == "paragraph_group") & blank, "empty_paragraph")
+        .when(F.col("way") == "placeholder", F.concat(F.regexp_replace("node_type", "_ref$", ""), F.lit("_placeholder")))
+        .when((F.col("way") == "image") & (F.col("node_type") == "table_ref"), "table_crop_fallback")
+    )
+    out = made.withColumn("code", code).filter("code is not null").select("doc_id", "code", "node_id")
+    if extra is None:
+        return out
+    odd = extra.filter(~F.coalesce(F.col("node_type").isin(*NODE_TYPES), F.lit(False)))
+    return out.unionByName(odd.select("doc_id", F.lit("unsupported_node_type").alias("code"), "node_id"))
+
+
+def guarded(stage: str | None) -> None:
+    """Only validated documents are rendered."""
+    if stage != "validated":
+        raise ValueError(f"documents of stage {stage!r} cannot be rendered; they have to be validated")
+
+
+def report(made: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(doc_id, n_sections, n_tables, n_figures, n_notes, n_blocks, n_warnings,
+    n_placeholders, n_fallbacks, codes): a document's statistics; codes counts
+    warnings by code, as JSON."""
+    n = lambda t: F.count_if(F.col("node_type") == t)
+    per = made.groupBy("doc_id").agg(n("section").alias("n_sections"), n("table_ref").alias("n_tables"), n("figure_ref").alias("n_figures"), n("note_ref").alias("n_notes"), F.count_if(F.coalesce(F.trim("block"), F.lit("")) != "").alias("n_blocks"))
+    by = warnings.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    codes = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))))
+    found = by.groupBy("doc_id").agg(codes.alias("codes"), F.sum("n").alias("n_warnings"), F.sum(F.when(F.col("code").isin("table_placeholder", "figure_placeholder"), F.col("n")).otherwise(0)).alias("n_placeholders"), F.sum(F.when(F.col("code") == "table_crop_fallback", F.col("n")).otherwise(0)).alias("n_fallbacks"))
+    out = per.join(found, "doc_id", "left")
+    return out.na.fill(0).withColumn("codes", F.coalesce("codes", F.lit("{}")))
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), "([^/]*)$", 1)
 

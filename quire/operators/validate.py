@@ -5,7 +5,7 @@ All give (doc_id, code, about, page, ids): ids in reading order, by commas.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import structure as S
@@ -115,3 +115,47 @@ def rolled_up(found: DataFrame) -> DataFrame:
 def deduped(found: DataFrame) -> DataFrame:
     """Equal warnings once."""
     return found.dropDuplicates(["doc_id", "code", "about", "page", "ids"])
+
+
+def other_parents(elements: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """Captions (or notes) whose parent is none of the objects that they are
+    linked to. ``elements`` has parent_id; those without links or parent are no
+    matter of this check."""
+    e = elements.filter((F.col("kind") == kind) & F.col("parent_id").isNotNull()).select("doc_id", "id", "page", "rpos", "parent_id")
+    to = links.groupBy("doc_id", F.col("src").alias("id")).agg(F.collect_set("dst").alias("to"))
+    off = e.join(to, ["doc_id", "id"]).filter(~F.array_contains("to", F.col("parent_id")))
+    return _warn(off, "relation_conflict", f"{kind}_of_other_parent")
+
+
+def reference_conflicts(elements: DataFrame, refs: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+    """References that name a caption (or note) which no element is, or which no
+    link leads back from: a warning for each, with both ids.
+
+    ``refs`` has (doc_id, page, ref_id, ref_order, part_id); rows without a part
+    are no matter of this check."""
+    parts = refs.filter(F.col("part_id").isNotNull())
+    known = elements.select("doc_id", F.col("id").alias("part_id"), F.lit(True).alias("_known")).distinct()
+    back = links.select("doc_id", F.col("src").alias("part_id"), F.col("dst").alias("ref_id"), F.lit(True).alias("_back")).distinct()
+    rows = parts.join(known, ["doc_id", "part_id"], "left").join(back, ["doc_id", "part_id", "ref_id"], "left")
+    about = F.when(F.col("_known").isNull(), f"{kind}_unknown").when(F.col("_back").isNull(), f"{kind}_without_link")
+    return rows.withColumn("about", about).filter("about is not null").select("doc_id", F.lit("relation_conflict").alias("code"), "about", "page", F.concat_ws(",", "ref_id", "part_id").alias("ids"))
+
+
+def merged(existing: DataFrame, added: DataFrame) -> DataFrame:
+    """Warnings of both, each once, the first kept, with ``nth``, their order.
+
+    Both have (doc_id, nth, level, code, page, ids, message, metadata), metadata
+    a map; two are the same where all but nth are, in whatever order the map is."""
+    said = existing.withColumn("_late", F.lit(0)).unionByName(added.withColumn("_late", F.lit(1)))
+    key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata"))))
+    said = said.withColumn("metadata", key)
+    same = ["doc_id", "level", "code", "page", "ids", "message", "metadata"]
+    first = said.groupBy(*same).agg(F.min(F.struct("_late", "nth")).alias("_at"))
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at", "code", "ids", "page", "message", "metadata", "level"))).drop("_at")
+
+
+def first_known_page(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, page): the page of the first of ``ids`` (doc_id, nth, id) that an
+    element has; documents without such an id have no row."""
+    rows = ids.join(elements.select("doc_id", "id", "page"), ["doc_id", "id"]).filter("page is not null")
+    return rows.groupBy("doc_id").agg(F.min_by("page", "nth").alias("page"))

@@ -121,23 +121,17 @@ def q_list_markers(spark, sf):
     return S.list_items(b.groups).select("doc_id", F.col("rpos").cast("long").alias("rpos"), "marker", "item_text", "ordered")
 
 
-@query(LINES + r"""SELECT doc_id, pos, trim(replace(replace(replace(replace(regexp_replace(line || '<bbox>1,2</bbox><char> \times \div</s>', '<bbox>.*?</bbox>', '', 'g'), '<char>', ''), '</s>', ''), '\times', '×'), '\div', '÷')) AS scrubbed, CASE WHEN substr(line, 1, 1) IN ('I', '.', '-', '_') THEN '' ELSE substr(line, 1, 1) END AS believed FROM lines""")
-def q_recognised_text(spark, sf):
-    c = F.col("line")
-    first = F.substring(c, 1, 1)
-    return lines(spark, sf).select("doc_id", "pos", T.scrubbed(F.concat(c, F.lit(r"<bbox>1,2</bbox><char> \times \div</s>"))).alias("scrubbed"), T.believed(first).alias("believed"))
-
-
 _ANSWER = "CASE WHEN pos % 3 = 0 THEN list_extract(['VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_'], 1 + pos // 3 % 7) ELSE line END"
 
 
-@query(LINES + f"SELECT doc_id, pos, CASE WHEN a IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE a END AS believed FROM (SELECT *, {_ANSWER} AS a FROM lines)")
-def q_recognised_text_whole(spark, sf):
-    """Whole lines as answers, every third one replaced by one that recognisers
-    give for nothing."""
+@query(LINES + rf"""SELECT doc_id, pos, trim(replace(replace(replace(replace(regexp_replace(line || '<bbox>1,2</bbox><char> \times \div</s>', '<bbox>.*?</bbox>', '', 'g'), '<char>', ''), '</s>', ''), '\times', '×'), '\div', '÷')) AS scrubbed, CASE WHEN a IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE a END AS believed FROM (SELECT *, {_ANSWER} AS a FROM lines)""")
+def q_recognised_text(spark, sf):
+    """Whole lines as answers with a recogniser's marks, every third one replaced
+    by one that recognisers give for nothing."""
+    c = F.col("line")
     said = F.get(F.array(*[F.lit(x) for x in T.NOT_SAID]), F.floor(F.col("pos") / 3).cast("int") % len(T.NOT_SAID))
-    answer = F.when(F.col("pos") % 3 == 0, said).otherwise(F.col("line"))
-    return lines(spark, sf).select("doc_id", "pos", T.believed(answer).alias("believed"))
+    answer = F.when(F.col("pos") % 3 == 0, said).otherwise(c)
+    return lines(spark, sf).select("doc_id", "pos", T.scrubbed(F.concat(c, F.lit(r"<bbox>1,2</bbox><char> \times \div</s>"))).alias("scrubbed"), T.believed(answer).alias("believed"))
 
 
 @query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, round(coalesce({common('a.', 'b.')} / nullif({area('a.')} + {area('b.')} - {common('a.', 'b.')}, 0), 0), 6) AS iou, round({overlap('a.', 'b.')}, 6) AS across FROM elements a JOIN elements b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos"))
@@ -483,15 +477,8 @@ def q_language_detect(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", T.language(F.col("line")).alias("language"))
 
 
-@query(LINES + r"SELECT doc_id, pos, replace(line, 'e th', 'eth') AS repaired FROM lines WHERE contains(line, 'e th') AND NOT regexp_matches(line, '[A-Za-z]-\s+[a-z]')")
-def q_hyphen_repair(spark, sf):
-    rows = lines(spark, sf).filter(F.col("line").contains("e th") & ~F.col("line").rlike(r"[A-Za-z]-\s+[a-z]"))
-    broken = F.replace(F.col("line"), F.lit("e th"), F.lit("e- th"))
-    return rows.select("doc_id", "pos", T.without_hyphenation(broken).alias("repaired"))
-
-
 @query()
-def q_hyphen_repair_whole(spark, sf):
+def q_hyphen_repair(spark, sf):
     """All lines, those with broken words of their own too; DuckDB's patterns
     cannot look around, so there is no SQL."""
     broken = F.replace(F.col("line"), F.lit("e th"), F.lit("e- th"))
@@ -539,15 +526,6 @@ def q_llm_unknown_ids(spark, sf):
     return E.unknown_ids(e, made)
 
 
-@query(select("SELECT doc_id, ref_id AS target_id, max(caption_id) AS caption_id FROM near_table GROUP BY ALL"))
-def q_caption_link_apply(spark, sf):
-    b = bundle(spark, sf)
-    found = S.caption_candidates(b.tables, b.elements, b.stats, "table")
-    row = F.struct(F.col("caption_id"), F.col("ref_id").alias("target_id"), F.lit(0.9).alias("confidence"))
-    answers = found.groupBy("doc_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("links"))).alias("answer"))
-    return E.parse_links(answers).select("doc_id", "target_id", "caption_id")
-
-
 # --- tables -----------------------------------------------------------------------
 
 
@@ -570,41 +548,29 @@ def q_table_linking(spark, sf):
     return B.link_extracts(refs, extracts(b))
 
 
-def grids(spark: SparkSession, sf: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Recognised texts, rows and columns of a table of 4 x 3 cells a document:
-    the first pieces of its text, one wide; each row and column is detected
-    twice. ``whole`` gives a document a table for every 12 pieces."""
-    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.col("doc_id").alias("table_id"), F.split("text", " ").alias("w"))
-    if whole:
-        docs = docs.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 12).cast("int"))))
-        docs = docs.select("doc_id", F.concat_ws("-", "doc_id", "part").alias("table_id"), F.slice("w", F.col("part") * 12 + 1, F.lit(12)).alias("w"))
+def grids(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recognised texts, rows and columns of tables of 4 x 3 cells, one for every
+    12 pieces of a document's text, with one piece wide; each row and column is
+    detected twice."""
+    docs = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.split("text", " ").alias("w"))
+    docs = docs.select("doc_id", F.posexplode(F.concat("w", F.array_repeat(F.lit(""), F.pmod(-F.size("w"), F.lit(12))))).alias("at", "piece"))
+    k = (F.col("at") % 12).cast("int")
+    at = docs.select("doc_id", F.concat_ws("-", "doc_id", F.floor(F.col("at") / 12).cast("string")).alias("table_id"), k.alias("k"), "piece")
+    tables = at.filter("k = 0").select("table_id")
     near = F.explode(F.array(F.lit(0), F.lit(4))).alias("shift")
-    band = lambda n, size: docs.select("table_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("table_id", "k", near).select("table_id", (F.col("k") * size + F.col("shift")).cast("double").alias("lo"), (F.col("k") * size + F.col("shift") + size - 6).cast("double").alias("hi"))
+    band = lambda n, size: tables.select("table_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("table_id", "k", near).select("table_id", (F.col("k") * size + F.col("shift")).cast("double").alias("lo"), (F.col("k") * size + F.col("shift") + size - 6).cast("double").alias("hi"))
     rows, cols = B.cuts(B.bands(band(4, 30))), B.cuts(B.bands(band(3, 100)))
-    at = docs.select("doc_id", "table_id", "w", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
     r, c = F.floor(F.col("k") / 3), F.col("k") % 3
     wide = (F.col("k") == F.pmod("doc_id", F.lit(12))) & (c < 2)
-    texts = at.select("table_id", F.col("k").alias("text_no"), (c * 100 + 10).cast("double").alias("x1"), (r * 30 + 8).cast("double").alias("y1"), (c * 100 + F.when(wide, 180).otherwise(80)).cast("double").alias("x2"), (r * 30 + 20).cast("double").alias("y2"), F.coalesce(F.get("w", F.col("k").cast("int")), F.lit("")).alias("text"), F.lit(0.99).alias("conf"))
+    texts = at.select("table_id", F.col("k").alias("text_no"), (c * 100 + 10).cast("double").alias("x1"), (r * 30 + 8).cast("double").alias("y1"), (c * 100 + F.when(wide, 180).otherwise(80)).cast("double").alias("x2"), (r * 30 + 20).cast("double").alias("y2"), F.col("piece").alias("text"), F.lit(0.99).alias("conf"))
     return texts, rows, cols
 
 
-@query("SELECT doc_id AS table_id, CAST(k AS INTEGER) AS nth, CASE WHEN k = 0 THEN 0.0 ELSE ((k - 1) * 30 + 24 + k * 30) / 2.0 END AS start, CASE WHEN k = 3 THEN 114.0 ELSE (k * 30 + 24 + (k + 1) * 30) / 2.0 END AS stop FROM documents, unnest(generate_series(0, 3)) AS u(k) WHERE text IS NOT NULL")
+@query("SELECT doc_id || '-' || p AS table_id, CAST(k AS INTEGER) AS nth, CASE WHEN k = 0 THEN 0.0 ELSE ((k - 1) * 30 + 24 + k * 30) / 2.0 END AS start, CASE WHEN k = 3 THEN 114.0 ELSE (k * 30 + 24 + (k + 1) * 30) / 2.0 END AS stop FROM (SELECT doc_id, unnest(generate_series(0, (len(string_split(text, ' ')) - 1) // 12)) AS p FROM documents WHERE text IS NOT NULL), unnest(generate_series(0, 3)) AS u(k)")
 def q_table_grid_bands(spark, sf):
     return grids(spark, sf)[1]
 
 
-@query(r"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, k // 3 AS r, k % 3 AS c, k, doc_id % 12 AS wide,
-  CASE WHEN k - 1 = doc_id % 12 AND k % 3 > 0 THEN ' ' ELSE (SELECT CASE WHEN x IN ('VARCO VISION', 'VARCOVISION', 'xxx', 'I', '.', '-', '_') THEN '' ELSE x END FROM (SELECT trim(regexp_replace(coalesce(w[k + 1], ''), '\s+', ' ', 'g')) AS x)) END AS cell
-  FROM t, unnest(generate_series(0, 11)) AS u(k)),
-s AS (SELECT doc_id, k, r, c, CASE WHEN k = wide AND c < 2 THEN trim(regexp_replace(w1 || ' ' || w2, '\s+', ' ', 'g')) ELSE cell END AS cell FROM (
-  SELECT c.*, coalesce(t.w[k + 1], '') AS w1, coalesce(t.w[k + 2], '') AS w2 FROM c JOIN t USING (doc_id))),
-l AS (SELECT doc_id, r, '| ' || string_agg(cell, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '|---|---|---|' ELSE '' END AS line FROM s GROUP BY doc_id, r)
-SELECT doc_id AS table_id, string_agg(line, chr(10) ORDER BY r) AS markdown FROM l GROUP BY doc_id""")
-def q_grid_markdown(spark, sf):
-    return B.markdown(B.cells(*grids(spark, sf)))
-
-
 @query(r"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, p, list_slice(ws, p * 12 + 1, p * 12 + 12) AS w FROM (SELECT doc_id, ws, unnest(generate_series(0, (len(ws) - 1) // 12)) AS p FROM d)),
 c AS (SELECT doc_id, p, w, k // 3 AS r, k % 3 AS c, k, doc_id % 12 AS wide, trim(regexp_replace(coalesce(w[k + 1], ''), '\s+', ' ', 'g')) AS x
@@ -613,9 +579,8 @@ s AS (SELECT doc_id, p, r, c, CASE WHEN k - 1 = wide AND c > 0 THEN ' ' WHEN y I
   SELECT *, CASE WHEN k = wide AND c < 2 THEN trim(regexp_replace(coalesce(w[k + 1], '') || ' ' || coalesce(w[k + 2], ''), '\s+', ' ', 'g')) ELSE x END AS y FROM c)),
 l AS (SELECT doc_id, p, r, '| ' || string_agg(cell, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '|---|---|---|' ELSE '' END AS line FROM s GROUP BY doc_id, p, r)
 SELECT doc_id || '-' || p AS table_id, string_agg(line, chr(10) ORDER BY r) AS markdown FROM l GROUP BY doc_id, p""")
-def q_grid_markdown_whole(spark, sf):
-    """q_grid_markdown over all pieces of a text, a table for every 12."""
-    return B.markdown(B.cells(*grids(spark, sf, whole=True)))
+def q_grid_markdown(spark, sf):
+    return B.markdown(B.cells(*grids(spark, sf)))
 
 
 # --- payloads and stages ----------------------------------------------------------
@@ -637,8 +602,10 @@ def q_payload_elements(spark, sf):
 @query(select("SELECT o.doc_id, o.id, CAST(o.rpos AS INTEGER) AS reading_order, CASE WHEN g.role = 'section' THEN 'section_' || g.id WHEN a.ref_id IS NOT NULL THEN a.ref_id WHEN g.role NOT IN ('paragraph', 'list') THEN g.section_id END AS parent_id FROM ordered o JOIN groups g USING (doc_id, id) LEFT JOIN attached a ON a.doc_id = g.doc_id AND a.id = g.id"))
 def q_stage_diff(spark, sf):
     """What structure adds to normalised elements: order and parent."""
-    e, dims = cleaned(spark, sf)
-    before = N.kept(e, dims).select("doc_id", "id", F.col("reading_order").alias("b_order"), F.col("parent_id").alias("b_parent"))
-    after = S.parents(S.assemble(e, given_stats(e))).select("doc_id", "id", "reading_order", "parent_id")
+    before = N.kept(*cleaned(spark, sf)).select("doc_id", "id", F.col("reading_order").alias("b_order"), F.col("parent_id").alias("b_parent"))
+    after = S.parents(bundle(spark, sf)).select("doc_id", "id", F.col("rpos").alias("reading_order"), "parent_id")
     both = before.join(after, ["doc_id", "id"], "full_outer")
     return both.filter(~F.col("b_order").eqNullSafe(F.col("reading_order")) | ~F.col("b_parent").eqNullSafe(F.col("parent_id"))).select("doc_id", "id", "reading_order", "parent_id")
+
+
+from . import more  # noqa: E402, F401  (registers its queries here)

@@ -53,6 +53,55 @@ def int_of(v: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(pick(v, names, "int"), pick(v, names).try_cast("int"))
 
 
+# Names under which a reference that is an object has its id.
+REF_ID = ("id", "note_id", "caption_id", "uuid")
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def ref_of(v: Column) -> Column:
+    """The id of a reference: what it is, or what it holds if it is an object."""
+    plain = F.when(~_is(v, "OBJECT") & ~_is(v, "ARRAY"), F.try_variant_get(v, "$", "string"))
+    return T.stripped(F.coalesce(pick(v, REF_ID), plain))
+
+
+def refs_of(v: Column, names: tuple[str, ...]) -> Column:
+    """The ids under the first name that has any: of a list, or of one value."""
+    x = pick(v, names, "variant")
+    many = F.when(_is(x, "ARRAY"), F.try_variant_get(x, "$", "array<variant>")).when(x.isNotNull(), F.array(x))
+    ids = F.filter(F.transform(many, ref_of), lambda r: r.isNotNull())
+    return F.coalesce(ids, F.array().cast("array<string>"))
+
+
+def residual(v: Column, known: tuple[str, ...]) -> Column:
+    """What an object holds under other names than those known and is not null:
+    a map of JSON texts."""
+    every = F.try_variant_get(v, "$", "map<string,variant>")
+    rest = F.filter(F.map_entries(every), lambda e: ~e["key"].isin(*known) & ~F.is_variant_null(e["value"]))
+    return F.map_from_entries(F.transform(rest, lambda e: F.struct(e["key"], F.to_json(e["value"]))))
+
+
+def document_metadata(src: DataFrame) -> DataFrame:
+    """(doc_id, layout, tables): what payloads say besides pages and tables."""
+    known = (*PAGES, *ELEMENTS, *TABLE_LIST, "page_stats", "figure_assets")
+    none = F.lit(None).cast("map<string,string>")
+    of = lambda c, names: F.when(_is(F.col(c), "OBJECT"), residual(F.col(c), names)).otherwise(none)
+    return src.select("doc_id", of("layout", known).alias("layout"), of("tables", (*TABLE_LIST, *MARKDOWN)).alias("tables"))
+
+
+def merged_refs(primary: DataFrame, secondary: DataFrame, id_col: str = "ref_id") -> DataFrame:
+    """References of both (doc_id, nth, id, ...): of one id the last counts, in
+    the place where the id came first. References without an id are left out."""
+    columns = [c for c in primary.columns if c not in ("doc_id", "nth", id_col)]
+    both = primary.withColumn("_src", F.lit(0)).unionByName(secondary.withColumn("_src", F.lit(1))).filter(F.col(id_col).isNotNull())
+    at = F.struct("_src", "nth")
+    one = both.groupBy("doc_id", id_col).agg(F.min(at).alias("_at"), F.max_by(F.struct(*columns), at).alias("_r"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")) - 1
+    return one.withColumn("nth", nth).select("doc_id", "nth", id_col, "_r.*")
+
+
 def box_of(v: Column) -> Column:
     """x1, y1, x2, y2 from a list of four, corners, edges, or place and size."""
     b = F.coalesce(pick(v, BOX, "variant"), v)
@@ -79,7 +128,8 @@ def sources(payloads: DataFrame) -> DataFrame:
 
 
 def elements(src: DataFrame) -> DataFrame:
-    """Element rows: of pages, else of the top level, else the list itself.
+    """Element rows: of pages, else of the top level or the list itself, else the
+    payload as one element, if it has a text, a box or a label.
 
     Missing ids and pages are made up (generated_id, missing_page say so); ids
     that are digits are told apart by page and kind."""
@@ -88,6 +138,8 @@ def elements(src: DataFrame) -> DataFrame:
     number = F.coalesce(int_of(F.col("p"), PAGE_NUMBER), F.col("pno") + 1)
     of_pages = page_rows.select("doc_id", number.alias("fallback_page"), F.col("pno").alias("pno"), F.posexplode(pick(F.col("p"), ELEMENTS, some)).alias("nth", "e"))
     top = F.coalesce(F.try_variant_get("layout", "$", some), pick(F.col("layout"), ELEMENTS, some))
+    alone = _is(F.col("layout"), "OBJECT") & F.coalesce(*[F.try_variant_get("layout", f"$.{n}", "variant") for n in (*TEXT, *BOX, *LABEL)]).isNotNull()
+    top = F.when(F.coalesce(F.size(top), F.lit(0)) > 0, top).when(alone, F.array("layout"))
     of_top = src.join(of_pages.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("fallback_page"), F.lit(0).alias("pno"), F.posexplode(top).alias("nth", "e"))
     rows = of_pages.unionByName(of_top)
     e = F.col("e")
@@ -122,10 +174,10 @@ def table_extracts(src: DataFrame) -> DataFrame:
     e = F.col("e")
     page, given = int_of(e, PAGE_NUMBER), text_of(e, TABLE_ID)
     rows = rows.withColumns({"box": box_of(e), "page": F.coalesce(page, F.lit(1)), "no_page": page.isNull()})
-    ids = F.coalesce(pick(e, SOURCES, "array<string>"), F.array().cast("array<string>"))
-    said = F.coalesce(pick(e, MARKDOWN), F.when(T.is_markdown_table(F.col("words")), F.col("words")))
+    ids = refs_of(e, SOURCES)
+    body = F.coalesce(pick(e, MARKDOWN), F.when(_is(e, "STRING"), F.try_variant_get(e, "$", "string")), F.col("words"))
+    said = F.when(T.is_markdown_table(body), body)
     return rows.select(
         "doc_id", "nth", F.coalesce(given, F.concat(F.lit("table_"), F.col("nth") + 1)).alias("ref_id"), "page", "box.x1", "box.y1", "box.x2", "box.y2",
-        text_of(e, IMAGE).alias("crop"), ids.alias("sources"), "no_page", F.trim(said).alias("markdown"), text_of(e, CAPTION).alias("caption_id"),
-        F.coalesce(pick(e, NOTES, "array<string>"), F.array().cast("array<string>")).alias("note_ids"),
+        text_of(e, IMAGE).alias("crop"), ids.alias("sources"), "no_page", F.trim(said).alias("markdown"), ref_of(pick(e, CAPTION, "variant")).alias("caption_id"), refs_of(e, NOTES).alias("note_ids"),
     )

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Where the session names none (tests on one machine) a local folder is set.
+    Where the session names none, and runs on one machine, a local folder is set;
+    on a cluster that is an error, since no other machine would see such a folder.
     """
     context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     found = found or "file://" + tempfile.mkdtemp(prefix="quire-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)

@@ -23,7 +23,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(catalogue.ORACLE) >= 50
 
 
-@pytest.mark.parametrize("name", ["q_layout_elements", "q_repeated_margins", "q_page_stats", "q_caption_links", "q_note_links", "q_paragraphs", "q_section_tree", "q_list_numbering", "q_validate_next", "q_warning_rollup", "q_render_document", "q_repair_guard", "q_grid_markdown", "q_payload_elements"])
+@pytest.mark.parametrize("name", ["q_layout_elements", "q_repeated_margins", "q_page_stats", "q_caption_links", "q_note_links", "q_paragraphs", "q_section_tree", "q_list_numbering", "q_validate_next", "q_warning_rollup", "q_render_document", "q_repair_guard", "q_grid_markdown", "q_payload_elements", "q_recognised_text", "q_payload_shapes", "q_payload_tables", "q_refs_merge", "q_caption_link_apply", "q_semantic_counts", "q_repair_counts", "q_single_repairs", "q_validate_parents", "q_validate_references", "q_render_warnings", "q_render_cleanup", "q_asset_paths", "q_stage_diff"])
 def test_like_other_engine(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     other = duckdb.connect()
@@ -38,7 +38,7 @@ def test_like_other_engine(spark, sf, name):
 
 
 def test_grids_hold_whole_texts(spark, sf):
-    texts = catalogue.grids(spark, sf, whole=True)[0].select("table_id", "text_no", "text").collect()
+    texts = catalogue.grids(spark, sf)[0].select("table_id", "text_no", "text").collect()
     found = {}
     for r in texts:
         doc, part = r["table_id"].split("-")
@@ -46,24 +46,22 @@ def test_grids_hold_whole_texts(spark, sf):
     for r in spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").collect():
         got, want = [t for _, t in sorted(found[r["doc_id"]].items())], r["text"].split(" ")
         assert got[: len(want)] == want and set(got[len(want) :]) <= {""}
-    test_like_other_engine(spark, sf, "q_grid_markdown_whole")
 
 
 def test_hyphens_of_all_lines(spark, tmp_path):
     texts = [(1, "the infor-  mation here\nsee them a- b- c"), (2, "see th\nnothing\n\nX- y -z- Z"), (3, None), (4, "e the e th-\u2003en")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r["doc_id"], r["pos"], r["repaired"]) for r in catalogue.QUERIES["q_hyphen_repair_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r["doc_id"], r["pos"], r["repaired"]) for r in catalogue.QUERIES["q_hyphen_repair"](spark, str(tmp_path)).collect())
     mend = lambda t: re.sub(r"(?<=[A-Za-z])-\s+(?=[a-z])", "", t.replace("e th", "e- th"))
     assert got == [(i, k, mend(line)) for i, t in texts if t is not None for k, line in enumerate(t.split("\n"))]
     assert (1, 0, "the information here") in got
 
 
-def test_answers_are_whole_lines(spark, sf, tmp_path):
+def test_answers_are_whole_lines(spark, tmp_path):
     texts = [(1, "a\nI think so\nxxx\nb\nVARCO VISION\n. and -"), (2, "c\nVARCOVISION\n_")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = catalogue.QUERIES["q_recognised_text_whole"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
+    got = catalogue.QUERIES["q_recognised_text"](spark, str(tmp_path)).orderBy("doc_id", "pos").collect()
     assert [r["believed"] for r in got] == ["", "I think so", "", "", "", ". and -", "", "", ""]
-    test_like_other_engine(spark, sf, "q_recognised_text_whole")
 
 
 def test_nothing_else_needs_the_optional_folder():
