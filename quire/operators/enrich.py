@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..sources.shared import stored
+from ..sources.shared import ship, stored
 
 # Kinds that may be asked about and answered.
 ASKED = ("text", "heading", "caption", "note")
@@ -89,6 +89,7 @@ def unwrapped(answers: DataFrame) -> DataFrame:
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(first_json)
 
+    ship(answers.sparkSession)
     rows = answers.withColumn("answer", clean)
     odd = F.try_parse_json(F.col("answer")).isNull() & F.col("answer").isNotNull()
     return rows.withColumn("_odd", F.when(odd, F.col("answer"))).withColumn("answer", F.when(odd, found("_odd")).otherwise(F.col("answer"))).drop("_odd")
@@ -199,6 +200,7 @@ def ask(candidates: DataFrame, client: Callable[[], Client], task: str, columns:
 
     The client is made once per Python worker. A request that fails has no answer
     but a failure, and the texts stay as they are."""
+    ship(candidates.sparkSession)
     rows = F.array_sort(F.collect_list(F.struct(*columns)))
     asked = candidates.groupBy("doc_id", "request").agg(F.to_json(rows).alias("payload"))
     kind = candidates.schema["doc_id"].dataType.simpleString()

@@ -73,12 +73,11 @@ def test_first_json(said, want):
     assert got == want and (got is None or json.loads(got) is not None)
 
 
-class Fails:
-    def generate_json(self, task, payload):
-        raise RuntimeError(f"{task} is off")
-
-
 def test_failures_warn_and_change_nothing(spark):
+    class Fails:
+        def generate_json(self, task, payload):
+            raise RuntimeError(f"{task} is off")
+
     nodes = spark.createDataFrame([(1, "n1", 0, "한국어 문장은 영어가 아니며 충분히 길다"), (1, "n2", 1, "infor- mation in an english sentence")], "doc_id long, node_id string, pos int, text string")
     out = enrich.repair_contents(nodes, Fails, enrich.Config("content"))
     counts = out["counts"].collect()[0]
