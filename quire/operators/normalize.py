@@ -45,10 +45,9 @@ def repeated_margins(elements: DataFrame, dims: DataFrame) -> DataFrame:
     back, so a document of very many pages needs no array of them.
     """
     pages = dims.groupBy("doc_id").agg(F.count("*").alias("pages")).filter("pages > 1")
-    text = T.normal(F.col("text"))
     in_zone = elements.filter(~F.col("kind").isin(*OBJECTS) & F.col("x1").isNotNull()).join(dims.select("doc_id", "page", "height"), ["doc_id", "page"])
-    in_zone = in_zone.select("doc_id", "id", "page", text.alias("text"), T.fingerprint(F.col("text")).alias("mark"), G.margin_zone(F.col("y1"), F.col("y2"), F.col("height")).alias("zone"))
-    in_zone = in_zone.filter(F.col("zone").isNotNull() & F.col("mark").isNotNull())
+    in_zone = in_zone.select("doc_id", "id", "page", "text", G.margin_zone(F.col("y1"), F.col("y2"), F.col("height")).alias("zone")).filter(F.col("zone").isNotNull())
+    in_zone = in_zone.select("doc_id", "id", "page", T.normal(F.col("text")).alias("text"), T.fingerprint(F.col("text")).alias("mark"), "zone").filter(F.col("mark").isNotNull())
     often = in_zone.groupBy("doc_id", "zone", "mark").agg(F.countDistinct("page").alias("n_pages")).join(pages, "doc_id")
     often = often.filter((F.col("n_pages") >= 2) & (F.col("n_pages") >= F.ceil(F.col("pages") * 0.30)))
     role = F.when(F.col("zone") == "top", "header").when(T.is_page_number(F.col("text")), "page_number").otherwise("footer")

@@ -218,28 +218,36 @@ def numbered(items: DataFrame) -> DataFrame:
     return items.join(numbers, ["doc_id", "list_id", "nth"])
 
 
-def sections(groups: DataFrame) -> DataFrame:
-    """(doc_id, section_id, heading_id, pos, level, level_source, title, parent_id,
-    depth): the parent is the nearest earlier heading of a smaller level.
+def _open(groups: DataFrame, window) -> list[Column]:
+    """For each level that headings have, from 1, the last heading of it in
+    ``window``, as (pos, id); one pass over the rows serves all levels. Which
+    levels there are is asked of the data, since numbering sets no bound."""
+    deepest = groups.filter("role = 'section'").agg(F.max("level")).first()[0] or 0
+    here = F.struct(F.col("rpos").cast("long").alias("pos"), F.col("id"))
+    return [F.last(F.when((F.col("role") == "section") & (F.col("level") == k), here), ignorenulls=True).over(window) for k in range(1, deepest + 1)]
+
 
-    A fold over a document's headings keeps the path of open sections."""
-    heads = groups.filter(F.col("role") == "section").select("doc_id", F.struct(F.col("rpos").alias("pos"), "level", "id", "text", "level_source", "page").alias("h"))
-    docs = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    path = "array<struct<level:int,id:string>>"
-    made = "array<struct<id:string,parent:string,depth:int>>"
+def _still(lasts: list[str]) -> list[Column]:
+    """Of those headings the ones that no later heading of a smaller level ends."""
+    out, high = [], F.lit(-1).cast("long")
+    for c in lasts:
+        out.append(F.when(F.col(c)["pos"] > high, F.col(c)))
+        high = F.greatest(high, F.coalesce(F.col(c)["pos"], F.lit(-1).cast("long")))
+    return out
 
-    def step(acc, h):
-        open_ = F.filter(acc["path"], lambda o: o["level"] < h["level"])
-        parent = F.get(open_, F.size(open_) - 1)["id"]
-        now = F.struct(h["level"].alias("level"), h["id"].alias("id"))
-        row = F.struct(h["id"].alias("id"), parent.alias("parent"), (F.size(open_) + 1).alias("depth"))
-        return F.struct(F.concat(open_, F.array(now)).alias("path"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    start = F.struct(F.array().cast(path).alias("path"), F.array().cast(made).alias("out"))
-    out = F.aggregate("hs", start, step, lambda acc: acc["out"])
-    rows = docs.select("doc_id", F.explode(F.arrays_zip("hs", out.alias("tree"))).alias("z"))
-    h, t = F.col("z.hs"), F.col("z")["tree"]
-    return rows.select("doc_id", F.concat(F.lit("section_"), h["id"]).alias("section_id"), h["id"].alias("heading_id"), h["pos"].alias("pos"), h["level"].alias("level"), h["level_source"].alias("level_source"), h["text"].alias("title"), F.concat(F.lit("section_"), t["parent"]).alias("parent_id"), t["depth"].alias("depth"), h["page"].alias("page"))
+def sections(groups: DataFrame) -> DataFrame:
+    """(doc_id, section_id, heading_id, pos, level, level_source, title, parent_id,
+    depth, page): the parent is the nearest earlier heading of a smaller level."""
+    heads = groups.filter("role = 'section'").select("doc_id", "rpos", "level", "id", "text", "level_source", "page", "role")
+    before = Window.partitionBy("doc_id").orderBy("rpos").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = _open(groups, before)
+    names = [f"_l{k}" for k in range(len(lasts))]
+    rows = heads.withColumns(dict(zip(names, lasts)))
+    above = [F.when(F.col("level") > k, c) for k, c in enumerate(_still(names), start=1)]
+    path = F.filter(F.array(*above, F.lit(None).cast("struct<pos:bigint,id:string>")), lambda x: x.isNotNull())
+    parent = F.get(path, F.size(path) - 1)["id"]
+    return rows.select("doc_id", F.concat(F.lit("section_"), "id").alias("section_id"), F.col("id").alias("heading_id"), F.col("rpos").alias("pos"), "level", "level_source", F.col("text").alias("title"), F.concat(F.lit("section_"), parent).alias("parent_id"), (F.size(path) + 1).alias("depth"), "page")
 
 
 @dataclass(frozen=True)
@@ -325,11 +333,14 @@ def unanchored(b: Bundle) -> DataFrame:
 def rollup(b: Bundle) -> DataFrame:
     """(doc_id, section_id, n_blocks, block_ids): all blocks below a section,
     those of its subsections included: from its heading to the next heading of
-    its level or a smaller one."""
-    tree = sections(b.groups).select("doc_id", "section_id", "pos", "level")
-    nxt = tree.alias("a").join(tree.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.pos") > F.col("a.pos")) & (F.col("b.level") <= F.col("a.level")), "left")
-    spans = nxt.groupBy("a.doc_id", "a.section_id", "a.pos").agg(F.min("b.pos").alias("until"))
-    e = b.groups.filter(F.col("role") != "attached").select(F.col("doc_id").alias("d"), F.col("rpos"), "id")
-    inside = spans.join(e, (F.col("doc_id") == F.col("d")) & (F.col("rpos") >= F.col("pos")) & (F.col("until").isNull() | (F.col("rpos") < F.col("until"))))
+    its level or a smaller one. One pass in reading order says which sections a
+    block is in."""
+    upto = Window.partitionBy("doc_id").orderBy("rpos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = b.groups.filter("role <> 'attached'").select("doc_id", "rpos", "id", "role", "level")
+    lasts = _open(b.groups, upto)
+    names = [f"_l{k}" for k in range(len(lasts))]
+    rows = rows.withColumns(dict(zip(names, lasts)))
+    inside = F.filter(F.array(*_still(names), F.lit(None).cast("struct<pos:bigint,id:string>")), lambda x: x.isNotNull())
+    each = rows.select("doc_id", "rpos", "id", F.explode(inside).alias("s"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rpos", "id"))), lambda r: r["id"])
-    return inside.groupBy("doc_id", "section_id").agg(F.count("*").alias("n_blocks"), F.array_join(ids, ",").alias("block_ids"))
+    return each.groupBy("doc_id", F.concat(F.lit("section_"), F.col("s.id")).alias("section_id")).agg(F.count("*").alias("n_blocks"), F.array_join(ids, ",").alias("block_ids"))

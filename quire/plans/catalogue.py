@@ -17,6 +17,7 @@ from ..operators import structure as S
 from ..operators import tables as B
 from ..operators import validate as V
 from ..sources import derived, payload
+from ..sources.shared import stored
 from ..sources.tables import table
 from .oracle import area, common, normal, overlap, select, signature
 
@@ -40,8 +41,16 @@ def query(sql: str | None = None):
 # --- inputs shared by the queries ---------------------------------------------
 
 
+_ELEMENTS: dict[tuple[str, str], DataFrame] = {}
+
+
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return N.adapt(derived.layout(spark, sf))
+    """Elements as an extractor gives them; stored once per application and
+    input, so that queries which meet them several times read documents once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ELEMENTS:
+        _ELEMENTS[key] = stored(N.adapt(derived.layout(spark, sf)), "elements")
+    return _ELEMENTS[key]
 
 
 def given_stats(elements: DataFrame) -> DataFrame:
@@ -80,12 +89,14 @@ def assets(b: S.Bundle) -> DataFrame:
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     """Two passes of a detector and, on some pages, a frame taken for a picture."""
     rows = derived.layout(spark, sf)
-    cols = ("type", "x1", "y1", "x2", "y2", "confidence")
-    one = rows.select("doc_id", "page", F.col("slot").alias("pos"), *cols)
-    two = rows.filter((F.col("doc_id") + F.col("pos")) % 3 == 0).select("doc_id", "page", (F.col("slot") + 100).alias("pos"), F.when(F.col("pos") % 2 == 0, "Text").otherwise(F.col("type")).alias("type"), (F.col("x1") + 4).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + 4).alias("x2"), (F.col("y2") + 2).alias("y2"), "confidence")
-    frame = rows.filter(F.col("doc_id") % 4 == 0).select("doc_id", "page").distinct()
-    frame = frame.select("doc_id", "page", F.lit(200).alias("pos"), F.lit("Picture").alias("type"), *[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2", "confidence"), (0.0, 0.0, 1000.0, 220.0, 0.9))])
-    return one.unionByName(two).unionByName(frame)
+    cols = ("pos", "type", "x1", "y1", "x2", "y2", "confidence")
+    made = lambda *values: F.struct(*[F.lit(v).alias(c) if not hasattr(v, "alias") else v.alias(c) for c, v in zip(cols, values)])
+    d, pos, shift = F.col("doc_id"), F.col("slot"), F.col("x1")
+    one = made(pos, F.col("type"), shift, F.col("y1"), F.col("x2"), F.col("y2"), F.col("confidence"))
+    two = made(pos + 100, F.when(F.col("pos") % 2 == 0, "Text").otherwise(F.col("type")), shift + 4, F.col("y1") + 2, F.col("x2") + 4, F.col("y2") + 2, F.col("confidence"))
+    frame = made(200, "Picture", 0.0, 0.0, 1000.0, 220.0, 0.9)
+    every = F.array(one, F.when((d + F.col("pos")) % 3 == 0, two), F.when((d % 4 == 0) & (pos == 0), frame))
+    return rows.select("doc_id", "page", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("b")).select("doc_id", "page", "b.*")
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +173,7 @@ def q_missed_text_sweep(spark, sf):
 
 @query(select(f"SELECT a.doc_id, a.page, a.pos, count(*) AS n_inside FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos <> b.pos WHERE a.type IN ('Picture', 'Figure') AND {common('a.', 'b.')} / nullif({area('b.')}, 0) > CAST(0.80 AS DOUBLE) GROUP BY ALL HAVING count(*) >= 4"))
 def q_fake_picture_filter(spark, sf):
-    return D.fake_pictures(detections(spark, sf))
+    return D.fake_pictures(stored(detections(spark, sf), "boxes"))
 
 
 _PRIORITY = "CASE {}.type WHEN 'Table' THEN 3 WHEN 'Picture' THEN 2 WHEN 'Formula' THEN 2 WHEN 'Text' THEN 2 WHEN 'Section-header' THEN 1 WHEN 'List-item' THEN 1 WHEN 'Caption' THEN 1 WHEN 'Page-header' THEN 1 ELSE 0 END"
@@ -171,12 +182,23 @@ _A, _B = _PRIORITY.format("a"), _PRIORITY.format("b")
 
 @query(select(f"SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, CASE WHEN {_A} > {_B} OR ({_A} = {_B} AND a.confidence >= b.confidence) THEN b.pos ELSE a.pos END AS loser FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos WHERE {common('a.', 'b.')} > 0 AND {common('a.', 'b.')} / nullif(least({area('a.')}, {area('b.')}), 0) > CAST(0.70 AS DOUBLE)"))
 def q_nms_pairs(spark, sf):
-    return D.rival_pairs(detections(spark, sf))
+    return D.rival_pairs(stored(detections(spark, sf), "boxes"))
 
 
-@query()
+#: Suppression is greedy in order: one rivalry of a page after the other.
+_GREEDY = select(f"""
+, fakes AS (SELECT a.doc_id, a.page, a.pos FROM detections a JOIN detections b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos <> b.pos WHERE a.type IN ('Picture', 'Figure') AND {common('a.', 'b.')} / nullif({area('b.')}, 0) > CAST(0.80 AS DOUBLE) GROUP BY ALL HAVING count(*) >= 4),
+clean AS MATERIALIZED (SELECT * FROM detections d WHERE NOT EXISTS (SELECT 1 FROM fakes f WHERE f.doc_id = d.doc_id AND f.page = d.page AND f.pos = d.pos)),
+rivals AS MATERIALIZED (SELECT a.doc_id, a.page, a.pos AS a, b.pos AS b, CASE WHEN {_A} > {_B} OR ({_A} = {_B} AND a.confidence >= b.confidence) THEN b.pos ELSE a.pos END AS loser, row_number() OVER (PARTITION BY a.doc_id, a.page ORDER BY a.pos, b.pos) AS n FROM clean a JOIN clean b ON a.doc_id = b.doc_id AND a.page = b.page AND a.pos < b.pos WHERE {common('a.', 'b.')} > 0 AND {common('a.', 'b.')} / nullif(least({area('a.')}, {area('b.')}), 0) > CAST(0.70 AS DOUBLE)),
+fold AS (SELECT DISTINCT doc_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS gone FROM rivals UNION ALL SELECT f.doc_id, f.page, r.n, CASE WHEN list_contains(f.gone, r.a) OR list_contains(f.gone, r.b) THEN f.gone ELSE list_append(f.gone, CAST(r.loser AS INTEGER)) END FROM fold f JOIN rivals r ON r.doc_id = f.doc_id AND r.page = f.page AND r.n = f.n + 1),
+lost AS (SELECT doc_id, page, unnest(arg_max(gone, n)) AS pos FROM fold GROUP BY doc_id, page)
+SELECT doc_id, page, pos, type FROM clean c WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.doc_id = c.doc_id AND l.page = c.page AND l.pos = c.pos)""")
+
+
+@query(_GREEDY)
 def q_nms_survivors(spark, sf):
-    return D.survivors(D.without_fakes(detections(spark, sf))).select("doc_id", "page", "pos", "type")
+    boxes = stored(detections(spark, sf), "boxes")
+    return D.survivors(stored(D.without_fakes(boxes), "boxes")).select("doc_id", "page", "pos", "type")
 
 
 # --- normalisation ---------------------------------------------------------------
@@ -303,9 +325,12 @@ def q_parent_assignments(spark, sf):
     return S.parents(bundle(spark, sf)).select("doc_id", "id", "parent_id")
 
 
-@query(select("SELECT doc_id, kind, id AS ref_id FROM synced s WHERE NOT anchored AND NOT EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = s.doc_id AND n.note_id = s.id)"))
+@query(select("SELECT doc_id, kind, id AS ref_id FROM synced s WHERE (NOT anchored OR ref_order % 3 = 0) AND NOT EXISTS (SELECT 1 FROM notes n WHERE n.doc_id = s.doc_id AND n.note_id = s.id)"))
 def q_unanchored_refs(spark, sf):
-    return S.unanchored(bundle(spark, sf)).select("doc_id", "kind", "ref_id")
+    """Objects of which every third of a kind lost its block."""
+    b = bundle(spark, sf)
+    lost = lambda df: df.withColumn("anchored", F.col("anchored") & (F.col("ref_order") % 3 != 0))
+    return S.unanchored(S.Bundle(b.elements, b.stats, lost(b.tables), lost(b.figures), lost(b.notes), b.captions, b.attached_notes, b.groups)).select("doc_id", "kind", "ref_id")
 
 
 @query(select("SELECT doc_id, count(*) FILTER (WHERE node_type = 'section') AS n_sections, count(*) FILTER (WHERE node_type = 'paragraph_group') AS n_paragraphs, count(*) FILTER (WHERE node_type = 'list_group') AS n_lists, count(*) FILTER (WHERE node_type = 'table_ref') AS n_tables, count(*) FILTER (WHERE node_type = 'figure_ref') AS n_figures, count(*) FILTER (WHERE node_type = 'note_ref') AS n_notes FROM blocks GROUP BY doc_id"))
