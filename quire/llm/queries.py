@@ -52,12 +52,12 @@ b AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-         strlen(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g')) AS letter_bytes
+         length(regexp_replace(text, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g')) AS letters
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words
-       AND NOT (n_lines >= 5 AND 2 * n_dup_lines > n_lines) AND 2 * letter_bytes >= word_chars AS kept
+       AND NOT (n_lines >= 5 AND 2 * n_dup_lines > n_lines) AND 2 * letters >= word_chars AS kept
 FROM f
 """
 
