@@ -1,16 +1,18 @@
 """Token files: flat unsigned integers with 64-bit document offsets.
 
-A folder in shared storage holds, per shard s of a range partitioning by id,
-  s.bin  the ids of its documents, one after another, little-endian unsigned
+A folder in shared storage holds, for each shard of a range partitioning by id,
+files that begin with its name,
+  .bin   the ids of its documents, one after another, little-endian unsigned
          16-bit integers (32-bit for vocabularies over 65,536);
-  s.idx  64-bit offsets, one more than documents: document d of the shard is at
+  .idx   64-bit offsets, one more than documents: document d of the shard is at
          ids [idx[d], idx[d + 1]);
-  s.doc  64-bit document ids (documents with a null id come first; the manifest
+  .doc   64-bit document ids (documents with a null id come first; the manifest
          has their number);
-and manifest.json, one entry per shard with its documents, ids and base, the
+and manifest.json, one entry per shard with its name, documents, ids and base, the
 number of ids in all shards before it, which is a prefix sum over shard totals.
-A task writes under a name of its own and renames at its end, so tasks that are
-lost, repeated or speculative leave a whole file or none.
+A task writes under a name of its own and the manifest names those of the tasks
+that counted, so what lost, repeated or speculative tasks leave is never read and
+nothing is ever renamed or overwritten.
 """
 
 from __future__ import annotations
@@ -27,10 +29,9 @@ from pyspark.sql import functions as F
 
 from .tokens import encoder
 
-#: Bytes of a file read at once where it cannot be mapped.
-READ = 32 << 20
-#: Documents in a batch of rows read back.
-ROWS = 4096
+#: Documents in a batch of rows read back, and bytes of their ids read at once
+#: where a file cannot be mapped (more where one document has more).
+ROWS, READ = 4096, 32 << 20
 
 
 def _fs(path: str):
@@ -39,14 +40,24 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def _mapped(system, path: str, dtype: str) -> np.ndarray:
-    """The file as an array: mapped where it is local, read otherwise."""
-    from pyarrow import fs
+class _Numbers:
+    """A file of numbers: mapped where it is local, read by ranges otherwise."""
+
+    def __init__(self, system, path: str, dtype: str):
+        from pyarrow import fs
+
+        self.dtype, self.mapped, self.file = np.dtype(dtype), None, None
+        self.size = system.get_file_info(path).size // self.dtype.itemsize
+        if isinstance(system, fs.LocalFileSystem):
+            self.mapped = np.memmap(path, dtype=dtype, mode="r") if self.size else np.zeros(0, dtype)
+        else:
+            self.file = system.open_input_file(path)
 
-    if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype=dtype, mode="r") if system.get_file_info(path).size else np.zeros(0, dtype)
-    with system.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return np.asarray(self.mapped[part])
+        self.file.seek(part.start * self.dtype.itemsize)
+        return np.frombuffer(self.file.read((part.stop - part.start) * self.dtype.itemsize), dtype=self.dtype)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -68,7 +79,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         context = TaskContext.get()
         shard = context.partitionId()
-        own, name = f"{root}/.{shard:06d}-{uuid.uuid4().hex}", f"{root}/{shard:06d}"
+        name = f"{shard:06d}-{uuid.uuid4().hex}"
+        own = f"{root}/{name}"
         ends, ids, n_null, at = [0], [], 0, 0
         with system.open_output_stream(f"{own}.bin") as out:
             for b in batches:
@@ -82,12 +94,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col:
         for kind, values in (("idx", ends), ("doc", ids)):
             with system.open_output_stream(f"{own}.{kind}") as out:
                 out.write(np.array(values, dtype="<i8").tobytes())
-        for kind in ("bin", "idx", "doc"):
-            system.move(f"{own}.{kind}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, len(ids), n_null, at)], names=["shard", "n_docs", "n_null", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in (shard, len(ids), n_null, at))], names=["name", "shard", "n_docs", "n_null", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "_text")
-    found = sorted((r for r in rows.mapInArrow(run, "shard long, n_docs long, n_null long, n_tokens long").collect() if r["n_docs"]), key=lambda r: r["shard"])
+    found = sorted((r for r in rows.mapInArrow(run, "name string, shard long, n_docs long, n_null long, n_tokens long").collect() if r["n_docs"]), key=lambda r: r["shard"])
     manifest, base = [], 0
     for r in found:
         manifest.append(r.asDict() | {"base": base, "dtype": encoder(vocabulary).dtype})
@@ -117,16 +127,20 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool
         for b in batches:
             for k in b.column(0).to_pylist():
                 m = manifest[k]
-                name = f"{root}/{m['shard']:06d}"
-                ids, ends, docs = _mapped(system, f"{name}.bin", m["dtype"]), _mapped(system, f"{name}.idx", "<i8"), _mapped(system, f"{name}.doc", "<i8")
-                for first in range(0, len(docs), ROWS):
-                    last = min(first + ROWS, len(docs))
-                    at = np.array(ends[first : last + 1])
-                    each = [np.asarray(ids[a:z]).astype("<u4") for a, z in zip(at[:-1], at[1:])]
-                    columns = [pa.array(np.array(docs[first:last]), pa.int64(), mask=np.arange(first, last) < m["n_null"]), pa.array(at[:-1] + m["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
+                ids, ends, docs = (_Numbers(system, f"{root}/{m['name']}.{kind}", dtype) for kind, dtype in (("bin", m["dtype"]), ("idx", "<i8"), ("doc", "<i8")))
+                first = 0
+                while first < docs.size:
+                    at = ends[slice(first, min(first + ROWS, docs.size) + 1)]
+                    last = first + max(1, int(np.searchsorted(at, at[0] + READ // ids.dtype.itemsize, side="right")) - 1)
+                    last = min(last, docs.size, first + ROWS)
+                    at = at[: last - first + 1]
+                    part = ids[slice(int(at[0]), int(at[-1]))].astype("<u4")
+                    each = [part[a:z] for a, z in zip(at[:-1] - at[0], at[1:] - at[0])]
+                    columns = [pa.array(docs[slice(first, last)], pa.int64(), mask=np.arange(first, last) < m["n_null"]), pa.array(at[:-1] + m["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in each], pa.int64())]
                     if with_ids:
                         columns.append(pa.array([x.astype(np.int32) for x in each], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+                    first = last
 
     n = len(manifest)
     shards = spark.range(0, n, 1, n) if n else spark.range(0)

@@ -70,7 +70,7 @@ def test_token_files(odd, none, spark, tmp_path):
     got = token_files.read(spark, path, with_ids=True)
     assert pairs(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     assert sum(m["n_tokens"] for m in manifest) == at and [m["base"] for m in manifest][0] == 0
-    raw = np.fromfile(f"{tmp_path}/tokens/{manifest[0]['shard']:06d}.bin", dtype=manifest[0]["dtype"])
+    raw = np.fromfile(f"{tmp_path}/tokens/{manifest[0]['name']}.bin", dtype=manifest[0]["dtype"])
     assert len(raw) == manifest[0]["n_tokens"]
     token_files.write(none, f"file://{tmp_path}/none", VOCABULARY)
     assert token_files.read(spark, f"file://{tmp_path}/none").count() == 0
@@ -95,6 +95,31 @@ def test_quality_counts(odd, none):
     assert quality.apply_rules(none).count() == 0
 
 
+def test_characters_beyond_ascii_are_one_letter_each():
+    assert quality.few_letters(quality.Text("ab123456 ü 。。")) and not quality.few_letters(quality.Text("abcd12 漢字 。。"))
+
+
+def test_files_that_cannot_be_mapped(odd, spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    path = f"file://{tmp_path}/tokens"
+    token_files.write(odd, path, VOCABULARY)
+    want = sorted(token_files.read(spark, path, with_ids=True).collect(), key=repr)
+
+    class Other(fs.SubTreeFileSystem):
+        pass
+
+    system, root = token_files._fs(path)
+    m = token_files.read_manifest(path)[0]
+    other = Other("/", fs.LocalFileSystem())
+    for kind, dtype in (("bin", m["dtype"]), ("idx", "<i8"), ("doc", "<i8")):
+        a, b = (token_files._Numbers(x, f"{root}/{m['name']}.{kind}", dtype) for x in (system, other))
+        assert b.mapped is None and a.size == b.size and (a[slice(1, a.size)] == b[slice(1, b.size)]).all()
+    monkeypatch.setattr(token_files, "READ", 64)
+    monkeypatch.setattr(token_files, "ROWS", 3)
+    assert sorted(token_files.read(spark, path, with_ids=True).collect(), key=repr) == want
+
+
 def test_repeat_words_like_windows():
     rng = random.Random(1)
     for _ in range(300):
