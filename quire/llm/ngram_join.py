@@ -12,10 +12,11 @@ verified on the whole sets.
 Equal sets are one class from the start, known by a number and by the 128-bit
 signature of the set; ids of documents matter only at the end, so they may be
 null or repeat. Before candidates are made, sets that share their two first
-tokens under a hash order are compared with one pivot of that group, the most
-typical one. What verified links connect is one family from then on. Of the
-sets that hold a token only those outside its largest family meet the others, so
-a family of m copies costs about m comparisons and not m^2.
+tokens under a hash order are compared with a few pivots of that group, the most
+typical ones. What verified links connect is one family from then on. Of the
+sets that hold a token only those outside its largest family meet the others: at
+first a few of that family, to join it by any link, and then, if they have not,
+all. So a family of m copies costs about m comparisons and not m^2.
 
 Joins on keys that many rows may share (copies, pivots, tokens, labels) are plain
 joins of stored tables, whose large partitions Spark splits between tasks.
@@ -43,6 +44,10 @@ from .shingles import mixed, shingle_sets
 LOCAL, TABLE = 2, 1 << 18
 #: Tokens of a batch.
 COUNTED = 8_000_000
+#: Pivots that each set of a group is compared with under a hash order.
+PIVOTS = 2
+#: Sets outside a token's largest family first meet one in so many of its members.
+FEW = 16
 #: Bits of the filter that says which texts a verification needs. It is of fixed
 #: size: beyond some 10^8 texts it lets most pass, and the join behind it decides.
 BLOOM_BITS = 1 << 25
@@ -313,28 +318,36 @@ def sieved(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(reps: DataFrame) -> DataFrame:
-    """(a, b): each set with the pivot of its group under each hash order.
+    """(a, b): each set with the pivots of its group under each hash order.
 
-    The pivot is the set whose own keys are shared most, the most typical one.
+    A group's sets are dealt into PIVOTS parts; the pivot of a part is the set
+    whose own keys are shared most, the most typical one.
     """
     groups = reps.select("key", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"mh{j}").alias("mh")) for j in (2, 3, 4)])).alias("g")).select("key", "g.*")
     often = cut(groups.groupBy("j", "mh").agg(F.count("*").alias("c")).filter("c > 1"), "groups")
     mine = cut(groups.join(often, ["j", "mh"]), "members")
     typical = cut(mine.groupBy("key").agg((F.sum("c") - F.count("*")).alias("typical")), "typical")
     mine = cut(mine.drop("c").join(typical, "key"), "members")
-    pivot = cut(mine.groupBy("j", "mh").agg(F.max(F.struct("typical", (-F.col("key")).alias("m"))).alias("v")).select("j", "mh", (-F.col("v.m")).alias("a")), "pivots")
+    part = F.pmod(F.xxhash64("key"), F.lit(PIVOTS))
+    pivot = cut(mine.groupBy("j", "mh", part.alias("part")).agg(F.max(F.struct("typical", (-F.col("key")).alias("m"))).alias("v")).select("j", "mh", (-F.col("v.m")).alias("a")), "pivots")
     return mine.join(pivot, ["j", "mh"]).filter("a <> key").select("a", F.col("key").alias("b")).distinct()
 
 
-def _candidates(posts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of different families that share a prefix token of ``posts``
-    (token, key, family) and may link."""
+def _met(posts: DataFrame) -> DataFrame:
+    """``posts`` (token, key, family, ...) of tokens that several families hold,
+    each once, with the largest of those families, ``main``."""
     held = posts.groupBy("token", "family").agg(F.count("*").alias("c"))
     main = held.groupBy("token").agg(F.max_by("family", "c").alias("main"), F.count("*").alias("families")).filter("families > 1")
-    met = posts.join(cut(main.select("token", "main"), "shared-tokens"), "token").distinct()
-    met = cut(met.join(nodes.select("key", *_SIEVE), "key"), "met")
+    return posts.join(cut(main.select("token", "main"), "shared-tokens"), "token").distinct()
+
+
+def _candidates(met: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(a, b): sets of different families that share a token and may link; with
+    ``few`` only with some of the token's largest family."""
     x, y = (met.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "family", "main", *_SIEVE)]) for s in "xy")
     x = x.filter("x_family <> x_main")
+    if few:
+        y = y.filter((F.col("y_family") == F.col("y_main")) & (F.pmod(F.xxhash64("token", "y_key"), F.lit(FEW)) == 0))
     other = (F.col("x_family") != F.col("y_family")) & ((F.col("y_family") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
     pairs = x.join(y, "token").filter(other & may_link("x_", "y_", percent))
     return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
@@ -367,17 +380,26 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     first = [F.first(c, ignorenulls=True).alias(c) for c in (*_SIEVE, *_ORDERS, "mh2", "mh3", "mh4")]
     classes = rows.filter("n > 0").groupBy("siga", "sigb").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("rk").alias("rk"), *first)
     classes = cut(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
-    stars = cut(in_all_orders(cut(_stars(classes), "stars"), classes, percent), "stars")
-    sure = cut(verified(text, k, percent, cut(sieved(stars, sketches, percent), "stars")), "sure")
-    families = components(sure).select("node", F.col("component").alias("family"))
-    nodes = classes.join(families, classes["key"] == families["node"], "left")
-    nodes = cut(nodes.select("key", "rk", *_SIEVE, F.coalesce("family", "key").alias("family")), "nodes")
+
+    def links(found: DataFrame) -> DataFrame:
+        """The pairs of keys that are similar indeed."""
+        pairs = cut(in_all_orders(cut(found, "met"), classes, percent), "candidates")
+        return cut(verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs")), "links")
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """``rows`` with the family that their key is in, itself if in no other."""
+        return rows.join(families, "key", "left").withColumn("family", F.coalesce("family", "key"))
+
+    families = components(links(_stars(classes))).select(F.col("node").alias("key"), F.col("component").alias("family"))
     shared = sc.broadcast(often)
+    nodes = cut(joined(classes.select("key", "rk", *_SIEVE)), "nodes")
     posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk").select("token", "key", "family")
-    posts = cut_and_release(posts, "posts", shared)
-    pairs = cut(in_all_orders(cut(_candidates(posts, nodes, percent), "met-pairs"), classes, percent), "candidates")
-    more = verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs"))
-    parts = components(families.select(F.col("node").alias("a"), F.col("family").alias("b")).unionByName(cut(more, "more")))
+    met = _met(cut_and_release(posts, "posts", shared))
+    met = cut(met.join(nodes.select("key", *_SIEVE), "key"), "met")
+    as_links = lambda f: f.select(F.col("key").alias("a"), F.col("family").alias("b"))
+    families = components(as_links(families).unionByName(links(_candidates(met, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
+    met = cut(_met(joined(met.drop("family", "main"))), "met")
+    parts = components(as_links(families).unionByName(links(_candidates(met, percent, False))))
     linked = cut(parts.join(classes.select("key", "siga", "sigb", "id"), parts["node"] == classes["key"]).select("node", "component", "siga", "sigb", "id"), "linked")
     least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
     linked = linked.join(least, "component").select("siga", "sigb", F.col("component").alias("key"), "least")
