@@ -101,6 +101,19 @@ def use_memory(group: str) -> None:
     give_back()
 
 
+def trimmed(run):
+    """For functions over batches that keep nothing: free memory returns to the
+    system at the end of a task, without a search for garbage."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def worker(group: str, keep: bool = False):
     """For functions over batches in a Python worker: use ``group``'s memory and,
     unless it is to be kept for the next task, give it back at the end."""
@@ -122,10 +135,15 @@ def worker(group: str, keep: bool = False):
 
 
 def give_back() -> None:
+    """Garbage too, and then all free memory, returns to the system."""
+    gc.collect()
+    release()
+
+
+def release() -> None:
     """Free memory of Arrow and of the C library returns to the system."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -142,9 +160,10 @@ BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spa
 def ship(spark: SparkSession, small_batches: bool = True) -> None:
     """Send this package to the executors, once per application, so that their
     Python workers can import it wherever the driver was started; keep Arrow
-    batches small unless the session has chosen their size."""
+    batches small unless the session has chosen their size. ``small_batches``
+    False bounds only their bytes, for tables of many narrow rows."""
     for key, (usual, small) in BATCH.items():
-        if small_batches and spark.conf.get(key) == usual:
+        if (small_batches or key.endswith("BytesPerBatch")) and spark.conf.get(key) == usual:
             spark.conf.set(key, small)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_and_release, worker
+from .common import cut, cut_and_release, trimmed, worker
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -254,6 +254,7 @@ def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFra
     needed = cut(_sides(pairs).select("rk").distinct(), "needed")
     shared = docs.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("rk").alias("id"))))
 
+    @trimmed
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))

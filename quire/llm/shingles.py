@@ -8,7 +8,7 @@ import xxhash
 from .common import holds_memory, lower_bytes
 
 #: Most words in the memo of word hashes.
-MEMO = 200_000
+MEMO = 100_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

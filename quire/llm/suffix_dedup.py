@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, worker
+from .common import cut, trimmed, worker
 from .ngram_join import bloom, passes
 from .shingles import grams, mixed, runs, word_hashes
 
@@ -102,6 +102,7 @@ def neighbours(kept: DataFrame) -> DataFrame:
 
     names = ["g", "a", "pa", "b", "pb", "alone", "part", "edge"]
 
+    @trimmed
     def run(batches: Iterator) -> Iterator:
         part, last, first = TaskContext.get().partitionId(), None, None
         for t in batches:
@@ -180,6 +181,7 @@ def windows(docs: DataFrame, kept: DataFrame, groups: DataFrame, min_words: int)
 
     shared = docs.sparkSession.sparkContext.broadcast(bloom(groups.select(F.col("g").alias("id"))))
 
+    @trimmed
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
@@ -188,6 +190,7 @@ def windows(docs: DataFrame, kept: DataFrame, groups: DataFrame, min_words: int)
     members = cut(members.groupBy("id").agg(F.collect_set("pos").alias("at")), "members")
     holders = docs.sparkSession.sparkContext.broadcast(bloom(members.select("id")))
 
+    @trimmed
     def wanted(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(holders.value, t.column(0))))
@@ -222,6 +225,7 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
     asked = ends[0].unionByName(ends[1])
     shared = docs.sparkSession.sparkContext.broadcast(bloom(asked.select("id").distinct()))
 
+    @trimmed
     def some(batches: Iterator) -> Iterator:
         for t in batches:
             yield t.filter(pa.array(passes(shared.value, t.column(0))))
@@ -245,6 +249,7 @@ def compared(docs: DataFrame, matches: DataFrame, reach: int) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["match", "side", "row", "l", "r"])
 
+    @trimmed
     def met(batches: Iterator) -> Iterator:
         """Rows come in the order of (match, row, side); of each (match, row) all
         of side a meet all of side b, which are one and one unless ids repeat."""
