@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_and_release, trimmed, worker
+from .common import cut, cut_and_release, discard, trimmed, worker
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -277,7 +277,9 @@ def verified(docs: DataFrame, k: int, percent: int, pairs: DataFrame) -> DataFra
     texts = cut_and_release(texts, "texts", shared)
     half = pairs.join(texts.select(F.col("rk").alias("b_rk"), F.col("text").alias("tb")), "b_rk")
     whole = half.join(texts.select(F.col("rk").alias("a_rk"), F.col("text").alias("ta")), "a_rk")
-    return whole.select("a", "b", "a_siga", "a_sigb", "b_siga", "b_sigb", "ta", "tb").mapInArrow(compared, "a long, b long")
+    links = cut(whole.select("a", "b", "a_siga", "a_sigb", "b_siga", "b_sigb", "ta", "tb").mapInArrow(compared, "a long, b long"), "links")
+    discard(texts)
+    return links
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
@@ -385,7 +387,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def links(found: DataFrame) -> DataFrame:
         """The pairs of keys that are similar indeed."""
         pairs = cut(in_all_orders(cut(found, "met"), classes, percent), "candidates")
-        return cut(verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs")), "links")
+        return verified(text, k, percent, cut(sieved(pairs, sketches, percent), "pairs"))
 
     def joined(rows: DataFrame) -> DataFrame:
         """``rows`` with the family that their key is in, itself if in no other."""
@@ -395,16 +397,20 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     shared = sc.broadcast(often)
     nodes = cut(joined(classes.select("key", "rk", *_SIEVE)), "nodes")
     posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk").select("token", "key", "family")
-    met = _met(cut_and_release(posts, "posts", shared))
-    met = cut(met.join(nodes.select("key", *_SIEVE), "key"), "met")
+    posts = cut_and_release(posts, "posts", shared)
+    first_met = cut(_met(posts).join(nodes.select("key", *_SIEVE), "key"), "met")
+    discard(posts)
     as_links = lambda f: f.select(F.col("key").alias("a"), F.col("family").alias("b"))
-    families = components(as_links(families).unionByName(links(_candidates(met, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
-    met = cut(_met(joined(met.drop("family", "main"))), "met")
+    families = components(as_links(families).unionByName(links(_candidates(first_met, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
+    met = cut(_met(joined(first_met.drop("family", "main"))), "met")
+    discard(first_met)
     parts = components(as_links(families).unionByName(links(_candidates(met, percent, False))))
+    every = cut(rows.select("id", "rk", "n", "siga", "sigb"), "rows")
+    discard(both, met)
     linked = cut(parts.join(classes.select("key", "siga", "sigb", "id"), parts["node"] == classes["key"]).select("node", "component", "siga", "sigb", "id"), "linked")
     least = cut(linked.groupBy("component").agg(F.min("id").alias("least")), "least")
     linked = linked.join(least, "component").select("siga", "sigb", F.col("component").alias("key"), "least")
     alone = classes.filter("copies > 1").join(parts, classes["key"] == parts["node"], "left_anti").select("siga", "sigb", "key", F.col("id").alias("least"))
     named = cut(linked.unionByName(alone), "named")
-    rows = rows.select("id", "rk", "n", "siga", "sigb").join(named.withColumnRenamed("siga", "a").withColumnRenamed("sigb", "b"), (F.col("siga") == F.col("a")) & (F.col("sigb") == F.col("b")) & (F.col("n") > 0), "left")
+    rows = every.join(named.withColumnRenamed("siga", "a").withColumnRenamed("sigb", "b"), (F.col("siga") == F.col("a")) & (F.col("sigb") == F.col("b")) & (F.col("n") > 0), "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), "rk", "key")
