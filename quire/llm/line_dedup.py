@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, cut
+from .common import WS, ascii_lower, cut, discard
 
 
 def line_key(line: Column) -> Column:
@@ -42,7 +42,9 @@ def lost_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     common = held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs)
     common = cut(common.select("_h1", "_h2", "_keep"), "common-lines")
     lost = lines.join(common, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
-    return cut(lost.groupBy("_id", "_rk").agg(F.collect_set("_pos").alias("_lost")), "lost-lines")
+    lost = cut(lost.groupBy("_id", "_rk").agg(F.collect_set("_pos").alias("_lost")), "lost-lines")
+    discard(lines, common)
+    return lost
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:

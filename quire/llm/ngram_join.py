@@ -396,9 +396,10 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     families = components(links(_stars(classes))).select(F.col("node").alias("key"), F.col("component").alias("family"))
     shared = sc.broadcast(often)
     nodes = cut(joined(classes.select("key", "rk", *_SIEVE)), "nodes")
-    posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk").select("token", "key", "family")
-    posts = cut_and_release(posts, "posts", shared)
-    first_met = cut(_met(posts).join(nodes.select("key", *_SIEVE), "key"), "met")
+    posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk")
+    other = F.when(F.col("family") != F.col("key"), F.col("family"))  # most are their own, and a null takes no room
+    posts = cut_and_release(posts.select("token", "key", other.alias("family")), "posts", shared)
+    first_met = cut(_met(posts.withColumn("family", F.coalesce("family", "key"))).join(nodes.select("key", *_SIEVE), "key"), "met")
     discard(posts)
     as_links = lambda f: f.select(F.col("key").alias("a"), F.col("family").alias("b"))
     families = components(as_links(families).unionByName(links(_candidates(first_met, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
