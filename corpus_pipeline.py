@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, toxicity
 from quire.llm.common import cut, ship, table
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
-from quire.llm.ngram_join import labelled
+from quire.llm.ngram_join import bloom, labelled, passes
 from quire.llm.tokens import default_vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -50,13 +51,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = groups.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_rk")).alias("f"), F.count("*").alias("n"))
     first = cut(first.select("key", F.col("f._id").alias("_fid"), F.col("f._rk").alias("_frk")), "firsts")
     told = groups.join(first, "key").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_rk") == F.col("_frk")))
-    told = cut(told.groupBy("_id", "_rk", "_stays").agg(F.count("*").alias("_n")), "told")
-    own = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("_own", own).join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rk")), "left")
-    rows = rows.filter(F.col("_stays").isNull() | F.col("_stays"))
-    once = rows.filter(F.coalesce("_n", F.lit(1)) == 1).select(*COLUMNS)
-    again = rows.filter("_n > 1").groupBy("doc_id", "_rk").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"))
-    return once.unionByName(again.select("doc_id", "r.*").select(*COLUMNS))
+    told = told.groupBy("_id", "_rk", "_stays").agg(F.count("*").alias("_n"))
+    told = cut(told.filter("not _stays or _n > 1"), "told")  # all other rows just stay
+    shared = spark.sparkContext.broadcast(bloom(told.select(F.col("_rk").alias("id"))))
+
+    @F.arrow_udf("boolean")
+    def maybe_told(rk: pa.Array) -> pa.Array:
+        return pa.array(passes(shared.value, rk))
+
+    # Only texts that may be told of move; the others go from the scan to the output.
+    rows = docs.withColumn("_own", F.xxhash64("doc_id", "text")).withColumn("_maybe", maybe_told("_own"))
+    named = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_rk"))
+    apart = rows.filter("not _maybe").select(*COLUMNS)
+    once = rows.filter("_maybe").join(told, named, "left_anti").select(*COLUMNS)
+    again = rows.filter("_maybe").join(told.filter("_stays"), named).groupBy("doc_id", "_rk").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    return apart.unionByName(once).unionByName(again.select("doc_id", "r.*").select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
