@@ -5,6 +5,7 @@ import json
 import os
 import posixpath
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,12 @@ def test_cleanup_counts_like_a_loop(spark):
             inner.pop()
         want = (sum(x != y for x, y in zip(lines, bare)), len(lines) - len(kept), len(kept) - len(inner), len(lines), len(inner)) if r["t"] else (0,) * 5
         assert tuple(r["c"]) == want, repr(r["t"])
+
+
+def test_cleanup_takes_time_in_proportion(spark):
+    many = 20_000
+    texts = [("a \n\n\n" * many, (many, many + 1, 1, 3 * many + 1, 2 * many - 1)), ("x" + " " * 200_000 + "y", (0, 0, 0, 1, 1)), ("a \u2028\n b\t", (1, 0, 0, 2, 2)), ("a  \u0085", (0, 0, 0, 1, 1)), (None, (0,) * 5)]
+    began = time.time()
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "k int, t string").select("k", render.cleanup(F.col("t")).alias("c")).collect()
+    assert time.time() - began < 30
+    assert {r["k"]: tuple(r["c"]) for r in got} == {k: want for k, (_, want) in enumerate(texts)}
