@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import ship
+from . import grid
 
 #: A layout reference and a table extract, as folds see them.
 REF = "struct<ref_order:int,ref_id:string,page:int,x1:double,y1:double,x2:double,y2:double,crop:string,sources:array<string>>"
@@ -58,76 +62,51 @@ def link_extracts(refs: DataFrame, extracts: DataFrame) -> DataFrame:
     return both.select("doc_id", F.explode(out).alias("o")).select("doc_id", "o.*")
 
 
+def _mapped(tables: DataFrame, made: str, f) -> DataFrame:
+    """(table_id, ...) by ``f`` on batches of tables."""
+    ship(tables.sparkSession)
+    return tables.mapInArrow(f, f"table_id {tables.schema['table_id'].dataType.simpleString()}, {made}")
+
+
+def banded(tables: DataFrame, least: float = 10.0) -> DataFrame:
+    """(table_id, nth, lo, hi, start, stop): of the detected rows (or columns)
+    ``lines`` of each table, structs of lo and hi, those that start more than
+    ``least`` after the last one kept, and where they meet halfway between."""
+    made = _mapped(tables.select("table_id", "lines"), "bands array<struct<lo:double,hi:double,start:double,stop:double>>", partial(grid.with_bands, least))
+    return made.select("table_id", F.posexplode("bands").alias("nth", "b")).select("table_id", "nth", "b.*")
+
+
 def bands(lines: DataFrame, least: float = 10.0) -> DataFrame:
-    """Detected rows (or columns) that start more than ``least`` after the last
-    one kept. ``lines`` has (table_id, lo, hi); the fold keeps one number."""
-    g = lines.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("rows"))
-    kind = "array<struct<lo:double,hi:double>>"
-    kept = F.aggregate("rows", F.array().cast(kind), lambda out, r: F.when((F.size(out) == 0) | (F.abs(r["lo"] - F.element_at(F.concat(out, F.array(r)), F.greatest(F.size(out), F.lit(1)))["lo"]) > least), F.concat(out, F.array(F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))))).otherwise(out))
-    return g.select("table_id", F.posexplode(kept).alias("nth", "b")).select("table_id", "nth", "b.lo", "b.hi")
-
-
-def cuts(kept: DataFrame) -> DataFrame:
-    """(table_id, nth, start, stop): bands that meet halfway between neighbours."""
-    w = Window.partitionBy("table_id").orderBy("nth")
-    start = F.coalesce((F.lag("hi").over(w) + F.col("lo")) / 2, F.col("lo"))
-    stop = F.coalesce((F.col("hi") + F.lead("lo").over(w)) / 2, F.col("hi"))
-    return kept.select("table_id", "nth", start.alias("start"), stop.alias("stop"))
-
-
-def spans(texts: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """(table_id, text_no, r1, r2, c1, c2): bands that a recognised text covers,
-    by 30 % of its height and 25 % of its width. Texts have (table_id, text_no,
-    x1, y1, x2, y2, text, conf)."""
-    t = texts.filter((F.col("x2") - F.col("x1") >= 5) & (F.col("y2") - F.col("y1") >= 5))
-    part = lambda lo, hi: F.greatest(F.lit(0.0), F.least(F.col(hi), F.col("stop")) - F.greatest(F.col(lo), F.col("start"))) / (F.col(hi) - F.col(lo))
-    r = t.join(rows, "table_id").filter(part("y1", "y2") > 0.3).groupBy("table_id", "text_no").agg(F.min("nth").alias("r1"), F.max("nth").alias("r2"))
-    c = t.join(cols, "table_id").filter(part("x1", "x2") > 0.25).groupBy("table_id", "text_no").agg(F.min("nth").alias("c1"), F.max("nth").alias("c2"))
-    return r.join(c, ["table_id", "text_no"])
-
-
-def cells(texts: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """(table_id, r, c, r2, c2, is_master, text, conf) of every cell.
-
-    Texts over several bands merge them, in the order of the texts, unless the
-    first cell already spans more in one direction; that order matters, so each
-    table is one fold over its wide texts. Other texts lie in a cell by over half
-    of their area."""
-    wide = spans(texts, rows, cols).filter("r2 > r1 or c2 > c1")
-    g = wide.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("text_no", "r1", "r2", "c1", "c2"))).alias("wide"))
-    kind = "array<struct<r1:int,r2:int,c1:int,c2:int>>"
-
-    def step(out, t):
-        own = F.get(F.filter(out, lambda m: (m["r1"] == t["r1"]) & (m["c1"] == t["c1"])), F.size(F.filter(out, lambda m: (m["r1"] == t["r1"]) & (m["c1"] == t["c1"]))) - 1)
-        rs, cs = F.coalesce(own["r2"] - own["r1"], F.lit(0)), F.coalesce(own["c2"] - own["c1"], F.lit(0))
-        new = F.struct(*[t[k].alias(k) for k in ("r1", "r2", "c1", "c2")])
-        return F.when((t["r2"] - t["r1"] >= rs) & (t["c2"] - t["c1"] >= cs), F.concat(out, F.array(new))).otherwise(out)
-
-    merged = g.select("table_id", F.aggregate("wide", F.array().cast(kind), step).alias("ms"))
-    grid = rows.select("table_id", F.col("nth").alias("r"), F.col("start").alias("y1"), F.col("stop").alias("y2")).join(cols.select("table_id", F.col("nth").alias("c"), F.col("start").alias("x1"), F.col("stop").alias("x2")), "table_id")
-    grid = grid.join(merged, "table_id", "left").withColumn("ms", F.coalesce("ms", F.array().cast(kind)))
-    covered = F.exists("ms", lambda m: (F.col("r") >= m["r1"]) & (F.col("r") <= m["r2"]) & (F.col("c") >= m["c1"]) & (F.col("c") <= m["c2"]) & ((F.col("r") != m["r1"]) | (F.col("c") != m["c1"])))
-    own = F.filter("ms", lambda m: (m["r1"] == F.col("r")) & (m["c1"] == F.col("c")))
-    last = F.get(own, F.size(own) - 1)
-    grid = grid.withColumn("is_master", ~covered).withColumn("r2", F.coalesce(last["r2"], F.col("r"))).withColumn("c2", F.coalesce(last["c2"], F.col("c"))).drop("ms")
-    end_y, end_x = rows.select("table_id", F.col("nth").alias("r2"), F.col("stop").alias("ey")), cols.select("table_id", F.col("nth").alias("c2"), F.col("stop").alias("ex"))
-    box = grid.join(end_y, ["table_id", "r2"]).join(end_x, ["table_id", "c2"])
-    t = texts.select("table_id", "text_no", *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")], F.col("text").alias("t_text"), F.col("conf").alias("t_conf"))
-    w = F.greatest(F.lit(0.0), F.least("t_x2", "ex") - F.greatest("t_x1", "x1"))
-    h = F.greatest(F.lit(0.0), F.least("t_y2", "ey") - F.greatest("t_y1", "y1"))
-    area = (F.col("t_x2") - F.col("t_x1")) * (F.col("t_y2") - F.col("t_y1"))
-    inside = box.filter("is_master").join(t, "table_id").filter((area > 0) & (w * h > 0.5 * area))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("text_no", "t_text"))), lambda s: s["t_text"])
-    inside = inside.groupBy("table_id", "r", "c").agg(F.array_join(words, " ").alias("text"), F.avg("t_conf").alias("conf"))
-    return box.join(inside, ["table_id", "r", "c"], "left").select("table_id", "r", "c", "r2", "c2", "is_master", F.coalesce("text", F.lit("")).alias("text"), "conf")
-
-
-def markdown(grid: DataFrame) -> DataFrame:
+    """``banded`` for single lines (table_id, lo, hi)."""
+    return banded(lines.groupBy("table_id").agg(F.collect_list(F.struct("lo", "hi")).alias("lines")), least)
+
+
+def gathered(texts: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """(table_id, texts, rows, cols): one row per table, as ``cells`` takes them,
+    of texts (table_id, text_no, x1, y1, x2, y2, text, conf) and of detected rows
+    and columns (table_id, lo, hi)."""
+    box = F.struct("x1", "y1", "x2", "y2", "conf").alias("box")
+    said = texts.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("text_no", "text", box))).alias("texts"))
+    r, c = (b.groupBy("table_id").agg(F.collect_list(F.struct("lo", "hi")).alias(n)) for b, n in ((rows, "rows"), (cols, "cols")))
+    return r.join(c, "table_id").join(said, "table_id", "left")
+
+
+def cells(tables: DataFrame) -> DataFrame:
+    """(table_id, cells): rows of cells (r2, c2, is_master, text, conf), whose own
+    row and column are their places.
+
+    A table is one row, with its texts (text, box of x1, y1, x2, y2 and conf) in
+    order and its detected rows and columns (lo, hi), so nothing is moved between
+    machines. Texts over several bands, by 30 % of their height and 25 % of their
+    width, merge them, in the order of the texts, unless the first cell already
+    spans more in one direction. Other texts lie in a cell by over half of their
+    area; texts without a whole box lie in none."""
+    return _mapped(tables.select("table_id", "texts", "rows", "cols"), "cells array<array<struct<r2:int,c2:int,is_master:boolean,text:string,conf:double>>>", grid.with_cells)
+
+
+def markdown(made: DataFrame) -> DataFrame:
     """(table_id, markdown): a line per row, a rule below the first."""
-    text = F.when(F.col("is_master"), T.believed(T.cleaned(F.col("text")))).otherwise(" ")
-    row = grid.groupBy("table_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", text.alias("t")))), lambda s: s["t"]).alias("ts"))
-    line = F.concat(F.lit("| "), F.array_join("ts", " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), F.size("ts")))
-    row = row.select("table_id", "r", F.when(F.col("r") == 0, F.concat(line, rule)).otherwise(line).alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda s: s["line"])
-    return row.groupBy("table_id").agg(F.array_join(lines, "\n").alias("markdown"))
+    said = lambda row: F.transform(F.transform(row, lambda c: F.when(c["is_master"], T.cleaned(c["text"])).otherwise(" ")), T.believed)
+    line = lambda row: F.concat(F.lit("| "), F.array_join(said(row), " | "), F.lit(" |"))
+    rule = lambda row, r: F.when(r == 0, F.concat(F.lit("\n|"), F.repeat(F.lit("---|"), F.size(row)))).otherwise("")
+    return made.select("table_id", F.array_join(F.transform("cells", lambda row, r: F.concat(line(row), rule(row, r))), "\n").alias("markdown"))

@@ -48,6 +48,20 @@ def test_grids_hold_whole_texts(spark, sf):
         assert got[: len(want)] == want and set(got[len(want) :]) <= {""}
 
 
+def test_grids_move_nothing(spark, sf):
+    """A table's texts, rows and columns are one row; exchanges of single cells wrote several times the input."""
+    df = catalogue.QUERIES["q_grid_markdown"](spark, sf)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grids_of_odd_documents(spark, tmp_path):
+    texts = [(1, ""), (2, "a"), (3, None), (4, " ".join(["w"] * 12)), (5, " ".join(f"w{k}" for k in range(13))), (None, "x y")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["table_id"]: r["markdown"] for r in catalogue.QUERIES["q_grid_markdown"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"1-0", "2-0", "4-0", "5-0", "5-1", None}
+    assert got["5-1"].split("\n")[0] == "| w12 |  |  |" and got[None].split("\n")[0] == "| x | y |  |"
+
+
 def test_hyphens_of_all_lines(spark, tmp_path):
     texts = [(1, "the infor-  mation here\nsee them a- b- c"), (2, "see th\nnothing\n\nX- y -z- Z"), (3, None), (4, "e the e th-\u2003en")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
