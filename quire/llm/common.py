@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .local_files import write_options
+
 #: ASCII white space, the separators of words in all contracts of this folder.
 WS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,7 +58,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Any executor can read the table again, so the loss of one costs no rerun.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**write_options(df.sparkSession, path)).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

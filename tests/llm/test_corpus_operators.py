@@ -469,3 +469,27 @@ def test_folds_and_names(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows.collect())
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_cut_starts_no_process_for_a_file(spark):
+    """Until a process has become chmod it counts as much memory as its JVM."""
+    from pathlib import Path
+
+    from quire.llm import common
+
+    def started():
+        return int(next(x for x in Path("/proc/stat").read_text().splitlines() if x.startswith("processes")).split()[1])
+
+    common.cut(spark.range(0, 100, 1, 4), "first")  # compiles the file system
+    grown = []
+    for _ in range(3):  # the machine's other processes count too
+        before = started()
+        out = common.cut(spark.range(0, 1000, 1, 48), "files")
+        grown.append(started() - before)
+    assert min(grown) < 48
+    files = sorted(Path(common._PATHS[out].removeprefix("file:")).iterdir())
+    assert len(files) == 49 and not any(f.suffix == ".crc" for f in files)
+    assert {f.stat().st_mode & 0o777 for f in files} == {0o644}  # Hadoop's own mask is 022
+    assert out.agg({"id": "sum"}).first()[0] == 499_500
+    common.discard(out)
+    assert not files[0].exists()
