@@ -52,13 +52,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    Any executor can read the table again, so the loss of one costs no rerun.
+    Any executor can read the table again, so the loss of one costs no rerun. The
+    write's shuffle files are deleted with it: nothing else reads them, and Spark
+    would keep them until the driver happens to collect its garbage.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.options(**write_options(df.sparkSession, path)).parquet(path)
+    conf, path = df.sparkSession.conf, shared_path(df.sparkSession, name)
+    usual = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.options(**write_options(df.sparkSession, path)).parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, usual)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

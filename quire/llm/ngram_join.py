@@ -14,9 +14,10 @@ signature of the set; ids of documents matter only at the end, so they may be
 null or repeat. Before candidates are made, sets that share their two first
 tokens under a hash order are compared with a few pivots of that group, the most
 typical ones. What verified links connect is one family from then on. Of the
-sets that hold a token only those outside its largest family meet the others: at
-first a few of that family, to join it by any link, and then, if they have not,
-all. So a family of m copies costs about m comparisons and not m^2.
+sets that hold a token only those outside its largest family meet the others: if
+many hold it, at first a few of that family, to join it by any link, again while
+that makes the family larger, and then, if they have not joined it, all. So a
+family of m copies costs about m comparisons and not m^2.
 
 Joins on keys that many rows may share (copies, pivots, tokens, labels) are plain
 joins of stored tables, whose large partitions Spark splits between tasks.
@@ -46,8 +47,11 @@ LOCAL, TABLE = 2, 1 << 18
 COUNTED = 8_000_000
 #: Pivots that each set of a group is compared with under a hash order.
 PIVOTS = 2
-#: Sets outside a token's largest family first meet one in so many of its members.
-FEW = 16
+#: Sets outside a token's largest family first meet about so many of its members
+#: where more than CROWD sets hold the token; this is repeated while the pairs that
+#: such tokens have to come are more than AHEAD times all rows, fewer by a quarter
+#: each time. All other pairs meet afterwards, whatever these numbers are.
+FEW, CROWD, AHEAD = 4, 32, 4
 #: Bits of the filter that says which texts a verification needs. It is of fixed
 #: size: beyond some 10^8 texts it lets most pass, and the join behind it decides.
 BLOOM_BITS = 1 << 25
@@ -338,19 +342,27 @@ def _stars(reps: DataFrame) -> DataFrame:
 
 def _met(posts: DataFrame) -> DataFrame:
     """``posts`` (token, key, family, ...) of tokens that several families hold,
-    each once, with the largest of those families, ``main``."""
+    each once, with the largest of those families, ``main``, its rows, ``big``, and
+    all rows of the token, ``held``."""
     held = posts.groupBy("token", "family").agg(F.count("*").alias("c"))
-    main = held.groupBy("token").agg(F.max_by("family", "c").alias("main"), F.count("*").alias("families")).filter("families > 1")
-    return posts.join(cut(main.select("token", "main"), "shared-tokens"), "token").distinct()
+    main = held.groupBy("token").agg(F.max_by("family", "c").alias("main"), F.max("c").alias("big"), F.sum("c").alias("held"), F.count("*").alias("families")).filter("families > 1")
+    return posts.join(cut(main.select("token", "main", "big", "held"), "shared-tokens"), "token").distinct()
+
+
+_MAIN = ["main", "big", "held"]
+
+
+def _ahead(met: DataFrame) -> int:
+    """Pairs that sets outside their token's largest family have to come."""
+    return met.filter("family <> main").agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
 
 
 def _candidates(met: DataFrame, percent: int, few: bool) -> DataFrame:
     """(a, b): sets of different families that share a token and may link; with
     ``few`` only with some of the token's largest family."""
-    x, y = (met.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "family", "main", *_SIEVE)]) for s in "xy")
-    x = x.filter("x_family <> x_main")
-    if few:
-        y = y.filter((F.col("y_family") == F.col("y_main")) & (F.pmod(F.xxhash64("token", "y_key"), F.lit(FEW)) == 0))
+    chosen = F.pmod(F.xxhash64("token", "key"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("big") / FEW))) == 0
+    x, y = met.filter("family <> main"), met.filter((F.col("family") == F.col("main")) & chosen) if few else met
+    x, y = (side.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "family", "main", *_SIEVE)]) for s, side in (("x", x), ("y", y)))
     other = (F.col("x_family") != F.col("y_family")) & ((F.col("y_family") == F.col("y_main")) | (F.col("x_key") < F.col("y_key")))
     pairs = x.join(y, "token").filter(other & may_link("x_", "y_", percent))
     return pairs.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
@@ -399,13 +411,15 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     posts = prefixes(text.select("rk", "text"), k, percent, shared).join(nodes.select("rk", "key", "family"), "rk")
     other = F.when(F.col("family") != F.col("key"), F.col("family"))  # most are their own, and a null takes no room
     posts = cut_and_release(posts.select("token", "key", other.alias("family")), "posts", shared)
-    first_met = cut(_met(posts.withColumn("family", F.coalesce("family", "key"))).join(nodes.select("key", *_SIEVE), "key"), "met")
+    met = cut(_met(posts.withColumn("family", F.coalesce("family", "key"))).join(nodes.select("key", *_SIEVE), "key"), "met")
     discard(posts)
     as_links = lambda f: f.select(F.col("key").alias("a"), F.col("family").alias("b"))
-    families = components(as_links(families).unionByName(links(_candidates(first_met, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
-    met = cut(_met(joined(first_met.drop("family", "main"))), "met")
-    discard(first_met)
-    parts = components(as_links(families).unionByName(links(_candidates(met, percent, False))))
+    crowd, n, before = met.filter(F.col("held") > CROWD), met.count(), None
+    while (pairs := _ahead(crowd)) > AHEAD * n and (before is None or 4 * pairs <= 3 * before):
+        families = components(as_links(families).unionByName(links(_candidates(crowd, percent, True)))).select(F.col("node").alias("key"), F.col("component").alias("family"))
+        crowd, before = cut(_met(joined(crowd.drop("family", *_MAIN))), "crowd"), pairs
+    yet = met.filter(F.col("held") <= CROWD).unionByName(crowd)  # few hold the others, whatever their families are by now
+    parts = components(as_links(families).unionByName(links(_candidates(yet, percent, False))))
     every = cut(rows.select("id", "rk", "n", "siga", "sigb"), "rows")
     discard(both, met)
     linked = cut(parts.join(classes.select("key", "siga", "sigb", "id"), parts["node"] == classes["key"]).select("node", "component", "siga", "sigb", "id"), "linked")

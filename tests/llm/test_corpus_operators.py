@@ -493,3 +493,54 @@ def test_cut_starts_no_process_for_a_file(spark):
     assert out.agg({"id": "sum"}).first()[0] == 499_500
     common.discard(out)
     assert not files[0].exists()
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from quire.llm import common
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def blocks():
+        found = disk.getAllBlocks()
+        return {b.name() for b in map(found.apply, range(found.size())) if b.isShuffle()}
+
+    df = spark.range(0, 10_000, 1, 4).groupBy((F.col("id") % 1000).alias("k")).count()  # made before the setting changes
+    before = blocks()
+    out = common.cut(df, "counted")
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:  # deleted in the background
+        time.sleep(0.2)
+    assert not blocks() - before
+    assert out.count() == 1000 and spark.conf.get(common.SHUFFLES_GO) == "false"
+    assert common.cut(df, "again").count() == 1000
+
+
+def test_crowded_tokens_meet_few_first(spark, monkeypatch):
+    """A chain of near copies joins one family by few comparisons, round by round."""
+    dice = random.Random(5)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for n in range(500):
+        words = list(base)
+        words[dice.randrange(140)] = f"own{n}"
+        words[dice.randrange(140)] = f"other{n}"
+        rows.append((n, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, usual = [], ngram_join._candidates
+
+    def candidates(posts, percent, few):
+        found = usual(posts, percent, few)
+        met.append((few, found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_candidates", candidates)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_sets(docs, k=3, percent=90).collect()}
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(138)} for _, t in rows]
+    want = list(range(500))
+    for i, j in itertools.combinations(range(500), 2):
+        if 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
+            a, b = sorted((want[i], want[j]))
+            if a != b:
+                want = [a if x == b else x for x in want]
+    assert got == dict(enumerate(want))
+    assert sum(n for _, n in met) < 500 * 20
