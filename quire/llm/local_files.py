@@ -6,7 +6,9 @@ such a process has become chmod it shares the memory of the JVM that it came
 from, and whoever adds up the memory of an executor's processes (YARN, cgroup
 tools) counts the whole heap twice. Tables between steps are many small files,
 so they are written by a file system that sets permissions in the JVM and makes
-no checksum files (Parquet is read without them). Its few lines of Java are
+no checksum files (Parquet is read without them). What a caller writes in the
+same session gets the same files as ever, checksums too, by one that differs from
+Hadoop's in that alone. Their few lines of Java are
 compiled by the compiler that Spark has for its own generated code, and go to
 the executors as Python modules do. Other file systems (hdfs, s3a) are as ever.
 """
@@ -20,7 +22,7 @@ from pathlib import Path
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-_NAME = "quire.LocalFiles"
+_NAME, _CHECKED = "quire.LocalFiles", "quire.LocalFiles$Checked"
 _JAVA = """
 package quire;
 
@@ -34,6 +36,12 @@ public class LocalFiles extends org.apache.hadoop.fs.RawLocalFileSystem {
         String each = mode.getUserAction().SYMBOL + mode.getGroupAction().SYMBOL + mode.getOtherAction().SYMBOL;
         java.nio.file.Files.setPosixFilePermissions(file, java.nio.file.attribute.PosixFilePermissions.fromString(each));
     }
+
+    public static class Checked extends org.apache.hadoop.fs.LocalFileSystem {
+        public Checked() {
+            super(new LocalFiles());
+        }
+    }
 }
 """
 
@@ -56,13 +64,13 @@ def _compiled(spark: SparkSession) -> dict[str, str]:
     urls = sc._gateway.new_array(jvm.java.net.URL, 1)
     urls[0] = jvm.java.net.URI(jar.as_uri()).toURL()
     conf.setClassLoader(jvm.java.net.URLClassLoader(urls, conf.getClassLoader()))
-    conf.getClassByName(_NAME)
-    return {"fs.file.impl": _NAME, "fs.file.impl.disable.cache": "true"}
+    return {"fs.file.impl": conf.getClassByName(_NAME).getName(), "fs.file.impl.disable.cache": "true"}
 
 
 def write_options(spark: SparkSession, path: str) -> dict[str, str]:
     """Options for a write to ``path``: none unless that is a local folder and
-    the session has chosen no file system for such."""
+    the session has chosen no file system for such. Other writes of the session
+    then start no processes either."""
     sc = spark.sparkContext
     conf = sc._jsc.hadoopConfiguration()
     files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
@@ -73,4 +81,8 @@ def write_options(spark: SparkSession, path: str) -> dict[str, str]:
             _OPTIONS[sc.applicationId] = _compiled(spark)
         except (Py4JJavaError, TypeError):  # no such compiler, or an older one
             _OPTIONS[sc.applicationId] = {}
-    return _OPTIONS[sc.applicationId]
+    found = _OPTIONS[sc.applicationId]
+    if found and spark.conf.get("fs.file.impl", None) is None:
+        for key, value in (found | {"fs.file.impl": _CHECKED}).items():
+            spark.conf.set(key, value)
+    return found

@@ -495,6 +495,24 @@ def test_cut_starts_no_process_for_a_file(spark):
     assert not files[0].exists()
 
 
+def test_writes_of_a_caller_keep_their_files(spark, tmp_path):
+    from pathlib import Path
+
+    from quire.llm import common
+
+    common.cut(spark.range(0, 100, 1, 4), "first")
+    count = lambda: int(next(x for x in Path("/proc/stat").read_text().splitlines() if x.startswith("processes")).split()[1])
+    grown = []
+    for n in range(3):
+        before = count()
+        spark.range(0, 1000, 1, 48).write.parquet(f"file://{tmp_path}/{n}")
+        grown.append(count() - before)
+    assert min(grown) < 48
+    files = [f for f in (tmp_path / "2").iterdir() if f.suffix != ".crc"]
+    assert len(files) == 49 and all((f.parent / f".{f.name}.crc").exists() and f.stat().st_mode & 0o777 == 0o644 for f in files)
+    assert spark.read.parquet(f"file://{tmp_path}/2").count() == 1000
+
+
 def test_cut_leaves_no_shuffle_files(spark):
     from quire.llm import common
 
